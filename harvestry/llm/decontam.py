@@ -6,66 +6,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 5
-#: Slots, and the units that follow a number; fixed values.
-NUM, NAME, UNIT = "<n>", "<p>", "<u>"
+#: Units that follow a number; fixed values.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|s|ms|min|h|hours|minutes|seconds|days|years|usd|eur|gbp|dollars|euros|cents|percent|meters|metres|miles|feet|inches|litres|liters|grams|kilograms|°c|°f|%|€|\\$|£"
-#: Above so many distinct window hashes the benchmark side isn't broadcast but joined by shuffle.
-BROADCAST_WINDOWS = 2_000_000
+#: Above so many windows the benchmark's side isn't broadcast but joined by shuffle.
+BROADCAST_WINDOWS = 1_000_000
 
 
 def canonical(text: Column) -> Column:
-    """struct(raw, tmpl): the text's words, and as many template words.
+    """The text's words as template words: a slot is ``<n>``, ``<p>`` or ``<u>`` and then its own value.
 
-    A new line ends a sentence. A capitalised word that doesn't start a sentence is a name; digits with separators
-    are a number; a unit right after a number is a unit. All other words are in lower case, without punctuation.
+    A new line ends a sentence. A capitalised word (its second letter a small one) that doesn't start a sentence is a
+    name; digits with separators are a number; a unit right after a number is a unit. All is in lower case, without
+    punctuation. The patterns begin with the character that they look for, so that most positions fail at once.
     """
-    flat = F.trim(F.regexp_replace(F.regexp_replace(text, r"([^\s.!?:])\s*\n\s*", "$1. "), r"\s+", " "))
-    t = F.regexp_replace(flat, r"(?<=[^.!?:] )\p{Lu}[\p{L}\p{M}'’-]*", NAME)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}<])\p{N}+(?:[.,]\p{N}+)*", NUM)
-    t = F.regexp_replace(t, rf"(?i)(?<=<n>)( ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
-    t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}<> ]+", "")
-    return F.struct(F.split(flat, " ").alias("raw"), F.split(t, " ").alias("tmpl"))
+    t = F.regexp_replace(F.replace(F.translate(text, "<>", ""), F.lit("\n"), F.lit(". ")), r"\s+", " ")
+    t = F.regexp_replace(t, r"\p{Lu}(?<=[^.!?: ] ?.)(?<= .)\p{Ll}[\p{L}\p{M}'’-]*", "<p>$0")
+    t = F.regexp_replace(t, r"\p{N}(?<![\p{L}\p{N}].)\p{N}*(?:[.,]\p{N}+)*", "<n>$0")
+    t = F.regexp_replace(t, rf"(?i)(<n>[\p{{N}}.,]+ ?)((?:{UNITS})(?![\p{{L}}\p{{N}}]))", "$1<u>$2")
+    return F.split(F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}<> ]+", "")), " +")
+
+
+def kind(word: Column) -> Column:
+    """A template word without a slot's value."""
+    return F.when(word.startswith("<"), F.substring(word, 1, 3)).otherwise(word)
 
 
 def _windows(docs: DataFrame, id_column: str, width: int) -> DataFrame:
-    """(id, pos, h, raw): each window of template words with two literal words at least; raw words only where it has a slot."""
-    d = docs.select(F.col(id_column).alias("id"), canonical(F.coalesce("text", F.lit(""))).alias("c")).filter(F.size("c.tmpl") >= width)
-    at = lambda i, name: [F.get(F.col(f"c.{name}"), i + k) for k in range(width)]
-    slot = lambda i: F.concat_ws(" ", *at(i, "tmpl"))
-    w = d.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("c.tmpl") - width), lambda i: F.struct(
-        i.alias("pos"), F.xxhash64(*at(i, "tmpl")).alias("h"),
-        F.when(slot(i).contains("<"), F.struct(F.slice("c.raw", i + 1, width).alias("raw"), F.slice("c.tmpl", i + 1, width).alias("tmpl"))).alias("slots"),
-    ))).alias("w"))
-    literal = F.size(F.filter("w.slots.tmpl", lambda x: ~x.contains("<") & (x != "")))
-    return w.filter(F.col("w.slots").isNull() | (literal >= 2)).select("id", "w.pos", "w.h", "w.slots")
+    """(id, h, slots): each window of template words that has two literal words at least; its words only where it has a slot."""
+    d = docs.select(F.col(id_column).alias("id"), canonical(F.coalesce("text", F.lit(""))).alias("t"))
+    shifted = [F.col("t"), *(F.slice("t", k + 1, F.greatest(F.size("t") - k, F.lit(0))) for k in range(1, width))]
+    w = d.select("id", F.explode(F.arrays_zip(*[c.alias(f"w{k}") for k, c in enumerate(shifted)])).alias("w")).select("id", *[F.col(f"w.w{k}") for k in range(width)])
+    names = [F.col(f"w{k}") for k in range(width)]
+    slot = [c.startswith("<") for c in names]
+    literal = sum((F.when(c.startswith("<") | (c == ""), 0).otherwise(1) for c in names), F.lit(0))
+    any_slot = slot[0]
+    for c in slot[1:]:
+        any_slot = any_slot | c
+    w = w.filter(names[-1].isNotNull() & (literal >= 2))
+    return w.select("id", F.xxhash64(*[kind(c) for c in names]).alias("h"), F.when(any_slot, F.array(*names)).alias("slots"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_windows, n_shared, coverage, n_slots, consistency): documents that hold a benchmark item, its parameters changed or not.
 
     An item is held if ``share`` of its distinct template windows occur in the document and, where slots take part,
-    ``share`` of its slot words (each distinct word of the item, by type) map to a single word of the document.
+    ``share`` of its slot values (each distinct one, by type) map to a single value of the document.
     Items shorter than ``width`` words, and empty or null texts, take no part. Rows that share an id are judged together.
     Windows of documents meet the benchmark's in a hash join. The benchmark's side is broadcast only after its
     windows have been counted, up to BROADCAST_WINDOWS; beyond, the join is shuffled. Only matches are aggregated.
     """
-    b = _windows(benchmark.select("item_id", "text"), "item_id", width).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"))
-    keys = b.groupBy("h").agg(F.collect_set(F.struct("item_id", "item_pos", "item_slots")).alias("items"))
+    b = _windows(benchmark.select("item_id", "text"), "item_id", width).select(F.col("id").alias("item_id"), "h", F.col("slots").alias("item_slots"))
+    keys = b.groupBy("h").agg(F.collect_set(F.struct("item_id", "item_slots")).alias("items"))
     n = b.count()
     keys = F.broadcast(keys) if n <= BROADCAST_WINDOWS else keys
-    hit = _windows(docs.select("doc_id", "text"), "id" if "doc_id" not in docs.columns else "doc_id", width).join(keys, "h")
-    hit = hit.select(F.col("id").alias("doc_id"), "h", "slots", F.explode("items").alias("i")).select("doc_id", "h", "slots", "i.*")
-    shared = hit.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("n_shared"))
+    hit = _windows(docs.select("doc_id", "text"), "doc_id", width).join(keys, "h").select(F.col("id").alias("doc_id"), "h", "slots", "items")
+    hit = hit.select("doc_id", "h", "slots", F.explode("items").alias("i")).select("doc_id", "h", "slots", "i.*")
+    once = hit.groupBy("doc_id", "item_id", "h").agg(F.collect_set(F.when(F.col("slots").isNotNull(), F.struct("slots", "item_slots"))).alias("slots"))
     whole = b.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"))
-    shared = shared.join(F.broadcast(whole) if n <= BROADCAST_WINDOWS else whole, "item_id").filter(F.col("n_shared") >= share * F.col("n_windows"))
-
-    pairs = hit.filter("slots is not null").select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("slots.raw").alias("now"), F.col("slots.tmpl").alias("kind"), F.col("item_slots.raw").alias("was"))).alias("z")).filter(F.col("z.kind").contains("<"))
-    strip = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
-    one = pairs.groupBy("doc_id", "item_id", "z.kind", strip(F.col("z.was")).alias("was")).agg((F.min(strip(F.col("z.now"))) == F.max(strip(F.col("z.now")))).alias("same"))
-    slots = one.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.avg(F.col("same").cast("double")).alias("consistency"))
-    s = slots.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "n_slots", "consistency")
-    out = shared.join(s, shared.doc_id.eqNullSafe(s.d) & shared.item_id.eqNullSafe(s.i), "left")
-    out = out.select("doc_id", "item_id", "n_windows", "n_shared", (F.col("n_shared") / F.col("n_windows")).alias("coverage"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
+    found = once.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.flatten(F.collect_list("slots")).alias("slots"))
+    found = found.join(F.broadcast(whole) if n <= BROADCAST_WINDOWS else whole, "item_id").filter(F.col("n_shared") >= share * F.col("n_windows"))
+
+    pairs = F.flatten(F.transform("slots", lambda s: F.filter(F.arrays_zip(s["slots"].alias("now"), s["item_slots"].alias("was")), lambda z: z["now"].startswith("<"))))
+    found = found.withColumn("pairs", F.array_distinct(pairs)).withColumn("was", F.array_distinct(F.transform("pairs", lambda z: z["was"])))
+    same = F.filter("was", lambda x: F.size(F.filter("pairs", lambda z: z["was"] == x)) == 1)
+    out = found.select("doc_id", "item_id", "n_windows", "n_shared", (F.col("n_shared") / F.col("n_windows")).alias("coverage"), F.size("was").cast("long").alias("n_slots"), F.when(F.size("was") > 0, F.size(same) / F.size("was")).otherwise(F.lit(1.0)).alias("consistency"))
     return out.filter(F.col("consistency") >= share)
 
 
