@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -19,13 +20,14 @@ from .textnum import pieces
 
 #: A block ends with the document that brings it to so many tokens.
 BLOCK_TOKENS = 1 << 19
-CACHED = 600_000
+CACHED = 500_000
 #: What the word vocabulary's file says of its splits: none of them crosses white space.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters beyond those for which Python's lower case and white space agree with the library's normaliser.
 _OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
 
 
+_RUN = re.compile(r"(?:[^\w\s]|_)[.,]")
 #: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
@@ -36,7 +38,8 @@ class _Known(dict):
     """Ids of each distinct word, as bytes; tokenised when first met, and begun afresh after CACHED words."""
 
     def __init__(self, tokenizer) -> None:
-        self.model, self.pre, self.kind = tokenizer.model, tokenizer.pre_tokenizer, "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model, self.pre = tokenizer.model, tokenizer.pre_tokenizer
+        self.kind, self.code = ("<u2", "H") if tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED:
@@ -52,7 +55,7 @@ class _Known(dict):
             if len(parts) > 1:
                 return self.setdefault(word, b"".join([self[p] for p in parts]))
             found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
-        out = self[word] = np.array(found, self.kind).tobytes()
+        out = self[word] = struct.pack(f"<{len(found)}{self.code}", *found)
         return out
 
 
@@ -83,7 +86,13 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.by_word or any(s in text for s in self.special):
             return self.whole(text)
-        parts = self.tokenizer.normalizer.normalize_str(text).split(" ") if _OTHER.search(text) else text.lower().split()
+        if _OTHER.search(text):
+            parts = self.tokenizer.normalizer.normalize_str(text).split(" ")
+        else:
+            text = text.lower()
+            if not _RUN.search(text):  # a mark alone is a piece: apart from it, fewer words are distinct
+                text = text.replace(", ", " , ").replace(". ", " . ")
+            parts = text.split()
         return b"".join(map(self.known.__getitem__, parts))
 
 
