@@ -20,7 +20,7 @@ from .textnum import pieces
 
 #: A block ends with the document that brings it to so many tokens.
 BLOCK_TOKENS = 1 << 19
-CACHED = 500_000
+CACHED = 400_000
 #: What the word vocabulary's file says of its splits: none of them crosses white space.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters beyond those for which Python's lower case and white space agree with the library's normaliser.
