@@ -168,7 +168,7 @@ def oracle_sql() -> dict[str, str]:
         "upsert_latest": "with e as (select *, row_number() over (partition by user_id order by ts >= timestamp '2024-01-15' desc, ts desc, event_id desc) as n from events) select user_id as id, event_id, event_type, value from e where n = 1",
         "insert_ignore": "select distinct l_orderkey as job_id, l_partkey as skill_id from lineitem",
         "bulk_update": f"{_JOBS} select id, case when id % 12 = 0 then 'cloud' when id % 6 = 0 then null else role_category end as role_category from jobs",
-        "sdmx_unravel": "select 'g' || cast(n_nationkey // 5 as varchar) as country_code, cast(2019 + n_nationkey % 5 as smallint) as year, n_nationkey * 1.5 as value from nation",
+        "sdmx_unravel": "select 'g' || cast(n_nationkey // 5 as varchar) as country_code, cast(2019 + n_nationkey % 5 as smallint) as year, cast(n_nationkey * 1.5 as double) as value from nation",
         "deactivate_old": f"{_JOBS} select id, is_active and not coalesce(posted_at < timestamp '{AS_OF}' - interval 90 day, false) as is_active from jobs",
         "relink_alias": """with s as (select p_name as name, min(p_partkey) as id from part group by p_name), l as (select distinct l_orderkey as job_id, p_name as name from lineitem join part on p_partkey = l_partkey where l_partkey % 50 <> 0)
           select distinct job_id, s.id as skill_id from l join s on s.name = case when l.name in ('old ring', 'hot gear') then 'blue ring' else l.name end""",
