@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from harvestry.llm import decontam, dedup, lang_id, mixing, tokens
 from harvestry.llm.queries import END_ID, table, vocabulary_path
-from harvestry.llm.shared import stage
+from harvestry.llm.shared import small_batches, stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised; those without letters (null and empty texts too) go."""
+    small_batches(spark)
     names = [f.name for f in docs.schema.fields if f.name != "text"]
     found = lang_id.identify(docs, lang_id.fit(docs), "text", *names)
     return found.filter(lang_id.by_language(F.col("lang_pred"))).select(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, dedup, html_extract, lang_id, mixing, tokens, topk, toxicity, urls
-from .shared import held_out
+from .shared import held_out, small_batches
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 FIRST_DAY, DAYS = "2024-01-01", 365
@@ -33,6 +33,7 @@ TOOLS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

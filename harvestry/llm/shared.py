@@ -28,6 +28,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    small_batches(spark)
     df.write.parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
@@ -44,6 +45,11 @@ def _clean() -> None:
             pass
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in each Arrow batch of the session: whole texts are long, and batches count in executors' memory on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % modulus == remainder, F.lit(False))

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-CHUNK_CHARS = 1_500_000
+CHUNK_BYTES = 1_000_000
 
 
 def alnum_table() -> np.ndarray:
@@ -65,8 +66,11 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp, starts
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (a run of letters and digits, in lower case) and the index of its text, in order."""
+def words(texts: list[str], block: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word (a run of letters and digits, in lower case) and the index of its text, in order.
+
+    Works through the code points in blocks that end between words, so wide arrays stay small for long texts too.
+    """
     cp, starts = codes(texts)
     low = alnum_table()[cp]
     inside = low != 0
@@ -74,10 +78,17 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(inside) and inside[0]:
         edge = np.concatenate(([0], edge))
     begin, end = edge[0::2], edge[1::2]
-    up, down = powers(len(low) + 1)
-    total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=total[1:])
-    h = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    h = np.empty(len(begin), np.uint64)
+    first = 0
+    while first < len(begin):
+        last = max(first + 1, int(np.searchsorted(begin, begin[first] + block)))
+        at, to = begin[first], end[last - 1]
+        up, down = powers(int(to - at) + 1)
+        total = np.zeros(to - at + 1, np.uint64)
+        np.cumsum((low[at:to].astype(np.uint64) + np.uint64(1)) * up[: to - at], out=total[1:])
+        x, y = begin[first:last] - at, end[first:last] - at
+        h[first:last] = mix((total[y] - total[x]) * down[x] + (y - x).astype(np.uint64))
+        first = last
     return h, np.searchsorted(starts, begin, side="right") - 1
 
 
@@ -97,15 +108,14 @@ def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tuple[n
     return runs[keep], doc[keep]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches of about so many characters at most (one text at least), with their texts; null is empty."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES, rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches of about so many bytes and rows at most (one text at least), with their texts; null is empty."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, size = 0, 0
-        for k, t in enumerate(texts):
-            if size and size + len(t) > most:
-                yield batch.slice(start, k - start), texts[start:k]
+        for k, n in enumerate([*sizes, most + 1]):
+            if k > start and (size + n > most or k - start >= rows):
+                part = batch.slice(start, k - start)
+                yield part, [t or "" for t in part.column(column).to_pylist()]
                 start, size = k, 0
-            size += len(t) + 1
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += n + 1
