@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stage
+
 WIDTH = 5
 #: Units that follow a number; fixed values.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|s|ms|min|h|hours|minutes|seconds|days|years|usd|eur|gbp|dollars|euros|cents|percent|meters|metres|miles|feet|inches|litres|liters|grams|kilograms|°c|°f|%|€|\\$|£"
@@ -74,6 +76,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    bad = find_leaks(docs, benchmark, **how).select("doc_id").distinct()
+    """docs without those that hold a benchmark item. Their ids are written, counted, and broadcast up to BROADCAST_WINDOWS."""
+    bad = stage(find_leaks(docs, benchmark, **how).select("doc_id").distinct(), "leaks")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_WINDOWS else bad
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

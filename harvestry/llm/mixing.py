@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stage
+
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
+#: Up to so many sources their targets are broadcast, after they were counted; beyond, the join is shuffled.
+BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -66,6 +70,8 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), epochs: flo
     edge = steps.groupBy("source").agg(F.min(F.when(F.col("below") + F.col("words") > F.col("rest"), F.struct("__bucket", ((F.col("rest") - F.col("below")) / F.col("words")).alias("share")))).alias("edge"))
     e = edge.select(F.col("source").alias("s"), "edge")
     plan = per.join(e, per.source.eqNullSafe(e.s), "left").select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("edge").alias("__edge"))
+    plan = stage(plan, "mix")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
     out = sized.join(plan, sized.source.eqNullSafe(plan["__source"]))
     part = (
         F.when(F.col("__edge").isNull() | (F.col("__bucket") > F.col("__edge.__bucket")), F.lit(0))
