@@ -67,7 +67,7 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), epochs: flo
     per = per.withColumn("rest", (F.col("ratio") - F.col("whole")) * F.col("source_size"))
     s = sums.select(F.col("source").alias("s"), "__bucket", "words")
     steps = per.join(s, per.source.eqNullSafe(s.s)).withColumn("below", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    edge = steps.groupBy("source").agg(F.min(F.when(F.col("below") + F.col("words") > F.col("rest"), F.struct("__bucket", ((F.col("rest") - F.col("below")) / F.col("words")).alias("share")))).alias("edge"))
+    edge = steps.groupBy("source").agg(F.min(F.when((F.col("words") > 0) & (F.col("below") + F.col("words") > F.col("rest")), F.struct("__bucket", ((F.col("rest") - F.col("below")) / F.col("words")).alias("share")))).alias("edge"))
     e = edge.select(F.col("source").alias("s"), "edge")
     plan = per.join(e, per.source.eqNullSafe(e.s), "left").select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("edge").alias("__edge"))
     plan = stage(plan, "mix")
