@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space and the four separators that strip() removes too; all breaks of a line.
-BLANK = r"(?U)[\s\x1c-\x1f]+"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANK = f"[{BLANKS}]+"
 LINE = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 #: Words for and against remote work.
 REMOTE = [r"remoto", r"remote", r"teletrabajo", r"work\s+from\s+home", r"wfh", r"fully\s+remote", r"100%\s*remote", r"distributed\s+team", r"telearbeit", r"homeworking", r"télétravail", r"homeoffice", r"home\s+office"]
@@ -48,10 +49,10 @@ def clean_lines(c: Column, least: int = 15) -> Column:
 
     Duplicates go by first position, found by array_position over the lines' keys; null if nothing stays.
     """
-    lines = F.filter(F.transform(F.split(c, LINE), lambda x: F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")), lambda x: F.length(x) >= least)
+    lines = F.filter(F.transform(F.split(c, LINE), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: F.length(x) >= least)
     keyed = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_replace(x, BLANK, " ")).alias("k"), x.alias("v")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    first = F.filter(keyed, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
+    # A lambda's variable holds the keyed lines, so that they are computed once a text and not once a line.
+    first = F.get(F.transform(F.array(keyed), lambda a: F.filter(a, lambda x, i: F.array_position(a["k"], x["k"]) == i + 1)), F.lit(0))
     return normal(F.array_join(F.transform(first, lambda x: x["v"]), " "))
 
 
