@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import give_back
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -119,3 +121,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 yield part, [t or "" for t in part.column(column).to_pylist()]
                 start, size = k, 0
             size += n + 1
+    give_back()

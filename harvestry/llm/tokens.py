@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .shared import stage
+from .shared import give_back, stage
 from .textnum import pieces
 
 #: A block ends with the document that brings it to so many tokens.
@@ -168,6 +168,7 @@ def write_blocks(tokens: DataFrame, table: rans.Table, size: int, block_tokens:
                 held += len(ids) // int(kind[2])
         if docs:
             yield flush()
+        give_back()
 
     return tokens.select("shard", "seq", "doc_id", "ids").mapInArrow(blocks, "shard int, first_seq long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary")
 
@@ -181,27 +182,39 @@ def block_starts(files: DataFrame) -> DataFrame:
     return blocks.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(before, "shard").select("shard", "first_seq", (F.col("base") + F.col("inner")).alias("block_start"))
 
 
-def read_blocks(files: DataFrame, table: rans.Table) -> DataFrame:
-    """(shard, first_seq, doc_id, inner, n_tokens, ids): each document from its block, ids as little-endian u32."""
+def _documents(batches: Iterator[pa.RecordBatch], table: rans.Table) -> Iterator[tuple[dict, np.ndarray, list[bytes]]]:
+    """Each block of files: its row, where its documents begin, and their ids as little-endian u32."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            r = batch.slice(k, 1).to_pylist()[0]
+            ids = rans.decode(r.pop("payload"), table).astype("<u4")
+            ends = np.cumsum(r["lengths"])
+            if not len(ends) or ends[-1] != len(ids):
+                raise ValueError("a block's documents don't add up to its ids")
+            begins = ends - r["lengths"]
+            yield r, begins, [ids[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]
+    give_back()
+
+
+def _read(files: DataFrame, table: rans.Table, name: str, kind: pa.DataType, made) -> DataFrame:
+    """(shard, first_seq, doc_id, inner, n_tokens, name): what ``made`` makes of each document's ids, as they are decoded."""
     shared = files.sparkSession.sparkContext.broadcast(table)
+    names = ["shard", "first_seq", "doc_id", "inner", "n_tokens", name]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                ids = rans.decode(r["payload"], t).astype("<u4")
-                ends = np.cumsum(r["lengths"])
-                if not len(ends) or ends[-1] != len(ids):
-                    raise ValueError("a block's documents don't add up to its ids")
-                begins = ends - r["lengths"]
-                n = len(ends)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["shard"]] * n, pa.int32()), pa.array([r["first_seq"]] * n, pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(begins), pa.array(r["lengths"], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())],
-                    ["shard", "first_seq", "doc_id", "inner", "n_tokens", "ids"],
-                )
-
-    return files.mapInArrow(rows, "shard int, first_seq long, doc_id long, inner long, n_tokens long, ids binary")
+        for r, begins, ids in _documents(batches, shared.value):
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["shard"]] * n, pa.int32()), pa.array([r["first_seq"]] * n, pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(begins), pa.array(r["lengths"], pa.int64()), pa.array(map(made, ids), kind)], names
+            )
+
+    sql = "binary" if pa.types.is_binary(kind) else "long"
+    return files.mapInArrow(rows, f"shard int, first_seq long, doc_id long, inner long, n_tokens long, {name} {sql}")
+
+
+def read_blocks(files: DataFrame, table: rans.Table) -> DataFrame:
+    """(shard, first_seq, doc_id, inner, n_tokens, ids): each document from its block, ids as little-endian u32."""
+    return _read(files, table, "ids", pa.binary(), bytes)
 
 
 def encode_corpus(docs: DataFrame, vocabulary: str, end_id: int = 1, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, rans.Table]:
@@ -219,12 +232,6 @@ def encode_corpus(docs: DataFrame, vocabulary: str, end_id: int = 1, block_token
 
 
 def digests(files: DataFrame, table: rans.Table) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32), read back from the files."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("shard", "first_seq", "doc_id", "inner", "n_tokens")), pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())], ["shard", "first_seq", "doc_id", "inner", "n_tokens", "ids_crc32"])
-
-    docs = read_blocks(files, table)
-    inner = docs.mapInArrow(crc, "shard int, first_seq long, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    """(doc_id, start, n_tokens, ids_crc32), read back from the files; one worker a task decodes and digests."""
+    inner = _read(files, table, "ids_crc32", pa.int64(), zlib.crc32)
     return inner.join(block_starts(files), ["shard", "first_seq"]).select("doc_id", (F.col("block_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
