@@ -20,7 +20,7 @@ from .textnum import pieces
 
 #: A block ends with the document that brings it to so many tokens.
 BLOCK_TOKENS = 1 << 19
-CACHED = 400_000
+CACHED = 200_000
 #: What the word vocabulary's file says of its splits: none of them crosses white space.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters beyond those for which Python's lower case and white space agree with the library's normaliser.
@@ -35,19 +35,24 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class _Known(dict):
-    """Ids of each distinct word, as bytes; tokenised when first met, and begun afresh after CACHED words."""
+    """Ids of each distinct word, as bytes; tokenised when first met. After CACHED words they are set aside until as many others came; those met meanwhile stay."""
 
     def __init__(self, tokenizer) -> None:
+        self.old: dict[str, bytes] = {}
         self.model, self.pre = tokenizer.model, tokenizer.pre_tokenizer
         self.kind, self.code = ("<u2", "H") if tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED:
+            self.old = dict(self)
             self.clear()
-        if _OTHER.search(word):
-            found = [t.id for part, _ in self.pre.pre_tokenize_str(word) for t in self.model.tokenize(part)]
-        elif word.isascii() and word.isalpha():
+        if (found := self.old.get(word)) is not None:
+            self[word] = found
+            return found
+        if word.isascii() and word.isalpha():
             found = [t.id for t in self.model.tokenize(word)]
+        elif _OTHER.search(word):
+            found = [t.id for part, _ in self.pre.pre_tokenize_str(word) for t in self.model.tokenize(part)]
         elif word.isalpha():
             found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
         else:
