@@ -140,6 +140,16 @@ def test_toxicity(spark):
     got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
     assert sum((got[i] >= 0.5) == bool(t) for i, t in labels) >= 396 and got[902] > 0.5 and got[900] == got[901] < 0.5
     assert toxicity.fit(docs, y.filter("toxic = 0")) == 0.0
+    more = docs.union(spark.createDataFrame([(1000 + i, "vile weather") for i in range(300)], docs.schema))
+    assert toxicity.fit(more, y).ratio.tolist() != toxicity.fit(docs, y).ratio.tolist()  # the backoff counts documents without labels
+    assert toxicity.fit(spark.createDataFrame([(1, None)], docs.schema), y) == 0.25
+
+
+def test_document_counts(spark):
+    rows = [(1, "a b a"), (2, "A c"), (2, "A c"), (3, None), (4, "b " * 10)]
+    got = {r.word: r.docs for r in toxicity.document_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    at = lambda w: int(words([w])[0].view(np.int64)[0])
+    assert got == {at("a"): 3, at("b"): 2, at("c"): 2}
 
 
 def test_words_in_blocks():
