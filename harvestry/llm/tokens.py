@@ -20,14 +20,14 @@ from .textnum import pieces
 
 #: A block ends with the document that brings it to so many tokens.
 BLOCK_TOKENS = 1 << 19
-CACHED = 200_000
+CACHED = 400_000
 #: What the word vocabulary's file says of its splits: none of them crosses white space.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters beyond those for which Python's lower case and white space agree with the library's normaliser.
 _OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
 
 
-_RUN = re.compile(r"(?:[^\w\s]|_)[.,]")
+_RUN = re.compile(r"[.,](?<=[^\w\s].|_.)")  # a mark before a stop or comma; the search begins at those
 #: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
@@ -96,7 +96,7 @@ class Encoder:
         else:
             text = text.lower()
             if not _RUN.search(text):  # a mark alone is a piece: apart from it, fewer words are distinct
-                text = text.replace(", ", " , ").replace(". ", " . ")
+                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
             parts = text.split()
         return b"".join(map(self.known.__getitem__, parts))
 
