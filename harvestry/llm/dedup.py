@@ -15,8 +15,10 @@ from .textnum import mix, pieces, shingles, words
 WIDTH, SIMILARITY = 5, 0.8
 #: Registers of a signature: BANDS times ROWS. A pair of similarity 0.8 meets in a band with probability 0.9993.
 BANDS, ROWS = 24, 6
-#: Members of each band's bucket, chosen by hash, that all its members are compared with, besides the first by id.
+#: Members of each band's bucket, chosen by hash, that all its members are compared with at first, besides the first by id.
 PIVOTS = 3
+#: Slots of the counts that order shingles from rare to common.
+SLOTS = 1 << 18
 
 
 def weighted(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,19 +128,76 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(sets, "id long, hashes binary, weights binary")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, from nodes (id, rep, keys): each member of a band's bucket with the bucket's pivots.
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(id, key, n, others) from nodes (id, rep, keys): each member of a band's bucket of n, two at least, with the bucket's pivots.
 
     One pivot is the member with the smallest document id, PIVOTS more are chosen by hashes that differ from band to
-    band, so a member of a large group meets up to (1 + PIVOTS) * BANDS of its members, and small groups meet in full, but
-    the pairs grow with the members and not with their square. Buckets of one are gone before the join.
+    band, so rows grow with the members and not with their square. Buckets of one are gone before the join.
     """
     rows = nodes.select("id", "rep", F.explode("keys").alias("key"))
-    pivots = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", "rep").alias("p"), *[F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias(f"q{k}") for k in range(PIVOTS)]).filter("n > 1").drop("n")
-    met = rows.select("id", "key").join(pivots, "key").select("id", F.explode(F.array_distinct(F.array("p", *[f"q{k}" for k in range(PIVOTS)]))).alias("other")).filter("id <> other")
+    pivots = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", "rep").alias("p"), *[F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias(f"q{k}") for k in range(PIVOTS)]).filter("n > 1")
+    return rows.select("id", "key").join(pivots, "key").select("id", "key", "n", F.array_distinct(F.array("p", *[f"q{k}" for k in range(PIVOTS)])).alias("others"))
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: the members of buckets() with their pivots."""
+    met = met.select("id", F.explode("others").alias("other")).filter("id <> other")
     return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, token): the first shingles of each set, in one order for all sets, of which two sets that reach similarity share one.
+
+    All that two sets share stands at or after their first common shingle. So from there on each has at least
+    similarity of its shingles (for plain Jaccard) or of its weight (probability Jaccard is at most the overlap of the
+    normalised weights). Rare shingles come first, by counts in SLOTS hashed slots: any order is right, and a
+    passage that many texts share stays out of their prefixes while it is less than similarity of a text.
+    """
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for c in batch.column("hashes"):
+                total += np.bincount(np.frombuffer(c.as_buffer(), "<u4") % SLOTS, minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    found = sets.select("hashes").mapInArrow(counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(SLOTS, np.int64)
+    common[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tokens = [], []
+            for i, c, x in zip(batch.column("id").to_pylist(), batch.column("hashes"), batch.column("weights"), strict=True):
+                h, w = np.frombuffer(c.as_buffer(), "<u4"), np.frombuffer(x.as_buffer(), "<u4")
+                order = np.lexsort((h, common[h % SLOTS]))
+                w = np.ones(len(h), np.int64) if not len(w) else w[order].astype(np.int64)
+                rest = lambda w: w[::-1].cumsum()[::-1] / max(w.sum(), 1)
+                take = int(np.maximum(rest(w), rest(np.ones(len(h), np.int64))).__ge__(similarity - 1e-9).sum())
+                ids.append(np.full(take, i, np.int64))
+                tokens.append(h[order[:take]].astype(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(tokens))], ["id", "token"])
+        give_back()
+
+    return sets.mapInArrow(first, "id long, token long")
+
+
+def left_over(met: DataFrame, label: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct (a, b), a < b: all pairs of different labels that may reach similarity, among the members of buckets of three and more that still hold different labels."""
+    labelled = lambda rows: rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = labelled(met.filter("n > 2").select("id", "key"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    ids = stage(rows.join(mixed, "key").select("id").distinct(), "unsettled")
+    tokens = stage(labelled(prefixes(sets.join(ids, "id"), similarity)), "prefixes")
+    # Of a pair with different labels one at least lacks its token's most frequent label, so a large group never meets itself.
+    shared = tokens.groupBy("token").agg(F.mode("label").alias("most"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token", "most")
+    near = tokens.join(shared, "token")
+    other = near.filter("label <> most").select("token", F.col("id").alias("other"), F.col("label").alias("theirs"))
+    return near.join(other, "token").filter("label <> theirs").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity) of the pairs whose exact probability Jaccard, or plain Jaccard of distinct shingles, reaches similarity."""
     side = lambda name: sets.select(F.col("id").alias(name), F.col("hashes").alias(f"h{name}"), F.col("weights").alias(f"w{name}"))
@@ -191,16 +250,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     Words are runs of letters and digits in lower case; texts with the same words are copies of each other and are
     compared once, by their first row. Null texts count as empty, texts without words are copies of each other, and
     those of fewer than width words have one shingle. Ids may be null (then class_id is, if the class has no other)
-    or repeat. Copies are linked; different texts by candidates() and verify(); classes are connected components.
+    or repeat. Copies are linked; different texts by candidates() and verify(), and where a bucket's members still
+    differ by left_over() and verify(); classes are connected components.
     """
     all_rows = stage(sketch(docs, width, bands, rows), "sketch")
     nodes = all_rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("keys").alias("keys"))
     nodes = stage(nodes.withColumn("id", F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")), "nodes")
-    pairs = stage(candidates(nodes.filter("size(keys) > 0").select("id", F.coalesce("rep", "id").alias("rep"), "keys")), "pairs")
+    met = stage(buckets(nodes.filter("size(keys) > 0").select("id", F.coalesce("rep", "id").alias("rep"), "keys")), "met")
+    pairs = stage(candidates(met), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "rep"), "id").select("id", F.col("rep").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("id", "text")
     sets = stage(shingle_sets(texts, width).dropDuplicates(["id", "hashes"]), "sets")
-    label = components(verify(pairs, sets, similarity))
+    links = stage(verify(pairs, sets, similarity).select("a", "b"), "verified")
+    more = stage(left_over(met, components(links), sets, similarity).join(pairs, ["a", "b"], "left_anti"), "more")
+    label = components(links.union(verify(more, sets, similarity).select("a", "b")))
     classed = nodes.select("node", "id", "rep").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     first = classed.filter("label is not null").groupBy("label").agg(F.min("rep").alias("class_id"))
     by_node = classed.join(first, "label").select("node", "class_id")

@@ -94,6 +94,26 @@ def test_dedup_against_brute_force(spark):
     assert dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_dedup_of_a_passage_in_many_texts(spark):
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = [word() for _ in range(124)]
+    texts = []
+    for _ in range(550):
+        tail = [word() for _ in range(8)]
+        texts += [" ".join(passage + tail + [word() for _ in range(12)]) for _ in range(2)]
+    s, d, _, _ = dedup.weighted(texts)
+    names, at = np.unique(s, return_inverse=True)
+    m = np.zeros((len(texts), len(names)), np.float32)
+    m[d, at] = 1
+    m = m[:, m.sum(0) > 1]
+    both, n = m @ m.T, np.bincount(d)
+    alike = both / (n[:, None] + n - both) >= 0.8
+    assert alike.sum() == 2 * len(texts)  # each with itself and one other
+    got = {x.doc_id: x.class_id for x in dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: int(np.flatnonzero(alike[i])[0]) for i in range(len(texts))}
+
+
 def test_signatures_estimate_probability_jaccard():
     r = random.Random(5)
     a = [f"w{r.randrange(300)}" for _ in range(400)]
