@@ -96,16 +96,21 @@ def jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple
 
 
 def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, keys): a 128-bit hash of the text's words, and the band keys (none if it has fewer than two shingles)."""
+    """(doc_id, node, keys): a 128-bit hash of the text's words, and the band keys, by weighted and by distinct shingles (none if it has no shingle)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, most=700_000):
             s, doc, weight, whole = weighted(texts, width)
-            keys = band_keys(signatures(s, doc, weight, len(texts), bands * rows), bands)
-            many = np.bincount(doc, minlength=len(texts)) > 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([w.tobytes() for w in whole], pa.binary()), pa.array([k if m else [] for k, m in zip(keys, many, strict=True)], pa.list_(pa.int64()))], ["doc_id", "node", "keys"]
-            )
+            n, some = len(texts), np.bincount(doc, minlength=len(texts)) > 0
+            keys = [k if m else [] for k, m in zip(band_keys(signatures(s, doc, weight, n, bands * rows), bands), some, strict=True)]
+            again = np.zeros(n, bool)
+            again[doc[weight > 1]] = True
+            if again.any():  # these meet by plain Jaccard too; without repeated shingles both sets of keys are the same
+                mine, place = again[doc], np.cumsum(again) - 1
+                plain = band_keys(signatures(s[mine], place[doc[mine]], np.ones(int(mine.sum()), np.int64), int(again.sum()), bands * rows), bands)
+                for k, more in zip(np.flatnonzero(again), plain, strict=True):
+                    keys[k] = np.union1d(keys[k], more)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w.tobytes() for w in whole], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketched, "doc_id long, node binary, keys array<bigint>")
 

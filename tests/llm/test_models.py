@@ -114,6 +114,16 @@ def test_dedup_of_a_passage_in_many_texts(spark):
     assert got == {i: int(np.flatnonzero(alike[i])[0]) for i in range(len(texts))}
 
 
+def test_dedup_of_repeats(spark):
+    texts = []
+    for k in range(12):
+        base, line = [f"w{k}x{i}" for i in range(120)], [f"line{k}x{i}" for i in range(10)]
+        texts += [" ".join(base + line), " ".join(base + line * 31)]
+    texts += ["la " * 6, "la " * 7, "so " * 9]
+    got = {x.doc_id: x.class_id for x in dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(27)}
+
+
 def test_signatures_estimate_probability_jaccard():
     r = random.Random(5)
     a = [f"w{r.randrange(300)}" for _ in range(400)]
