@@ -12,6 +12,8 @@ WIDTH = 5
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|s|ms|min|h|hours|minutes|seconds|days|years|usd|eur|gbp|dollars|euros|cents|percent|meters|metres|miles|feet|inches|litres|liters|grams|kilograms|°c|°f|%|€|\\$|£"
 #: Above so many windows the benchmark's side isn't broadcast but joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: Words by which windows of one occurrence may be shifted against each other: names have more or fewer words.
+DRIFT = 8
 
 
 def canonical(text: Column) -> Column:
@@ -34,10 +36,10 @@ def kind(word: Column) -> Column:
 
 
 def _windows(docs: DataFrame, id_column: str, width: int) -> DataFrame:
-    """(id, h, slots): each window of template words that has two literal words at least; its words only where it has a slot."""
-    d = docs.select(F.col(id_column).alias("id"), canonical(F.coalesce("text", F.lit(""))).alias("t"))
+    """(id, row, at, h, slots): each window of template words that has two literal words at least; its words only where it has a slot. row is a hash of id and text."""
+    d = docs.select(F.col(id_column).alias("id"), F.xxhash64(id_column, "text").alias("row"), canonical(F.coalesce("text", F.lit(""))).alias("t"))
     shifted = [F.col("t"), *(F.slice("t", k + 1, F.greatest(F.size("t") - k, F.lit(0))) for k in range(1, width))]
-    w = d.select("id", F.explode(F.arrays_zip(*[c.alias(f"w{k}") for k, c in enumerate(shifted)])).alias("w")).select("id", *[F.col(f"w.w{k}") for k in range(width)])
+    w = d.select("id", "row", F.posexplode(F.arrays_zip(*[c.alias(f"w{k}") for k, c in enumerate(shifted)])).alias("at", "w")).select("id", "row", "at", *[F.col(f"w.w{k}") for k in range(width)])
     names = [F.col(f"w{k}") for k in range(width)]
     slot = [c.startswith("<") for c in names]
     literal = sum((F.when(c.startswith("<") | (c == ""), 0).otherwise(1) for c in names), F.lit(0))
@@ -45,36 +47,64 @@ def _windows(docs: DataFrame, id_column: str, width: int) -> DataFrame:
     for c in slot[1:]:
         any_slot = any_slot | c
     w = w.filter(names[-1].isNotNull() & (literal >= 2))
-    return w.select("id", F.xxhash64(*[kind(c) for c in names]).alias("h"), F.when(any_slot, F.array(*names)).alias("slots"))
+    return w.select("id", "row", "at", F.xxhash64(*[kind(c) for c in names]).alias("h"), F.when(any_slot, F.array(*names)).alias("slots"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_shared, coverage, n_slots, consistency): documents that hold a benchmark item, its parameters changed or not.
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-    An item is held if ``share`` of its distinct template windows occur in the document and, where slots take part,
-    ``share`` of its slot values (each distinct one, by type) map to a single value of the document.
-    Items shorter than ``width`` words, and empty or null texts, take no part. Rows that share an id are judged together.
-    Windows of documents meet the benchmark's in a hash join. The benchmark's side is broadcast only after its
-    windows have been counted, up to BROADCAST_WINDOWS; beyond, the join is shuffled. Only matches are aggregated.
+
+def _mapping(hits: Column) -> Column:
+    """(n, consistency) of matched windows: the distinct slot values of the item, by type, and the share that map to a single value."""
+    slots = F.filter(hits, lambda x: x["slots"].isNotNull() & x["item_slots"].isNotNull())
+    pairs = F.array_distinct(F.flatten(F.transform(slots, lambda s: F.filter(F.arrays_zip(s["slots"].alias("now"), s["item_slots"].alias("was")), lambda z: z["now"].startswith("<")))))
+    was = lambda p: F.array_distinct(F.transform(p, lambda z: z["was"]))
+    same = lambda p, w: F.filter(w, lambda x: F.size(F.filter(p, lambda z: z["was"] == x)) == 1)
+    return _let(pairs, lambda p: _let(was(p), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(F.size(w) > 0, F.size(same(p, w)) / F.size(w)).otherwise(F.lit(1.0)).alias("consistency"))))
+
+
+def _aligned(hits: Column, n_windows: Column, share: float) -> Column:
+    """The best consistency of an occurrence that holds share of the item's windows; 0 if there is none.
+
+    An occurrence has one shift between the document's and the item's positions, DRIFT words apart at most; of an
+    item's window its nearest match counts.
     """
-    b = _windows(benchmark.select("item_id", "text"), "item_id", width).select(F.col("id").alias("item_id"), "h", F.col("slots").alias("item_slots"))
-    keys = b.groupBy("h").agg(F.collect_set(F.struct("item_id", "item_slots")).alias("items"))
+    near = lambda d: F.filter(hits, lambda x: (F.abs(x["shift"] - d) <= DRIFT) & ~F.exists(hits, lambda y: (y["item_at"] == x["item_at"]) & (F.abs(y["shift"] - d) < F.abs(x["shift"] - d))))
+    judged = lambda s: F.when(F.size(F.array_distinct(F.transform(s, lambda x: x["h"]))) >= share * n_windows, _mapping(s)["consistency"]).otherwise(F.lit(0.0))
+    return F.array_max(F.transform(F.array_distinct(F.transform(hits, lambda x: x["shift"])), lambda d: _let(near(d), judged)))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, share: float) -> DataFrame:
+    """find_leaks() with the row's hash."""
+    b = _windows(benchmark.select("item_id", "text"), "item_id", width).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
+    keys = b.groupBy("h").agg(F.collect_set(F.struct("item_id", "item_at", "item_slots")).alias("items"))
     n = b.count()
     keys = F.broadcast(keys) if n <= BROADCAST_WINDOWS else keys
-    hit = _windows(docs.select("doc_id", "text"), "doc_id", width).join(keys, "h").select(F.col("id").alias("doc_id"), "h", "slots", "items")
-    hit = hit.select("doc_id", "h", "slots", F.explode("items").alias("i")).select("doc_id", "h", "slots", "i.*")
-    once = hit.groupBy("doc_id", "item_id", "h").agg(F.collect_set(F.when(F.col("slots").isNotNull(), F.struct("slots", "item_slots"))).alias("slots"))
+    hit = _windows(docs.select("doc_id", "text"), "doc_id", width).join(keys, "h").select("row", F.col("id").alias("doc_id"), "h", "at", "slots", F.explode("items").alias("i"))
+    hit = hit.select("row", "doc_id", "i.item_id", F.struct("h", "i.item_at", (F.col("at") - F.col("i.item_at")).alias("shift"), "slots", "i.item_slots").alias("hit"))
     whole = b.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"))
-    found = once.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.flatten(F.collect_list("slots")).alias("slots"))
+    found = hit.groupBy("row", "doc_id", "item_id").agg(F.collect_set("hit").alias("hits")).withColumn("n_shared", F.size(F.array_distinct(F.transform("hits", lambda x: x["h"]))).cast("long"))
     found = found.join(F.broadcast(whole) if n <= BROADCAST_WINDOWS else whole, "item_id").filter(F.col("n_shared") >= share * F.col("n_windows"))
-
-    pairs = F.flatten(F.transform("slots", lambda s: F.filter(F.arrays_zip(s["slots"].alias("now"), s["item_slots"].alias("was")), lambda z: z["now"].startswith("<"))))
-    found = found.withColumn("pairs", F.array_distinct(pairs)).withColumn("was", F.array_distinct(F.transform("pairs", lambda z: z["was"])))
-    same = F.filter("was", lambda x: F.size(F.filter("pairs", lambda z: z["was"] == x)) == 1)
-    out = found.select("doc_id", "item_id", "n_windows", "n_shared", (F.col("n_shared") / F.col("n_windows")).alias("coverage"), F.size("was").cast("long").alias("n_slots"), F.when(F.size("was") > 0, F.size(same) / F.size("was")).otherwise(F.lit(1.0)).alias("consistency"))
+    found = found.withColumn("all", _mapping(F.col("hits")))
+    best = F.when(F.col("all.consistency") >= share, F.col("all.consistency")).otherwise(F.greatest("all.consistency", _aligned(F.col("hits"), F.col("n_windows"), share)))
+    out = found.select("row", "doc_id", "item_id", "n_windows", "n_shared", (F.col("n_shared") / F.col("n_windows")).alias("coverage"), F.col("all.n").alias("n_slots"), best.alias("consistency"))
     return out.filter(F.col("consistency") >= share)
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_shared, coverage, n_slots, consistency): documents that hold a benchmark item, its parameters changed or not.
+
+    An item is held if ``share`` of its distinct template windows occur in the document and, where slots take part,
+    ``share`` of its slot values (each distinct one, by type) map to a single value, of the document or of one
+    occurrence in it that holds ``share`` of the windows.
+    Items shorter than ``width`` words, and empty or null texts, take no part. Rows are judged each alone, those that share an id too.
+    Windows of documents meet the benchmark's in a hash join. The benchmark's side is broadcast only after its
+    windows have been counted, up to BROADCAST_WINDOWS; beyond, the join is shuffled. Only matches are aggregated.
+    """
+    return _leaks(docs, benchmark, width, share).drop("row")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without those that hold a benchmark item. Their ids are written, counted, and broadcast up to BROADCAST_WINDOWS."""
     bad = stage(find_leaks(docs, benchmark, **how).select("doc_id").distinct(), "leaks")

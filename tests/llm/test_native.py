@@ -58,6 +58,17 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs.filter("false"), bench).count() == 0
 
 
+def test_leaks_by_occurrence(spark):
+    item = "A train leaves Rome with Maria Rossi on board and goes 120 km in 3 hours before it stops at the old station by the river for lunch"
+    other = item.replace("Maria Rossi", "Anna Bianchi").replace("120", "480").replace(" 3 ", " 7 ").replace("Rome", "Oslo")
+    again = "on monday the baker sold 12 loaves of bread and on tuesday the baker sold 30 loaves of bread and then he sold 7 loaves of bread to us"
+    changed = again.replace("12", "15").replace("30", "41").replace(" 7 ", " 9 ")
+    docs = spark.createDataFrame([(1, other + ". " + item), (2, again), (3, changed + ". " + again), (4, changed), (5, "no item in here at all, only words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, again)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()} == {(1, 10), (2, 11), (3, 11), (4, 11)}
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [5]
+
+
 def test_chat(spark):
     call = lambda *c: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in c]})
     rows = [
