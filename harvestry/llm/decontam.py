@@ -17,7 +17,7 @@ DRIFT = 8
 
 
 def canonical(text: Column) -> Column:
-    """The text's words as template words: a slot is ``<n>``, ``<p>`` or ``<u>`` and then its own value.
+    """The text's words as template words: a slot is ``<n>``, ``<p>`` or ``<u>`` and then its own value, ``<s>`` marks a capitalised word that starts a sentence.
 
     A new line ends a sentence. A capitalised word (its second letter a small one) that doesn't start a sentence is a
     name; digits with separators are a number; a unit right after a number is a unit. All is in lower case, without
@@ -25,29 +25,53 @@ def canonical(text: Column) -> Column:
     """
     t = F.regexp_replace(F.replace(F.translate(text, "<>", ""), F.lit("\n"), F.lit(". ")), r"\s+", " ")
     t = F.regexp_replace(t, r"\p{Lu}(?<=[^.!?: ] ?.)(?<= .)\p{Ll}[\p{L}\p{M}'’-]*", "<p>$0")
+    t = F.regexp_replace(t, r"\p{Lu}(?<=(?:^|[ \"“„«(]).)\p{Ll}[\p{L}\p{M}'’-]*", "<s>$0")
     t = F.regexp_replace(t, r"\p{N}(?<![\p{L}\p{N}].)\p{N}*(?:[.,]\p{N}+)*", "<n>$0")
     t = F.regexp_replace(t, rf"(?i)(<n>[\p{{N}}.,]+ ?)((?:{UNITS})(?![\p{{L}}\p{{N}}]))", "$1<u>$2")
     return F.split(F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}<> ]+", "")), " +")
 
 
-def kind(word: Column) -> Column:
-    """A template word without a slot's value."""
-    return F.when(word.startswith("<"), F.substring(word, 1, 3)).otherwise(word)
+def kind(word: Column, starts: str | None = None) -> Column:
+    """A template word without a slot's value; the first word of a sentence as it is, or as a slot of the type starts."""
+    first = F.substring(word, 4, 2_147_483_647) if starts is None else F.lit(starts)
+    return F.when(word.startswith("<s>"), first).when(word.startswith("<"), F.substring(word, 1, 3)).otherwise(word)
 
 
-def _windows(docs: DataFrame, id_column: str, width: int) -> DataFrame:
-    """(id, row, at, h, slots): each window of template words that has two literal words at least; its words only where it has a slot. row is a hash of id and text."""
+def plain(word: Column) -> Column:
+    """A template word's own value."""
+    return F.when(word.startswith("<"), F.substring(word, 4, 2_147_483_647)).otherwise(word)
+
+
+def _windows(docs: DataFrame, id_column: str, width: int, short: list[int], whole: bool = False) -> DataFrame:
+    """(id, row, at, h, w, p, slots): hashes h of each window, row being a hash of id and text.
+
+    h is the template's hash, with first words of sentences as they are and once more as names (each if it has two
+    literal words at least; w is the former), and the hash p of the plain words, also those of the lengths in short (if
+    whole, of a text of that length only). slots are the window's words where it has a mark.
+    """
     d = docs.select(F.col(id_column).alias("id"), F.xxhash64(id_column, "text").alias("row"), canonical(F.coalesce("text", F.lit(""))).alias("t"))
     shifted = [F.col("t"), *(F.slice("t", k + 1, F.greatest(F.size("t") - k, F.lit(0))) for k in range(1, width))]
-    w = d.select("id", "row", F.posexplode(F.arrays_zip(*[c.alias(f"w{k}") for k, c in enumerate(shifted)])).alias("at", "w")).select("id", "row", "at", *[F.col(f"w.w{k}") for k in range(width)])
+    w = d.select("id", "row", F.size("t").alias("n"), F.posexplode(F.arrays_zip(*[c.alias(f"w{k}") for k, c in enumerate(shifted)])).alias("at", "w")).select("id", "row", "n", "at", *[F.col(f"w.w{k}") for k in range(width)])
     names = [F.col(f"w{k}") for k in range(width)]
-    slot = [c.startswith("<") for c in names]
-    literal = sum((F.when(c.startswith("<") | (c == ""), 0).otherwise(1) for c in names), F.lit(0))
-    any_slot = slot[0]
-    for c in slot[1:]:
-        any_slot = any_slot | c
-    w = w.filter(names[-1].isNotNull() & (literal >= 2))
-    return w.select("id", "row", "at", F.xxhash64(*[kind(c) for c in names]).alias("h"), F.when(any_slot, F.array(*names)).alias("slots"))
+    some = lambda test: sum((F.when(test(c), 1).otherwise(0) for c in names), F.lit(0))
+    full = names[-1].isNotNull()
+    marks, starts = some(lambda c: c.startswith("<")), some(lambda c: c.startswith("<s>"))
+    literal = width - marks - some(lambda c: c == "")
+    w = w.select("id", "row", "n", "at", *names, marks.alias("marks"), starts.alias("starts"), literal.alias("literal"), F.xxhash64(*[kind(c) for c in names]).alias("strict"), F.xxhash64(*[plain(c) for c in names]).alias("plain"))
+    nothing = F.lit(None).cast("long")
+    strict = F.when(F.col("literal") + F.col("starts") >= 2, F.col("strict"))
+    as_is = F.when(F.col("strict") == F.col("plain"), F.col("plain"))
+    one = lambda h, w, p: F.struct(h.alias("h"), w.alias("w"), p.alias("p"))
+    hashes = [
+        F.when(full & strict.isNotNull(), one(strict, strict, as_is)),
+        F.when(full & strict.isNotNull() & (F.col("starts") > 0) & (F.col("literal") >= 2), one(F.xxhash64(*[kind(c, "<p>") for c in names]), strict, nothing)),
+        F.when(full & (strict.isNull() | as_is.isNull()), one(F.col("plain"), nothing, F.col("plain"))),
+    ]
+    for k in short:
+        h = F.xxhash64(*[plain(c) for c in names[:k]])
+        hashes.append(F.when((F.col("n") == k) & (F.col("at") == 0) if whole else names[k - 1].isNotNull(), one(h, nothing, h)))
+    slots = F.when(F.col("marks") > 0, F.array(*names))
+    return w.select("id", "row", "at", slots.alias("slots"), F.explode(F.array_compact(F.array(*hashes))).alias("x")).select("id", "row", "at", "x.*", "slots")
 
 
 def _let(value: Column, then) -> Column:
@@ -57,13 +81,21 @@ def _let(value: Column, then) -> Column:
 
 def _mapping(hits: Column) -> Column:
     """(n, consistency) of matched windows: the distinct slot values of the item, by type, and the share that map to a single value."""
-    slots = F.filter(hits, lambda x: x["slots"].isNotNull() & x["item_slots"].isNotNull())
-    pairs = F.array_distinct(F.flatten(F.transform(slots, lambda s: F.filter(F.arrays_zip(s["slots"].alias("now"), s["item_slots"].alias("was")), lambda z: z["now"].startswith("<")))))
+    slots = F.filter(hits, lambda x: x["w"].isNotNull() & x["slots"].isNotNull() & x["item_slots"].isNotNull())
+    starts = lambda z, mark: z["now"].startswith(mark) | z["was"].startswith(mark)
+    slot = lambda z: starts(z, "<") & ~(starts(z, "<s>") & (plain(z["now"]) == plain(z["was"])))
+    typed = lambda c: F.replace(c, F.lit("<s>"), F.lit("<p>"))
+    both = lambda s: F.filter(F.arrays_zip(s["slots"].alias("now"), s["item_slots"].alias("was")), slot)
+    pairs = F.array_distinct(F.transform(F.flatten(F.transform(slots, both)), lambda z: F.struct(typed(z["now"]).alias("now"), typed(z["was"]).alias("was"))))
     was = lambda p: F.array_distinct(F.transform(p, lambda z: z["was"]))
     same = lambda p, w: F.filter(w, lambda x: F.size(F.filter(p, lambda z: z["was"] == x)) == 1)
     return _let(pairs, lambda p: _let(was(p), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(F.size(w) > 0, F.size(same(p, w)) / F.size(w)).otherwise(F.lit(1.0)).alias("consistency"))))
 
 
+def _distinct(hits: Column, field: str) -> Column:
+    return F.size(F.array_distinct(F.filter(F.transform(hits, lambda x: x[field]), lambda h: h.isNotNull()))).cast("long")
+
+
 def _aligned(hits: Column, n_windows: Column, share: float) -> Column:
     """The best consistency of an occurrence that holds share of the item's windows; 0 if there is none.
 
@@ -71,24 +103,31 @@ def _aligned(hits: Column, n_windows: Column, share: float) -> Column:
     item's window its nearest match counts.
     """
     near = lambda d: F.filter(hits, lambda x: (F.abs(x["shift"] - d) <= DRIFT) & ~F.exists(hits, lambda y: (y["item_at"] == x["item_at"]) & (F.abs(y["shift"] - d) < F.abs(x["shift"] - d))))
-    judged = lambda s: F.when(F.size(F.array_distinct(F.transform(s, lambda x: x["h"]))) >= share * n_windows, _mapping(s)["consistency"]).otherwise(F.lit(0.0))
+    judged = lambda s: F.when(_distinct(s, "w") >= share * n_windows, _mapping(s)["consistency"]).otherwise(F.lit(0.0))
     return F.array_max(F.transform(F.array_distinct(F.transform(hits, lambda x: x["shift"])), lambda d: _let(near(d), judged)))
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, share: float) -> DataFrame:
     """find_leaks() with the row's hash."""
-    b = _windows(benchmark.select("item_id", "text"), "item_id", width).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
-    keys = b.groupBy("h").agg(F.collect_set(F.struct("item_id", "item_at", "item_slots")).alias("items"))
+    items = benchmark.select("item_id", "text")
+    sizes = items.select(F.size(canonical(F.coalesce("text", F.lit("")))).alias("n")).filter(F.col("n").between(2, width - 1)).distinct()
+    short = sorted(r.n for r in sizes.collect())
+    b = _windows(items, "item_id", width, short, True).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", "w", "p", F.col("slots").alias("item_slots"))
+    keys = b.groupBy("h").agg(F.collect_set(F.struct("item_id", "item_at", "w", "p", "item_slots")).alias("items"))
     n = b.count()
     keys = F.broadcast(keys) if n <= BROADCAST_WINDOWS else keys
-    hit = _windows(docs.select("doc_id", "text"), "doc_id", width).join(keys, "h").select("row", F.col("id").alias("doc_id"), "h", "at", "slots", F.explode("items").alias("i"))
-    hit = hit.select("row", "doc_id", "i.item_id", F.struct("h", "i.item_at", (F.col("at") - F.col("i.item_at")).alias("shift"), "slots", "i.item_slots").alias("hit"))
-    whole = b.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"))
-    found = hit.groupBy("row", "doc_id", "item_id").agg(F.collect_set("hit").alias("hits")).withColumn("n_shared", F.size(F.array_distinct(F.transform("hits", lambda x: x["h"]))).cast("long"))
-    found = found.join(F.broadcast(whole) if n <= BROADCAST_WINDOWS else whole, "item_id").filter(F.col("n_shared") >= share * F.col("n_windows"))
+    hit = _windows(docs.select("doc_id", "text"), "doc_id", width, short).join(keys, "h").select("row", F.col("id").alias("doc_id"), "at", "slots", F.explode("items").alias("i"))
+    hit = hit.select("row", "doc_id", "i.item_id", F.struct("i.w", "i.p", "i.item_at", (F.col("at") - F.col("i.item_at")).alias("shift"), "slots", "i.item_slots").alias("hit"))
+    whole = b.groupBy("item_id").agg(F.count_distinct("w").alias("n_windows"), F.count_distinct("p").alias("n_plain"))
+    found = hit.groupBy("row", "doc_id", "item_id").agg(F.collect_set("hit").alias("hits")).withColumn("n_shared", _distinct(F.col("hits"), "w")).withColumn("n_same", _distinct(F.col("hits"), "p"))
+    found = found.join(F.broadcast(whole) if n <= BROADCAST_WINDOWS else whole, "item_id")
+    verbatim = (F.col("n_plain") > 0) & (F.col("n_same") >= share * F.col("n_plain"))
+    found = found.withColumn("verbatim", verbatim).filter(F.col("verbatim") | (F.col("n_windows") > 0) & (F.col("n_shared") >= share * F.col("n_windows")))
     found = found.withColumn("all", _mapping(F.col("hits")))
-    best = F.when(F.col("all.consistency") >= share, F.col("all.consistency")).otherwise(F.greatest("all.consistency", _aligned(F.col("hits"), F.col("n_windows"), share)))
-    out = found.select("row", "doc_id", "item_id", "n_windows", "n_shared", (F.col("n_shared") / F.col("n_windows")).alias("coverage"), F.col("all.n").alias("n_slots"), best.alias("consistency"))
+    best = F.when(F.col("verbatim"), 1.0).when(F.col("all.consistency") >= share, F.col("all.consistency")).otherwise(F.greatest("all.consistency", _aligned(F.col("hits"), F.col("n_windows"), share)))
+    of = lambda same, template: F.when(F.col("verbatim") & (F.col("n_shared") < share * F.col("n_windows")) | (F.col("n_windows") == 0), F.col(same)).otherwise(F.col(template))
+    out = found.select("row", "doc_id", "item_id", of("n_plain", "n_windows").alias("n_windows"), of("n_same", "n_shared").alias("n_shared"), F.col("all.n").alias("n_slots"), best.alias("consistency"))
+    out = out.withColumn("coverage", F.col("n_shared") / F.col("n_windows")).select("row", "doc_id", "item_id", "n_windows", "n_shared", "coverage", "n_slots", "consistency")
     return out.filter(F.col("consistency") >= share)
 
 
@@ -97,8 +136,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
 
     An item is held if ``share`` of its distinct template windows occur in the document and, where slots take part,
     ``share`` of its slot values (each distinct one, by type) map to a single value, of the document or of one
-    occurrence in it that holds ``share`` of the windows.
-    Items shorter than ``width`` words, and empty or null texts, take no part. Rows are judged each alone, those that share an id too.
+    occurrence in it that holds ``share`` of the windows. First words of sentences match as words and as names. An
+    item is held too if ``share`` of its windows of plain lower-case words occur (the counts are theirs if the
+    template's fall short). Items of two words up to ``width`` are one window of plain words. Items of one word, and
+    empty or null texts, take no part; those whose windows all lack literal words are found verbatim only. Rows are judged each alone, those that share an id too.
     Windows of documents meet the benchmark's in a hash join. The benchmark's side is broadcast only after its
     windows have been counted, up to BROADCAST_WINDOWS; beyond, the join is shuffled. Only matches are aggregated.
     """

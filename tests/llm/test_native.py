@@ -69,6 +69,16 @@ def test_leaks_by_occurrence(spark):
     assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [5]
 
 
+def test_leaks_by_words_and_first_names(spark):
+    item = "A train leaves Rome with Maria Rossi on board and goes 120 km in 3 hours before it stops at the old station by the river for lunch"
+    earns = "Weng earns 12 dollars an hour. Betty is saving money for a new wallet. Tom gave her 15 dollars for that. Weng gave Betty twice as much."
+    renamed = earns.replace("Weng", "Olga").replace("Betty", "Ruth").replace("Tom", "Karl")
+    few = "Anna 12 Berta 13 Clara 14 Dora 15"
+    docs = spark.createDataFrame([(1, item.upper()), (2, item.lower()), (3, "So: " + renamed), (4, "we know that water boils, yes"), (5, "x " + few), (6, "water that boils is hot. Nothing else is said here.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, earns), (12, "Water boils"), (13, few)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()} == {(1, 10), (2, 10), (3, 11), (4, 12), (5, 13)}
+
+
 def test_chat(spark):
     call = lambda *c: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in c]})
     rows = [
