@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: How a message's text holds tool traffic: {"tool_calls": [{"id", "name", "arguments": {...}}], "content"?} or {"tool_call_id", "content"}.
 CALL = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:map<string,string>>>,tool_call_id:string>"
+#: The same with the arguments' types.
+TYPED = "struct<tool_calls:array<struct<arguments:map<string,variant>>>>"
 ORDER = {"system": 0, "user": 1, "assistant": 2, "tool": 3}
 
 
@@ -20,7 +22,8 @@ def link_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 
     messages: (conv_id, turn, role, text). schemas: (name, param, type, required), one row a parameter; types string,
     number, integer, boolean. A message whose text is a JSON object with tool_calls gives a row for each call; one
-    with tool_call_id gives a result. Calls and results meet in a hash join on (conv_id, call id), so neither a hot
+    with tool_call_id gives a result, one with both gives both. A calling message's content that is no result is a plain
+    row before its calls. Argument values keep their JSON types. Calls and results meet in a hash join on (conv_id, call id), so neither a hot
     conversation nor a hot first turn is gathered anywhere. The order (anchor_turn, step, turn) is topological: a
     result is anchored at its call's turn when it stands before it, and steps put calls before their results.
 
@@ -32,18 +35,20 @@ def link_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     m = messages.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.lower(F.trim("role")), F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     looks = F.col("text").rlike(r'^\s*\{[\s\S]*"tool_call')
     m = m.withColumn("parsed", F.when(looks, F.from_json("text", CALL)))
+    m = m.withColumn("typed", F.when(looks, F.from_json("text", TYPED)))
     n_calls = F.coalesce(F.size("parsed.tool_calls"), F.lit(0))
     is_result = F.nullif(F.trim("parsed.tool_call_id"), F.lit("")).isNotNull()
     plain = m.filter(F.col("parsed").isNull() | ((n_calls <= 0) & ~F.coalesce(is_result, F.lit(False))))
-    said = plain.select(
+    beside = m.filter((n_calls > 0) & ~F.coalesce(is_result, F.lit(False)) & (F.col("parsed.content") != "")).withColumn("text", F.col("parsed.content"))
+    said = plain.unionByName(beside).select(
         "conv_id", "turn", "role", F.lit(None).cast("string").alias("call_id"), F.col("turn").alias("anchor_turn"), F.lit(0).alias("step"), F.lit("plain").alias("status"),
         F.concat(F.lit('{"content":'), json_text(F.col("text")), F.lit(',"role":'), json_text(F.col("role")), F.lit("}")).alias("message"),
     )
 
     tooled = m.filter(F.col("parsed").isNotNull())
-    calls = tooled.filter(n_calls > 0).select("conv_id", "turn", "role", F.posexplode("parsed.tool_calls").alias("pos", "call"))
-    calls = calls.select("conv_id", "turn", "role", "pos", F.nullif(F.trim("call.id"), F.lit("")).alias("call_id"), F.col("call.name").alias("name"), F.coalesce("call.arguments", F.create_map().cast("map<string,string>")).alias("args"))
-    results = tooled.filter(F.coalesce(is_result, F.lit(False)) & (n_calls <= 0)).select("conv_id", "turn", "role", F.trim("parsed.tool_call_id").alias("call_id"), F.coalesce("parsed.content", F.lit("")).alias("content"))
+    calls = tooled.filter(n_calls > 0).select("conv_id", "turn", "role", "typed", F.posexplode("parsed.tool_calls").alias("pos", "call"))
+    calls = calls.select("conv_id", "turn", "role", "pos", F.nullif(F.trim("call.id"), F.lit("")).alias("call_id"), F.col("call.name").alias("name"), F.coalesce("call.arguments", F.create_map().cast("map<string,string>")).alias("args"), F.get(F.col("typed.tool_calls"), F.col("pos"))["arguments"].alias("typed"))
+    results = tooled.filter(F.coalesce(is_result, F.lit(False))).select("conv_id", "turn", "role", F.trim("parsed.tool_call_id").alias("call_id"), F.coalesce("parsed.content", F.lit("")).alias("content"))
 
     kinds = schemas.groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("param", "type")))).alias("types"), F.collect_set(F.when(F.col("required"), F.col("param"))).alias("needed"))
     first = calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "pos")).alias("first"))
@@ -69,9 +74,10 @@ def link_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
         .when(F.col("n_results").isNull(), "no_result")
         .otherwise("ok")
     )
+    is_text, is_nested = (lambda e, t=t: F.coalesce(F.schema_of_variant(F.element_at(F.col("typed"), e["key"])).rlike(t), F.lit(t == "^STRING")) for t in ("^STRING", "^(OBJECT|ARRAY)"))
     pair = lambda e: F.concat(
         json_text(e["key"]), F.lit(":"),
-        F.when(e["value"].isNull(), "null").when(F.coalesce(F.element_at(F.col("types"), e["key"]), F.lit("string")).isin(*value) & e["value"].rlike(f"{value['number']}|{value['boolean']}"), e["value"]).otherwise(json_text(e["value"])),
+        F.when(e["value"].isNull(), "null").when(is_text(e), json_text(e["value"])).when(is_nested(e), F.to_json(F.element_at(F.col("typed"), e["key"]))).otherwise(e["value"]),
     )
     args = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries("args")), pair), ","), F.lit("}"))
     called = c.select(

@@ -101,6 +101,21 @@ def test_chat(spark):
     assert json.loads(ok.message)["arguments"] == {"limit": 3, "query": "x"}
 
 
+def test_chat_keeps_content_and_types(spark):
+    arguments = {"a": {"y": [1, "2"], "x": None}, "b": [True, {"k": "v"}], "c": 3, "d": "3", "e": False, "f": "false", "g": '{"no": "object"}', "h": None, "i": 2.5}
+    rows = [
+        (1, 0, "assistant", json.dumps({"content": "Let me see", "tool_calls": [{"id": "a", "name": "other", "arguments": arguments}]})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "r", "tool_calls": [{"id": "b", "name": "search", "arguments": {"query": "q"}}]})),
+    ]
+    tools = spark.createDataFrame(queries.TOOLS, "name string, param string, type string, required boolean")
+    got = chat.link_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).collect()
+    by = {(r.turn, r.step, r.status): r.message for r in got}
+    assert len(got) == 4 and set(by) == {(0, 0, "plain"), (0, 1, "unknown_tool"), (1, 1, "no_result"), (1, 2, "linked")}
+    assert json.loads(by[0, 0, "plain"])["content"] == "Let me see" and json.loads(by[1, 2, "linked"])["content"] == "r"
+    assert json.loads(by[0, 1, "unknown_tool"])["arguments"] == arguments
+    assert by[0, 1, "unknown_tool"] == json.dumps(json.loads(by[0, 1, "unknown_tool"]), sort_keys=True, separators=(",", ":"))
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "https://www.bad.example.com/x?y#z"), (2, "http://user@BAD.example.com.:80/"), (3, "https://notbad.example.com"), (4, None), (5, "no url"), (1, "https://www.bad.example.com/x?y#z")], "page_id long, url string")
     entries = spark.createDataFrame([("l", "bad.example.com", "2024-01-02", "add"), ("l", "bad.example.com", "2024-01-05", "remove"), ("m", "example.com", "2024-01-03", "add"), (None, "x", "2024-01-01", "add")], "list string, domain string, day string, action string").withColumn("day", F.to_date("day"))
