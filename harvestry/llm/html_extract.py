@@ -40,48 +40,57 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"(?i)(?:^|[\s\"'/])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+#: Class names with one of these words say what an element has beside it, not what it is.
+BESIDE = frozenset("has with without no by".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS, LINKS_MAIN = 70, 200, 0.15, 0.30, 0.33, 0.66
 GOOD, UNSURE, NOT = 1, 0, -1
+#: How an element is outside the article: by a hint in a compound name, which an article inside it undoes, or for certain.
+HINTED, OUTSIDE = 1, 2
 
 
 @dataclass
 class Block:
     text: str
     linked: int
-    bad: bool
+    bad: int
     main: bool
     heading: bool
 
 
-def _state(tag: str, attributes: str, bad: bool, main: bool) -> tuple[bool, bool]:
+def _state(tag: str, attributes: str, bad: int, main: bool) -> tuple[int, bool]:
     """Whether an element is outside the article, and whether in one that the page names as such."""
     if tag in BAD or tag == "header" and not main:
-        bad = True
-    named = tag in ("article", "main")
+        bad = OUTSIDE
+    named, hint = tag in ("article", "main"), 0
     if attributes and "=" in attributes or "hidden" in attributes:
-        seen = set()
+        seen = []
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                bad = True
+                bad = OUTSIDE
             elif name == "itemprop":
                 named |= value.lower() == "articlebody"
             elif name in ("class", "id", "role"):
-                seen.update(x.lower() for x in _PART.findall(value))
+                seen.extend([x.lower() for x in _PART.findall(v)] for v in value.split())
                 named |= name == "role" and value.lower() in ("main", "article")
-                bad |= name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
-        if tag not in ("html", "body") and seen & (TALK if named else HINTS | TALK):
-            bad = True
+                if name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
+                    bad = OUTSIDE
+        if tag not in ("html", "body"):
+            for parts in seen:
+                found = set(parts) & (TALK if named else HINTS | TALK)
+                if found and not BESIDE & set(parts):
+                    hint = max(hint, OUTSIDE if len(parts) == 1 or found & TALK else HINTED)
+    bad = max(0 if named and bad == HINTED else bad, hint)
     return bad, main or named and not bad
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order: text between block-level tags, references decoded, white space as one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
-    bad = main = False
+    stack: list[tuple[str, int, bool]] = []
+    bad, main = 0, False
     text: list[str] = []
     linked = links = 0
     heading = False
@@ -134,11 +143,11 @@ def blocks(page: str) -> list[Block]:
                             close()
                         del stack[k:]
                     break
-            bad, main = stack[-1][1:] if stack else (False, False)
+            bad, main = stack[-1][1:] if stack else (0, False)
         else:
             if block and stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack and tag == stack[-1][0] and tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
                 stack.pop()
-                bad, main = stack[-1][1:] if stack else (False, False)
+                bad, main = stack[-1][1:] if stack else (0, False)
             now = _state(tag, attributes, bad, main)
             if block or now != (bad, main):
                 if not block:

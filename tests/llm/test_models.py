@@ -202,3 +202,13 @@ def test_html():
     assert html_extract.main_text(plain) == f"{long.strip()}\nShort.\n{long.strip()}"
     assert html_extract.main_text("<article><p>cut off &am") == "cut off &am"
     assert html_extract.main_text("<article><p title='a>b'>x &lt;y&gt; &#233;</p><p") == "x <y> é"
+
+
+def test_html_wrappers():
+    long = "The house of the man that is on the hill and was there for years with all of the people who were in it. " * 3
+    for wrapper in ('class="has-sidebar"', 'class="content-with-sidebar"', 'id="share-page"', 'class="layout side-by-side"'):
+        for inner in ("article", "main", 'div itemprop="articleBody"'):
+            page = f"<body><div {wrapper}><div class='page-menu'><p>{long}menu</p></div><{inner}><p>{long}</p></{inner.split()[0]}></div></body>"
+            assert html_extract.main_text(page) == long.strip(), (wrapper, inner)
+    assert html_extract.main_text(f"<div class='has-sidebar'><p>{long}</p></div>") == long.strip()
+    assert html_extract.main_text(f"<div class='sidebar'><article>{long}</article></div><section id='user-comments'><article>{long}</article></section>") == ""
