@@ -147,7 +147,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those that hold a benchmark item. Their ids are written, counted, and broadcast up to BROADCAST_WINDOWS."""
-    bad = stage(find_leaks(docs, benchmark, **how).select("doc_id").distinct(), "leaks")
+    """docs without those that hold a benchmark item, rows without an id too. Their hashes of id and text are written, counted, and broadcast up to BROADCAST_WINDOWS."""
+    bad = stage(_leaks(docs, benchmark, how.get("width", WIDTH), how.get("share", 0.8)).select(F.col("row").alias("__row")).distinct(), "leaks")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_WINDOWS else bad
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(bad, "__row", "left_anti").select(*docs.columns)

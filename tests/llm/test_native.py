@@ -79,6 +79,13 @@ def test_leaks_by_words_and_first_names(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()} == {(1, 10), (2, 10), (3, 11), (4, 12), (5, 13)}
 
 
+def test_leaks_without_ids(spark):
+    item = "the old baker in our street sold twelve loaves of bread before noon"
+    docs = spark.createDataFrame([(None, item), (None, "something else that is no item"), (3, item), (3, "another text with the same id")], "doc_id long, text string")
+    left = decontam.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.text for r in left.collect()) == ["another text with the same id", "something else that is no item"]
+
+
 def test_chat(spark):
     call = lambda *c: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in c]})
     rows = [
