@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import give_back, stage
+from .shared import free_name, give_back, stage
 from .textnum import mix, pieces, shingles, words
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -19,6 +19,8 @@ BANDS, ROWS = 24, 6
 PIVOTS = 3
 #: Slots of the counts that order shingles from rare to common.
 SLOTS = 1 << 18
+#: Words of 64 bits in a set's bitmap.
+BITMAP = 8
 
 
 def weighted(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +98,7 @@ def jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple
 
 
 def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, keys): a 128-bit hash of the text's words, and the band keys, by weighted and by distinct shingles (none if it has no shingle)."""
+    """(doc_id, raw, node, keys): hashes of the text as it is and, in 128 bits, of its words; the band keys, by weighted and by distinct shingles (none if it has no shingle)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, most=700_000):
@@ -110,13 +112,18 @@ def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
                 plain = band_keys(signatures(s[mine], place[doc[mine]], np.ones(int(mine.sum()), np.int64), int(again.sum()), bands * rows), bands)
                 for k, more in zip(np.flatnonzero(again), plain, strict=True):
                     keys[k] = np.union1d(keys[k], more)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w.tobytes() for w in whole], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), pa.array([w.tobytes() for w in whole], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "raw", "node", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketched, "doc_id long, node binary, keys array<bigint>")
+    return with_raw(docs).mapInArrow(sketched, "doc_id long, raw long, node binary, keys array<bigint>")
+
+
+def with_raw(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, raw): raw is the hash of the text as it is."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("raw", F.xxhash64("text"))
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, hashes, weights) of docs (id, text): sorted hashes as uint32 and, unless all are 1, weights as uint32."""
+    """(id, hashes, weights) of docs (id, text): sorted hashes as uint32 and, unless all are 1, weights as uint32; shingles that share a hash count as one."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
@@ -124,8 +131,8 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             cut = np.searchsorted(doc, np.arange(len(texts) + 1))
             hashes, weights = [], []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                h, first = np.unique((s[a:b] >> np.uint64(32)).astype(np.uint32), return_index=True)
-                w = weight[a:b][first].astype("<u4")
+                h, at = np.unique((s[a:b] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
+                w = np.bincount(at, weight[a:b], len(h)).astype("<u4")
                 hashes.append(h.astype("<u4").tobytes())
                 weights.append(w.tobytes() if len(w) and w.max() > 1 else b"")
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())], ["id", "hashes", "weights"])
@@ -151,12 +158,16 @@ def candidates(met: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, token): the first shingles of each set, in one order for all sets, of which two sets that reach similarity share one.
+    """(id, token, size, rest, total, share, again, b0..): the first shingles of each set, in one order for all sets.
 
     All that two sets share stands at or after their first common shingle. So from there on each has at least
     similarity of its shingles (for plain Jaccard) or of its weight (probability Jaccard is at most the overlap of the
     normalised weights). Rare shingles come first, by counts in SLOTS hashed slots: any order is right, and a
     passage that many texts share stays out of their prefixes while it is less than similarity of a text.
+
+    rest and share are what the set has from the token on, in shingles and as part of its weight; size and total are
+    all its shingles and their weight, again is whether one is repeated; b0.. are 64 * BITMAP parities of hashed
+    shingles: where two sets differ in k bits, they differ in k shingles at least.
     """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,37 +181,55 @@ def prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = sets.select("hashes").mapInArrow(counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(SLOTS, np.int64)
     common[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    names = ["id", "token", "size", "rest", "total", "share", "again", *(f"b{k}" for k in range(BITMAP))]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tokens = [], []
             for i, c, x in zip(batch.column("id").to_pylist(), batch.column("hashes"), batch.column("weights"), strict=True):
                 h, w = np.frombuffer(c.as_buffer(), "<u4"), np.frombuffer(x.as_buffer(), "<u4")
                 order = np.lexsort((h, common[h % SLOTS]))
                 w = np.ones(len(h), np.int64) if not len(w) else w[order].astype(np.int64)
-                rest = lambda w: w[::-1].cumsum()[::-1] / max(w.sum(), 1)
-                take = int(np.maximum(rest(w), rest(np.ones(len(h), np.int64))).__ge__(similarity - 1e-9).sum())
-                ids.append(np.full(take, i, np.int64))
-                tokens.append(h[order[:take]].astype(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(tokens))], ["id", "token"])
+                rest, share = np.arange(len(h), 0, -1), w[::-1].cumsum()[::-1] / max(w.sum(), 1)
+                take = int((np.maximum(rest / max(len(h), 1), share) >= similarity - 1e-9).sum())
+                bits = np.packbits(np.bincount((mix(h.astype(np.uint64)) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) % 2 == 1).view("<i8")
+                same = lambda v, kind: pa.array(np.full(take, v, kind))
+                yield pa.RecordBatch.from_arrays(
+                    [same(i, np.int64), pa.array(h[order[:take]].astype(np.int64)), same(len(h), np.int64), pa.array(rest[:take]), same(w.sum(), np.int64), pa.array(share[:take]), same(w.sum() > len(h), bool), *(same(v, np.int64) for v in bits)],
+                    names,
+                )
         give_back()
 
-    return sets.mapInArrow(first, "id long, token long")
+    return sets.mapInArrow(first, "id long, token long, size long, rest long, total long, share double, again boolean, " + ", ".join(f"b{k} long" for k in range(BITMAP)))
 
 
 def left_over(met: DataFrame, label: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct (a, b), a < b: all pairs of different labels that may reach similarity, among the members of buckets of three and more that still hold different labels."""
+    """Distinct (a, b), a < b: all pairs of different labels that may reach similarity, among the members of buckets of three and more that still hold different labels.
+
+    A pair is made where a common shingle stands in both prefixes and, by sizes, what follows it and the bitmaps, the
+    two may reach similarity; no pair that reaches it fails that. The shorter set's token then stands in the first
+    (1 - s) / (1 + s) of it, so tokens that stand there in no set meet nothing.
+    """
     labelled = lambda rows: rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     rows = labelled(met.filter("n > 2").select("id", "key"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     ids = stage(rows.join(mixed, "key").select("id").distinct(), "unsettled")
-    tokens = stage(labelled(prefixes(sets.join(ids, "id"), similarity)), "prefixes")
+    part = 2 * similarity / (1 + similarity)
+    early = (F.col("rest") >= part * F.col("size") - 1e-6) | F.col("again")
+    tokens = stage(labelled(prefixes(sets.join(ids, "id"), similarity)).withColumn("early", early), "prefixes")
     # Of a pair with different labels one at least lacks its token's most frequent label, so a large group never meets itself.
-    shared = tokens.groupBy("token").agg(F.mode("label").alias("most"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token", "most")
+    shared = tokens.groupBy("token").agg(F.mode("label").alias("most"), F.min("label").alias("x"), F.max("label").alias("y"), F.bool_or(F.col("early") | F.col("again")).alias("some")).filter("x <> y and some").select("token", "most")
     near = tokens.join(shared, "token")
-    other = near.filter("label <> most").select("token", F.col("id").alias("other"), F.col("label").alias("theirs"))
-    return near.join(other, "token").filter("label <> theirs").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    a, b = near.alias("a"), near.filter("label <> most").alias("b")
+    differ = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(1, BITMAP)), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
+    sizes = F.col("a.size") + F.col("b.size")
+    plain = (F.least("a.rest", "b.rest") >= part / 2 * sizes - 1e-6) & (differ <= (1 - part) * sizes + 1e-6)
+    weighted_ = (F.col("a.again") | F.col("b.again")) & (F.least("a.share", "b.share") >= similarity - 1e-6) & (differ <= (1 - similarity) * (F.col("a.total") + F.col("b.total")) + 1e-6)
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.label") != F.col("b.label")) & (plain | weighted_)
+    pairs = a.join(b.filter("early"), meet & (F.col("b.size") <= F.col("a.size"))).select("a.id", F.col("b.id").alias("other"))
+    pairs = pairs.union(a.filter("early").join(b, meet & (F.col("a.size") <= F.col("b.size"))).select("a.id", F.col("b.id").alias("other")))
+    # sets with repeats may meet by weight whatever their sizes are
+    again = a.filter("again").join(b, meet & weighted_).select("a.id", F.col("b.id").alias("other")).union(a.join(b.filter("again"), meet & weighted_).select("a.id", F.col("b.id").alias("other")))
+    return pairs.union(again).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -253,33 +282,40 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     """(doc_id, class_id, n_rows) for each row of docs (doc_id, text): the smallest id of its class, and the rows that share id and text.
 
     Words are runs of letters and digits in lower case; texts with the same words are copies of each other and are
-    compared once, by their first row. Null texts count as empty, texts without words are copies of each other, and
-    those of fewer than width words have one shingle. Ids may be null (then class_id is, if the class has no other)
-    or repeat. Copies are linked; different texts by candidates() and verify(), and where a bucket's members still
-    differ by left_over() and verify(); classes are connected components.
+    compared once. Null texts count as empty, texts without words are copies of each other, and those of fewer than
+    width words have one shingle. A null id stays null and counts after all others: class_id is null only where no
+    row of the class has an id. Of rows that repeat an id with different texts each is compared with its own text.
+    Ties don't occur: a class takes its smallest id. Very long texts are worked through in blocks, an empty table
+    gives an empty result, and other columns of docs play no part whatever their names.
+
+    Copies are linked; different texts by candidates() and verify(), and where a bucket's members still differ by
+    left_over() and verify(); classes are connected components.
     """
     all_rows = stage(sketch(docs, width, bands, rows), "sketch")
-    nodes = all_rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("keys").alias("keys"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "raw")).alias("first")
+    nodes = all_rows.groupBy("node").agg(first, F.max("keys").alias("keys")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.raw").alias("raw"), "keys")
     nodes = stage(nodes.withColumn("id", F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")), "nodes")
     met = stage(buckets(nodes.filter("size(keys) > 0").select("id", F.coalesce("rep", "id").alias("rep"), "keys")), "met")
     pairs = stage(candidates(met), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "rep"), "id").select("id", F.col("rep").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("id", "text")
-    sets = stage(shingle_sets(texts, width).dropDuplicates(["id", "hashes"]), "sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "rep", "raw"), "id")
+    d = with_raw(docs)
+    texts = d.join(wanted, (d.raw == wanted.raw) & d.doc_id.eqNullSafe(wanted.rep)).select("id", "text")
+    sets = stage(shingle_sets(texts, width).dropDuplicates(["id"]), "sets")
     links = stage(verify(pairs, sets, similarity).select("a", "b"), "verified")
     more = stage(left_over(met, components(links), sets, similarity).join(pairs, ["a", "b"], "left_anti"), "more")
     label = components(links.union(verify(more, sets, similarity).select("a", "b")))
     classed = nodes.select("node", "id", "rep").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    first = classed.filter("label is not null").groupBy("label").agg(F.min("rep").alias("class_id"))
-    by_node = classed.join(first, "label").select("node", "class_id")
+    smallest = classed.groupBy("label").agg(F.min("rep").alias("class_id"))
+    by_node = classed.join(smallest, "label").select("node", "class_id")
     alike = all_rows.groupBy("doc_id", "node").agg(F.count("*").alias("n_rows"))
     out = alike.join(by_node, "node").select("doc_id", "class_id", "n_rows")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows"))).drop("__copy")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows"))).drop("copy")
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each class: the one with the smallest id. Of rows that repeat an id one stays; rows without an id stay."""
-    classes = near_duplicates(docs, **how).filter("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("__class"))
-    order = Window.partitionBy("doc_id").orderBy("doc_id")
-    out = docs.join(classes, "doc_id", "left").withColumn("__row", F.row_number().over(order))
-    return out.filter(F.col("doc_id").isNull() | (F.col("__class") == F.col("doc_id")) & (F.col("__row") == 1)).select(*docs.columns)
+    """docs with one document of each class: the one with the smallest id. Of rows that repeat an id the one with the smallest hash stays; rows without an id stay. Columns may have any names."""
+    kept, row, key = (free_name(docs, n) for n in ("__class", "__row", "__id"))
+    classes = near_duplicates(docs, **how).filter("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.min("class_id").alias(kept))
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    out = docs.join(classes, F.col("doc_id").cast("long") == F.col(key), "left").withColumn(row, F.row_number().over(order))
+    return out.filter(F.col("doc_id").isNull() | (F.col(kept) == F.col("doc_id")) & (F.col(row) == 1)).select(*docs.columns)
