@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,15 @@ def candidates(met: DataFrame) -> DataFrame:
     return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def central(met: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: the members of buckets of three and more with their bucket's most linked member, which most of a loose group is near."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    rows = met.filter("n > 2").select("id", "key")
+    middle = rows.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("m")).select("key", F.col("m.id").alias("other"))
+    met = rows.join(middle, "key").filter("id <> other")
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
 def prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id, token, size, rest, total, share, again, b0..): the first shingles of each set, in one order for all sets.
 
@@ -214,7 +224,7 @@ def left_over(met: DataFrame, label: DataFrame, sets: DataFrame, similarity: flo
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     ids = stage(rows.join(mixed, "key").select("id").distinct(), "unsettled")
     part = 2 * similarity / (1 + similarity)
-    early = (F.col("rest") >= part * F.col("size") - 1e-6) | F.col("again")
+    early = F.col("rest") >= part * F.col("size") - 1e-6
     tokens = stage(labelled(prefixes(sets.join(ids, "id"), similarity)).withColumn("early", early), "prefixes")
     # Of a pair with different labels one at least lacks its token's most frequent label, so a large group never meets itself.
     shared = tokens.groupBy("token").agg(F.mode("label").alias("most"), F.min("label").alias("x"), F.max("label").alias("y"), F.bool_or(F.col("early") | F.col("again")).alias("some")).filter("x <> y and some").select("token", "most")
@@ -223,13 +233,17 @@ def left_over(met: DataFrame, label: DataFrame, sets: DataFrame, similarity: flo
     differ = sum((F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(1, BITMAP)), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
     sizes = F.col("a.size") + F.col("b.size")
     plain = (F.least("a.rest", "b.rest") >= part / 2 * sizes - 1e-6) & (differ <= (1 - part) * sizes + 1e-6)
-    weighted_ = (F.col("a.again") | F.col("b.again")) & (F.least("a.share", "b.share") >= similarity - 1e-6) & (differ <= (1 - similarity) * (F.col("a.total") + F.col("b.total")) + 1e-6)
-    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.label") != F.col("b.label")) & (plain | weighted_)
-    pairs = a.join(b.filter("early"), meet & (F.col("b.size") <= F.col("a.size"))).select("a.id", F.col("b.id").alias("other"))
-    pairs = pairs.union(a.filter("early").join(b, meet & (F.col("a.size") <= F.col("b.size"))).select("a.id", F.col("b.id").alias("other")))
-    # sets with repeats may meet by weight whatever their sizes are
-    again = a.filter("again").join(b, meet & weighted_).select("a.id", F.col("b.id").alias("other")).union(a.join(b.filter("again"), meet & weighted_).select("a.id", F.col("b.id").alias("other")))
-    return pairs.union(again).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    weighted_ = (F.least("a.share", "b.share") >= similarity - 1e-6) & (differ <= (1 - similarity) * (F.col("a.total") + F.col("b.total")) + 1e-6)
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.label") != F.col("b.label"))
+    # Sets with repeats may meet by weight whatever their sizes are. Each pair and token is made once.
+    found = [
+        a.filter("early").join(b, meet & plain & (F.col("a.size") <= F.col("b.size"))),
+        a.join(b.filter("early"), meet & plain & (F.col("b.size") < F.col("a.size"))),
+        a.filter("again").join(b, meet & weighted_ & ~plain),
+        a.filter("not again").join(b.filter("again"), meet & weighted_ & ~plain),
+    ]
+    pairs = reduce(DataFrame.union, [f.select("a.id", F.col("b.id").alias("other")) for f in found])
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -288,8 +302,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     Ties don't occur: a class takes its smallest id. Very long texts are worked through in blocks, an empty table
     gives an empty result, and other columns of docs play no part whatever their names.
 
-    Copies are linked; different texts by candidates() and verify(), and where a bucket's members still differ by
-    left_over() and verify(); classes are connected components.
+    Copies are linked; different texts by candidates(), central() and verify(), and where a bucket's members still
+    differ by left_over() and verify(); classes are connected components.
     """
     all_rows = stage(sketch(docs, width, bands, rows), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "raw")).alias("first")
@@ -302,6 +316,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     texts = d.join(wanted, (d.raw == wanted.raw) & d.doc_id.eqNullSafe(wanted.rep)).select("id", "text")
     sets = stage(shingle_sets(texts, width).dropDuplicates(["id"]), "sets")
     links = stage(verify(pairs, sets, similarity).select("a", "b"), "verified")
+    second = stage(central(met, links).join(pairs, ["a", "b"], "left_anti"), "central")
+    links, pairs = links.union(stage(verify(second, sets, similarity).select("a", "b"), "verified")), pairs.union(second)
     more = stage(left_over(met, components(links), sets, similarity).join(pairs, ["a", "b"], "left_anti"), "more")
     label = components(links.union(verify(more, sets, similarity).select("a", "b")))
     classed = nodes.select("node", "id", "rep").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
