@@ -1,7 +1,7 @@
 """Main text of HTML pages by block rules in two passes.
 
-Pass one classifies blocks by length, link density, stop-word density and the elements around them; pass two gives
-ambiguous blocks the label of the nearest decided neighbours.
+Pass one adds up evidence for each block: length, link density and stop-word density of its text, and points for the
+elements around it. Pass two gives ambiguous blocks the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -46,6 +46,9 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS, LINKS_MAIN = 70, 200, 0.15, 0.30, 0.33, 0.66
 GOOD, UNSURE, NOT = 1, 0, -1
+#: Points that markup adds to what a block's text says (-2 to 2): inside a named article, beside one, and in an element that is no part of it.
+PRIOR = {"article": 1, "beside": -2, "outside": -3}
+_RIGHTS = re.compile(r"©|(?i:copyright|all rights reserved)")
 #: How an element is outside the article: by a hint in a compound name, which an article inside it undoes, or for certain.
 HINTED, OUTSIDE = 1, 2
 
@@ -159,48 +162,76 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def classify(found: list[Block]) -> list[bool]:
-    """Which blocks are part of the article."""
+def _text_evidence(b: Block, inside: bool) -> int:
+    """What a block's own text says: 2 for long prose, 1 for prose, 0 for a block too short to tell, -1 for words without function words, -2 for links or a copyright line."""
+    if b.linked / len(b.text) > (LINKS_MAIN if inside else LINKS):
+        return -2
+    if not inside and len(b.text) < LONG and _RIGHTS.search(b.text):
+        return -2
+    if len(b.text) < SHORT:
+        return 0
+    w = [x.strip("\"'.,;:!?()[]%*#$&«»„“”…-–—") for x in b.text.lower().split()]
+    stop = sum(x in STOP for x in w) / len(w)
+    return 2 if stop >= STOP_HIGH and len(b.text) > LONG else 1 if stop >= STOP_LOW else -1
+
+
+def judge(found: list[Block], trust_names: bool = True) -> list[tuple[bool, str]]:
+    """For each block whether it is part of the article, and which rule decided: ``text``, ``markup``, ``neighbours`` or ``nothing``.
+
+    Pass one adds what the text says (-2 to 2) and what the markup says: PRIOR points for an article's element, for
+    one that the page marks as no part of it, for a block below a heading of reader comments, and for a block outside
+    the article that the page names. Sums of 2 and more are in, of -1 and less out. The others are ambiguous and
+    take, in pass two, the label of the nearest decided block; those inside a named article look at each other only.
+    Where no decided neighbour exists the markup's points decide, and without any the length. If compound class names
+    alone (``page-menu``) leave no long prose at all in a page that has some, the names are not believed.
+    """
     named = any(b.main and not b.bad for b in found)
-    label: list[int] = []
+    label, rule, prior = [], [], []
     talk = False
     for b in found:
         if b.heading:
             talk = bool(_TALK_HEAD.match(b.text))
         inside = named and b.main
-        density = b.linked / len(b.text)
-        if b.bad or talk or named and not b.main or density > (LINKS_MAIN if inside else LINKS) or not inside and re.search(r"©|(?i:copyright|all rights reserved)", b.text) and len(b.text) < LONG:
-            label.append(NOT)
-        elif len(b.text) < SHORT:
-            label.append(UNSURE)
-        else:
-            w = [x.strip("\"'.,;:!?()[]%*#$&«»„“”…-–—") for x in b.text.lower().split()]
-            stop = sum(x in STOP for x in w) / len(w)
-            sure = stop >= STOP_HIGH and len(b.text) > LONG or inside and stop >= STOP_LOW
-            label.append(GOOD if sure else UNSURE if stop >= STOP_LOW or inside else NOT)
-    # The nearest decided blocks on either side, those that the page marks as outside the article apart.
+        says = _text_evidence(b, inside)
+        out = b.bad == OUTSIDE or b.bad == HINTED and trust_names or talk
+        mark = PRIOR["outside"] if out else PRIOR["article"] if inside else PRIOR["beside"] if named else 0
+        total = says + mark
+        label.append(GOOD if total >= 2 else NOT if total <= -1 else UNSURE)
+        prior.append(mark)
+        alone = GOOD if says >= 2 else NOT if says <= -1 else UNSURE
+        rule.append("text" if alone == label[-1] else "markup")
+    if trust_names and GOOD not in label and any(b.bad == HINTED and _text_evidence(b, False) == 2 for b in found):
+        return judge(found, False)
     n = len(found)
-    before, after = [None] * n, [None] * n
-    for order, near in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = None
+    near: list[list[int | None]] = [[None] * n, [None] * n]  # the nearest decided block on either side, for those inside a named article and for the rest
+    for side, order in enumerate((range(n), range(n - 1, -1, -1))):
+        last: dict[bool, int | None] = {True: None, False: None}
         for k in order:
-            near[k] = last
-            if label[k] and not (found[k].bad or named and not found[k].main):
-                last = k
-    keep = []
+            inside = prior[k] == PRIOR["article"]
+            near[side][k] = last[inside]
+            if label[k]:
+                last[False] = k
+                if inside:
+                    last[True] = k
+    out = []
     for k in range(n):
-        if label[k] != UNSURE:
-            keep.append(label[k] == GOOD)
+        if label[k]:
+            out.append((label[k] == GOOD, rule[k]))
             continue
-        sides = [j for j in (before[k], after[k]) if j is not None]
+        sides = [j for j in (near[0][k], near[1][k]) if j is not None]
         if not sides:
-            keep.append(named or len(found[k].text) >= SHORT)
-        elif named and any(label[j] == GOOD for j in sides):
-            keep.append(True)
+            out.append((prior[k] > 0 or not prior[k] and len(found[k].text) >= SHORT, "markup" if prior[k] else "nothing"))
+        elif prior[k] > 0:
+            out.append((any(label[j] == GOOD for j in sides), "neighbours"))
         else:
             nearest = min(abs(j - k) for j in sides)
-            keep.append(any(label[j] == GOOD for j in sides if abs(j - k) == nearest))
-    return keep
+            out.append((any(label[j] == GOOD for j in sides if abs(j - k) == nearest), "neighbours"))
+    return out
+
+
+def classify(found: list[Block]) -> list[bool]:
+    """Which blocks are part of the article."""
+    return [keep for keep, _ in judge(found)]
 
 
 def main_text(page: str | None) -> str:
@@ -212,7 +243,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html); n_chars counts code points.
 
-    A map over rows: nothing is shuffled, repeated rows stay, and no page is cut.
+    A map over rows: nothing is shuffled, repeated rows stay, and no page is cut. A null or empty page gives an empty
+    text, an empty table an empty result; other columns play no part.
     """
     fields = {f.name: f.dataType.simpleString() for f in pages.schema.fields if f.name in ("page_id", "url")}
 
