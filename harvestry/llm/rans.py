@@ -14,6 +14,8 @@ import zlib
 import numpy as np
 
 MAGIC, VERSION, BITS, LANES, EVERY = b"HVR1", 1, 20, 4096, 64
+#: Steps that a block has at least, if it isn't shorter: with so many tokens a lane its 8-byte state is a small part.
+STEPS = 128
 LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sHHBxIIIIII")
 
@@ -29,6 +31,11 @@ class Table:
         spare = total - len(counts)
         freq = 1 + np.floor(counts / max(counts.sum(), 1) * spare).astype(np.int64)
         freq[int(np.argmax(counts))] += total - freq.sum()
+        self._fill(freq, bits)
+
+    def _fill(self, freq: np.ndarray, bits: int) -> None:
+        if freq.sum() != 1 << bits or freq.min() < 1:
+            raise ValueError("frequencies must be 1 at least and sum to the table's size")
         self.bits, self.freq = bits, freq.astype(np.uint64)
         self.start = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(np.uint64)
         self.limit = self.freq << np.uint64(63 - bits)
@@ -46,9 +53,18 @@ class Table:
         return self.__dict__ | {"_slots": None}
 
 
-def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY) -> bytes:
+    @classmethod
+    def of(cls, freq: np.ndarray, bits: int) -> Table:
+        """The table with these frequencies, as written beside blocks."""
+        out = cls.__new__(cls)
+        out._fill(np.asarray(freq, np.int64), bits)
+        return out
+
+
+def encode(ids: np.ndarray, table: Table, lanes: int | None = None, every: int = EVERY) -> bytes:
+    """A block. Without lanes they follow the block's size, so that their states stay a small part of it."""
     n = len(ids)
-    lanes = max(1, min(lanes, n))
+    lanes = max(1, min(lanes or min(LANES, n // STEPS), n))
     steps = -(-n // lanes)
     state = np.full(lanes, LOW, np.uint64)
     bits, shift = np.uint64(table.bits), np.uint64(32)
@@ -77,8 +93,13 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = EVERY
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def decode(block: bytes, table: Table, checkpoint: int = 0) -> np.ndarray:
-    """The block's ids, from the given checkpoint on (0: all). ValueError for a damaged block or another table."""
+def checkpoints(block: bytes) -> int:
+    """From how many places a block can be decoded: its start and its checkpoints."""
+    return 1 + _HEAD.unpack_from(block)[8]
+
+
+def decode(block: bytes, table: Table, checkpoint: int = 0, only: bool = False) -> np.ndarray:
+    """The block's ids, from the given checkpoint on (0: all), up to the next one if only. ValueError for a damaged block or another table."""
     if len(block) < _HEAD.size + 4 or zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
         raise ValueError("damaged block")
     magic, version, lanes, bits, check, n, crc, every, marks, size = _HEAD.unpack_from(block)
@@ -94,10 +115,11 @@ def decode(block: bytes, table: Table, checkpoint: int = 0) -> np.ndarray:
     stream = np.frombuffer(block, "<u4", size, at).astype(np.uint64)
     pos, state = points[checkpoint][0], points[checkpoint][1].copy()
     first = checkpoint * every
-    out = np.empty(max(0, n - first * lanes), np.int32)
+    last = min(-(-n // lanes), first + every) if only else -(-n // lanes)
+    out = np.empty(max(0, min(n, last * lanes) - first * lanes), np.int32)
     mask, shift, word = np.uint64((1 << bits) - 1), np.uint64(bits), np.uint64(32)
     slots, freq, start = table.slots, table.freq, table.start
-    for step in range(first, -(-n // lanes)):
+    for step in range(first, last):
         if step > first and step % every == 0:
             mark = points[step // every]
             if mark[0] != pos or not np.array_equal(mark[1], state):
@@ -113,6 +135,6 @@ def decode(block: bytes, table: Table, checkpoint: int = 0) -> np.ndarray:
             x[low] = (x[low] << word) | stream[pos : pos + len(low)]
             pos += len(low)
         state[: hi - lo] = x
-    if not checkpoint and zlib.crc32(out.astype("<u4").tobytes()) != crc:
+    if not checkpoint and not only and zlib.crc32(out.astype("<u4").tobytes()) != crc:
         raise ValueError("ids don't match their checksum")
     return out

@@ -28,13 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, which is removed at exit."""
+    small_batches(spark)
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    _made.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
-    small_batches(spark)
+    path = stage_path(spark, name)
     df.write.parquet(path)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,11 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .shared import give_back, stage
+from .shared import give_back, stage, stage_path
 from .textnum import pieces
 
 #: A block ends with the document that brings it to so many tokens.
@@ -53,6 +53,8 @@ class _Known(dict):
             found = [t.id for t in self.model.tokenize(word)]
         elif _OTHER.search(word):
             found = [t.id for part, _ in self.pre.pre_tokenize_str(word) for t in self.model.tokenize(part)]
+        elif word[-1] in ".," and word[:-1].isalpha():
+            return self.setdefault(word, self[word[:-1]] + self[word[-1]])
         elif word.isalpha():
             found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
         else:
@@ -105,44 +107,45 @@ _encoders: dict[str, Encoder] = {}
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
-    """(shard, seq, doc_id, n_tokens, ids): the rows of docs by ascending doc_id (null first, ties by the text's hash), dealt by ranges.
+    """(shard, seq, doc_id, n_tokens, ids, counts): the rows of docs by ascending doc_id (null first, ties by the text's hash), dealt by ranges.
 
-    shard numbers the ranges and seq the rows in one. ids are little-endian, two bytes each if the vocabulary allows it, end_id last.
+    shard numbers the ranges and seq the rows in one. ids are little-endian, two bytes each if the vocabulary allows it,
+    end_id last. One row more a task, without seq, holds how often each id occurs in it: pairs of id and count, as little-endian i64.
     """
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    names = ["shard", "seq", "doc_id", "n_tokens", "ids", "counts"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, Encoder(vocabulary))
         end = np.array([end_id], e.kind).tobytes()
         shard, seq = TaskContext.get().partitionId(), 0
+        total = np.zeros(e.size, np.int64)
         for batch, texts in pieces(batches):
             ids = [e.encode(t) + end for t in texts]
             n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), batch.column("doc_id"), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["shard", "seq", "doc_id", "n_tokens", "ids"],
-            )
+            total += np.bincount(np.frombuffer(b"".join(ids), e.kind), minlength=e.size)
+            columns = [pa.array([shard] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), batch.column("doc_id"), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
             seq += n
+        there = np.flatnonzero(total)
+        pairs = np.stack((there, total[there]), 1).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())], names)
 
-    return ordered.mapInArrow(rows, "shard int, seq long, doc_id long, n_tokens long, ids binary")
+    return ordered.mapInArrow(rows, "shard int, seq long, doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
-    """How often each id occurs; what reaches the driver is at most one row an id of the vocabulary."""
-    kind = "<u2" if size <= 1 << 16 else "<u4"
+    """How often each id occurs, added up from the tasks' counts; what reaches the driver is at most one row an id of the vocabulary."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = np.frombuffer(b"".join(batch.column("ids").slice(k, 512).to_pylist()), kind)
-                total += np.bincount(part, minlength=size)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there])], ["id", "n"])
+            for c in batch.column("counts"):
+                pairs = np.frombuffer(c.as_buffer(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.filter("counts is not null").select("counts").mapInArrow(each, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -175,7 +178,7 @@ def write_blocks(tokens: DataFrame, table: rans.Table, size: int, block_tokens:
             yield flush()
         give_back()
 
-    return tokens.select("shard", "seq", "doc_id", "ids").mapInArrow(blocks, "shard int, first_seq long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary")
+    return tokens.filter("seq is not null").select("shard", "seq", "doc_id", "ids").mapInArrow(blocks, "shard int, first_seq long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary")
 
 
 def block_starts(files: DataFrame) -> DataFrame:
@@ -222,18 +225,57 @@ def read_blocks(files: DataFrame, table: rans.Table) -> DataFrame:
     return _read(files, table, "ids", pa.binary(), bytes)
 
 
-def encode_corpus(docs: DataFrame, vocabulary: str, end_id: int = 1, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, rans.Table]:
-    """The files of docs (a table in the shared folder) and their frequency table.
+def read_segments(files: DataFrame, table: rans.Table) -> DataFrame:
+    """(shard, first_seq, part, ids): each block from each of its checkpoints to the next, ids as little-endian u32; a row a part, so parts of one block may be decoded by different tasks."""
+    shared = files.sparkSession.sparkContext.broadcast(table)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [rans.checkpoints(p) for p in batch.column("payload").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("first_seq"), pa.array(n, pa.int32())], ["shard", "first_seq", "n"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [rans.decode(p, shared.value, k, True).astype("<u4").tobytes() for p, k in zip(batch.column("payload").to_pylist(), batch.column("part").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "first_seq", "part")), pa.array(ids, pa.binary())], ["shard", "first_seq", "part", "ids"])
+
+    keys = files.select("shard", "first_seq", "payload").mapInArrow(parts, "shard int, first_seq long, n int").select("shard", "first_seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    return keys.join(files.select("shard", "first_seq", "payload"), ["shard", "first_seq"]).mapInArrow(rows, "shard int, first_seq long, part int, ids binary")
+
+
+def write_corpus(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, block_tokens: int = BLOCK_TOKENS) -> None:
+    """The files of docs in the folder path: ``blocks``, a row a block, and ``table``, the frequencies that decode them.
 
-    Every whole text is tokenised once, a null one as empty; the ids of each row end with end_id. The stage table with
-    the ids is counted for the frequencies and then coded. Writers and readers handle a block at a time.
+    Every whole text is tokenised once, a null one as empty; the ids of each row end with end_id. Rows that repeat an
+    id each stay, in order of their texts' hashes; rows without an id come first. An empty table gives no block. A
+    document of more than block_tokens ids is a block of its own. Other columns play no part. The stage table with the
+    ids is coded after its counts are added up. Writers and readers handle a block at a time.
     """
     size = Encoder(vocabulary).size
     if not 0 <= end_id < size:
         raise ValueError("end_id isn't in the vocabulary")
+    spark = docs.sparkSession
     tokens = stage(tokenize(docs, vocabulary, end_id), "tokens")
     table = rans.Table(id_counts(tokens, size))
-    return stage(write_blocks(tokens, table, size, block_tokens), "blocks"), table
+    row = [(table.bits, bytearray(table.freq.astype("<u4").tobytes()), table.check)]
+    spark.createDataFrame(row, "bits int, freq binary, checksum long").coalesce(1).write.parquet(f"{path}/table")
+    write_blocks(tokens, table, size, block_tokens).write.parquet(f"{path}/blocks")
+
+
+def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, rans.Table]:
+    """The blocks of a folder that write_corpus() wrote, and their frequency table; ValueError if the table is damaged."""
+    row = spark.read.parquet(f"{path}/table").first()
+    table = rans.Table.of(np.frombuffer(bytes(row["freq"]), "<u4"), row["bits"])
+    if table.check != row["checksum"]:
+        raise ValueError("damaged table")
+    return spark.read.parquet(f"{path}/blocks"), table
+
+
+def encode_corpus(docs: DataFrame, vocabulary: str, end_id: int = 1, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, rans.Table]:
+    """write_corpus() to the shared folder, and what read_corpus() reads from there."""
+    path = stage_path(docs.sparkSession, "corpus")
+    write_corpus(docs, path, vocabulary, end_id, block_tokens)
+    return read_corpus(docs.sparkSession, path)
 
 
 def digests(files: DataFrame, table: rans.Table) -> DataFrame:
