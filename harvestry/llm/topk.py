@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK, QUERIES, BLOCK = 4096, 256, 64
+CHUNK, QUERIES, BLOCK = 1024, 256, 64
+#: Vectors of a cell and queries of a group, about: what a task holds.
+CELL, GROUP = 1 << 16, 1 << 16
+PACKED = "ids binary, dims int, ints binary"
 #: Up to this bound the products and their sums are exact in doubles.
 EXACT = 2.0**53
 
@@ -107,44 +110,48 @@ def search_chunk(q_ids: np.ndarray, q: np.ndarray, index: Index, best: dict[int,
     return scored
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int, held: int) -> Iterator[pa.RecordBatch]:
+def _search(vectors: pa.Table, queries: pa.Table, k: int) -> tuple[pa.Table, int, int]:
+    """Each query's k best of the vectors, and how many blocks were scored, of how many. Both tables hold packed rows."""
     best: dict[int, list[tuple[int, int]]] = {}
-    indexes: dict[bytes, Index] = {}
-
-    def flush() -> pa.RecordBatch:
-        rows = [(q, i, -s) for q, top in best.items() for s, i in top]
-        best.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = row["ids"]
-            if key not in indexes:
-                if len(indexes) >= 8:  # a few chunks at a time; another is indexed again
-                    indexes.clear()
-                ids = np.frombuffer(row["ids"], np.int64)
-                indexes[key] = Index(ids, np.frombuffer(row["ints"], np.int64).reshape(len(ids), row["dims"]))
-            q_ids = np.frombuffer(row["q_ids"], np.int64)
-            search_chunk(q_ids, np.frombuffer(row["q_ints"], np.int64).reshape(len(q_ids), row["q_dims"]), indexes[key], best, k)
-            if len(best) > held:
-                yield flush()
-    yield flush()
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = 24, held: int = 200_000) -> DataFrame:
+    scored = total = 0
+    asked = []
+    for row in queries.to_pylist():
+        ids = np.frombuffer(row["ids"], np.int64)
+        asked.append((ids, np.frombuffer(row["ints"], np.int64).reshape(len(ids), row["dims"])))
+    for j in range(vectors.num_rows):
+        row = vectors.slice(j, 1).to_pylist()[0]
+        ids = np.frombuffer(row["ids"], np.int64)
+        index = Index(ids, np.frombuffer(row["ints"], np.int64).reshape(len(ids), row["dims"]))
+        for q_ids, q in asked:
+            scored += search_chunk(q_ids, q, index, best, k)
+            total += len(q_ids) * len(index.most)
+    rows = [(q, i, -s) for q, top in best.items() for s, i in top]
+    return pa.table([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"]), scored, total
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int | None = None, groups: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller id, its own row left out.
 
     vectors: (vec_id, embedding). Components become floor(256 x). Vectors that are null or hold null or non-finite
     components, and null ids, take no part; missing components of shorter vectors count 0 (an empty vector scores 0).
-    Repeated rows each count. Vectors are packed in chunks of CHUNK and queries in chunks of QUERIES; each chunk
-    of vectors lies in one of ``cells`` cells, each chunk of queries goes to every cell, and tasks keep the running best
-    of the queries that they have met, so a kth score found in one chunk prunes the next ones. A task holds at most
-    ``held`` queries' best before it passes them on; the best of all tasks are merged by query.
+    Repeated rows each count; an empty table gives an empty result; other columns play no part.
+
+    Vectors are packed in chunks of CHUNK, which lie in cells, queries in chunks of QUERIES, which lie in groups; both
+    are counted first, so that a cell holds about CELL vectors and a group about GROUP queries whatever the table's
+    size. Each pair of a cell and a group is one co-grouped task of bounded memory: vectors are shipped once a group
+    and queries once a cell. Within a task the running kth score of one chunk prunes the blocks of the next ones; the
+    best of all tasks are merged by query.
     """
-    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    packed = v.mapInArrow(lambda b: _pack(b, CHUNK), "ids binary, dims int, ints binary").withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int"))
-    asked = v.filter(is_query).mapInArrow(lambda b: _pack(b, QUERIES), "q_ids binary, q_dims int, q_ints binary".replace("q_", ""))
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("ints").alias("q_ints"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
-    part = asked.join(packed, "cell").drop("cell").mapInArrow(lambda b: _search(b, k, held), "query_id long, vec_id long, score long")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = v.filter(is_query)
+    if cells is None or groups is None:
+        n, q = v.agg(F.count("*"), F.count_if(is_query)).first()
+        cells, groups = cells or max(8, -(-n // CELL)), groups or max(1, -(-q // GROUP))
+    one_of = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    packed = v.mapInArrow(lambda b: _pack(b, CHUNK), PACKED).withColumn("cell", one_of(cells)).withColumn("part", every(groups))
+    asked = asked.mapInArrow(lambda b: _pack(b, QUERIES), PACKED).withColumn("part", one_of(groups)).withColumn("cell", every(cells))
+    both = packed.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part"))
+    found = both.applyInArrow(lambda x, y: _search(x, y, k)[0], "query_id long, vec_id long, score long")
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return part.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
