@@ -23,7 +23,8 @@ def canonical(text: Column) -> Column:
     name; digits with separators are a number; a unit right after a number is a unit. All is in lower case, without
     punctuation. The patterns begin with the character that they look for, so that most positions fail at once.
     """
-    t = F.regexp_replace(F.replace(F.translate(text, "<>", ""), F.lit("\n"), F.lit(". ")), r"\s+", " ")
+    t = F.translate(F.replace(F.translate(text, "<>", ""), F.lit("\n"), F.lit(". ")), "\t\x0b\f\r", "    ")
+    t = F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
     t = F.regexp_replace(t, r"\p{Lu}(?<=[^.!?: ] ?.)(?<= .)\p{Ll}[\p{L}\p{M}'’-]*", "<p>$0")
     t = F.regexp_replace(t, r"\p{Lu}(?<=(?:^|[ \"“„«(]).)\p{Ll}[\p{L}\p{M}'’-]*", "<s>$0")
     t = F.regexp_replace(t, r"\p{N}(?<![\p{L}\p{N}].)\p{N}*(?:[.,]\p{N}+)*", "<n>$0")
@@ -42,36 +43,52 @@ def plain(word: Column) -> Column:
     return F.when(word.startswith("<"), F.substring(word, 4, 2_147_483_647)).otherwise(word)
 
 
+#: What a word is, in the two lowest bits of its hash.
+LITERAL, SLOT, START, EMPTY = 0, 1, 2, 3
+
+
 def _windows(docs: DataFrame, id_column: str, width: int, short: list[int], whole: bool = False) -> DataFrame:
     """(id, row, at, h, w, p, slots): hashes h of each window, row being a hash of id and text.
 
     h is the template's hash, with first words of sentences as they are and once more as names (each if it has two
     literal words at least; w is the former), and the hash p of the plain words, also those of the lengths in short (if
-    whole, of a text of that length only). slots are the window's words where it has a mark.
+    whole, of a text of that length only). slots are the window's words where it has a mark. Each word is hashed once;
+    windows then combine whole numbers, and their words are taken only where they are used.
     """
     d = docs.select(F.col(id_column).alias("id"), F.xxhash64(id_column, "text").alias("row"), canonical(F.coalesce("text", F.lit(""))).alias("t"))
-    shifted = [F.col("t"), *(F.slice("t", k + 1, F.greatest(F.size("t") - k, F.lit(0))) for k in range(1, width))]
-    w = d.select("id", "row", F.size("t").alias("n"), F.posexplode(F.arrays_zip(*[c.alias(f"w{k}") for k, c in enumerate(shifted)])).alias("at", "w")).select("id", "row", "n", "at", *[F.col(f"w.w{k}") for k in range(width)])
-    names = [F.col(f"w{k}") for k in range(width)]
-    some = lambda test: sum((F.when(test(c), 1).otherwise(0) for c in names), F.lit(0))
-    full = names[-1].isNotNull()
-    marks, starts = some(lambda c: c.startswith("<")), some(lambda c: c.startswith("<s>"))
-    literal = width - marks - some(lambda c: c == "")
-    w = w.select("id", "row", "n", "at", *names, marks.alias("marks"), starts.alias("starts"), literal.alias("literal"), F.xxhash64(*[kind(c) for c in names]).alias("strict"), F.xxhash64(*[plain(c) for c in names]).alias("plain"))
+    clear = lambda h: h.bitwiseAND(F.lit(-4))
+    what = lambda x: F.when(x == "", EMPTY).when(x.startswith("<s>"), START).when(x.startswith("<"), SLOT).otherwise(LITERAL)
+    d = d.select("id", "row", "t", F.transform("t", lambda x: clear(F.xxhash64(kind(x))).bitwiseOR(what(x).cast("long"))).alias("k"), F.transform("t", lambda x: clear(F.xxhash64(plain(x)))).alias("q"))
+    shifted = lambda c: [F.col(c), *(F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0))) for k in range(1, width))]
+    zipped = F.arrays_zip(*[x.alias(f"{c}{k}") for c in ("k", "q") for k, x in enumerate(shifted(c))])
+    w = d.select("id", "row", "t", F.posexplode(zipped).alias("at", "w"))
+    w = w.select("id", "row", "t", "at", *[F.col(f"w.{c}{k}") for c in ("k", "q") for k in range(width)])
+    words, plains = [F.col(f"k{k}") for k in range(width)], [F.col(f"q{k}") for k in range(width)]
+    some = lambda *kinds: sum((F.when(c.bitwiseAND(F.lit(3)).isin(*kinds), 1).otherwise(0) for c in words), F.lit(0))
+    full = words[-1].isNotNull()
+    w = w.select(
+        "id", "row", "t", "at", *words, *plains, some(SLOT, START).alias("marks"), some(START).alias("starts"), some(LITERAL).alias("literal"),
+        F.xxhash64(*[clear(c) for c in words]).alias("strict"), F.xxhash64(*plains).alias("plain"),
+    )
     nothing = F.lit(None).cast("long")
     strict = F.when(F.col("literal") + F.col("starts") >= 2, F.col("strict"))
     as_is = F.when(F.col("strict") == F.col("plain"), F.col("plain"))
     one = lambda h, w, p: F.struct(h.alias("h"), w.alias("w"), p.alias("p"))
-    hashes = [
-        F.when(full & strict.isNotNull(), one(strict, strict, as_is)),
-        F.when(full & strict.isNotNull() & (F.col("starts") > 0) & (F.col("literal") >= 2), one(F.xxhash64(*[kind(c, "<p>") for c in names]), strict, nothing)),
-        F.when(full & (strict.isNull() | as_is.isNull()), one(F.col("plain"), nothing, F.col("plain"))),
+    none = one(nothing, nothing, nothing)
+    name = clear(F.xxhash64(F.lit("<p>")))
+    as_names = F.xxhash64(*[F.when(c.bitwiseAND(F.lit(3)) == START, name).otherwise(clear(c)) for c in words])
+    first = F.when(full & strict.isNotNull(), one(strict, strict, as_is)).otherwise(none)
+    more = [
+        F.when(full & strict.isNotNull() & (F.col("starts") > 0) & (F.col("literal") >= 2), one(as_names, strict, nothing)).otherwise(none),
+        F.when(full & (strict.isNull() | as_is.isNull()), one(F.col("plain"), nothing, F.col("plain"))).otherwise(none),
     ]
     for k in short:
-        h = F.xxhash64(*[plain(c) for c in names[:k]])
-        hashes.append(F.when((F.col("n") == k) & (F.col("at") == 0) if whole else names[k - 1].isNotNull(), one(h, nothing, h)))
-    slots = F.when(F.col("marks") > 0, F.array(*names))
-    return w.select("id", "row", "at", slots.alias("slots"), F.explode(F.array_compact(F.array(*hashes))).alias("x")).select("id", "row", "at", "x.*", "slots")
+        h = F.xxhash64(*plains[:k])
+        more.append(F.when((F.size("t") == k) & (F.col("at") == 0) if whole else words[k - 1].isNotNull(), one(h, nothing, h)).otherwise(none))
+    simple = full & (F.col("marks") == 0) & strict.isNotNull() & as_is.isNotNull()
+    hashes = F.array(first, *more) if short else F.when(simple, F.array(first)).otherwise(F.array(first, *more))
+    slots = F.when(F.col("marks") > 0, F.slice("t", F.col("at") + 1, width))
+    return w.select("id", "row", "at", slots.alias("slots"), F.explode(hashes).alias("x")).filter("x.h is not null").select("id", "row", "at", "x.*", "slots")
 
 
 def _let(value: Column, then) -> Column:
