@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import free_name, stage
 
 WIDTH = 5
 #: Units that follow a number; fixed values.
@@ -156,7 +156,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
     occurrence in it that holds ``share`` of the windows. First words of sentences match as words and as names. An
     item is held too if ``share`` of its windows of plain lower-case words occur (the counts are theirs if the
     template's fall short). Items of two words up to ``width`` are one window of plain words. Items of one word, and
-    empty or null texts, take no part; those whose windows all lack literal words are found verbatim only. Rows are judged each alone, those that share an id too.
+    empty or null texts, take no part; those whose windows all lack literal words are found verbatim only. Rows are judged each alone, those that share an
+    id too; rows alike in id and text give one row. Empty tables give an empty result, other columns play no part.
     Windows of documents meet the benchmark's in a hash join. The benchmark's side is broadcast only after its
     windows have been counted, up to BROADCAST_WINDOWS; beyond, the join is shuffled. Only matches are aggregated.
     """
@@ -164,7 +165,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those that hold a benchmark item, rows without an id too. Their hashes of id and text are written, counted, and broadcast up to BROADCAST_WINDOWS."""
-    bad = stage(_leaks(docs, benchmark, how.get("width", WIDTH), how.get("share", 0.8)).select(F.col("row").alias("__row")).distinct(), "leaks")
+    """docs without those that hold a benchmark item, rows without an id and repeated rows too; null and empty texts stay.
+
+    The rows' hashes of id and text are written, counted, and broadcast up to BROADCAST_WINDOWS. Columns may have any names.
+    """
+    row = free_name(docs, "__row")
+    bad = stage(_leaks(docs, benchmark, how.get("width", WIDTH), how.get("share", 0.8)).select(F.col("row").alias(row)).distinct(), "leaks")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_WINDOWS else bad
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(bad, "__row", "left_anti").select(*docs.columns)
+    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(bad, row, "left_anti").select(*docs.columns)

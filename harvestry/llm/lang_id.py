@@ -15,6 +15,8 @@ from .textnum import letter_table, mix, codes, pieces
 DIMS = 4096
 #: Documents in the training sample, for each language, about.
 SAMPLE = 600
+#: Languages that a model tells apart at most, those with most rows.
+LANGUAGES = 200
 #: Families of closely related languages, fixed values; a language in none is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -112,10 +114,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model | None:
     """A model of docs (doc_id, text, lang); None if no row has both a language and letters.
 
     The sample takes each row by a hash of its id and text with the probability that gives about ``sample`` rows a
-    language, so its size is bounded at any input size. Texts are turned into vectors of DIMS on the executors.
+    language, for the LANGUAGES that have most rows, so its size is bounded at any input size. Rows alike count once,
+    and what is beyond twice the sample goes in order of a hash: the same rows always. Texts are turned into vectors
+    of DIMS on the executors.
     """
     known = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not n:
         return None
     share = F.lit(0.0)
@@ -129,21 +133,27 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model | None:
             rows = np.flatnonzero(letters)
             yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(rows)), pa.array([r.astype(np.float16).tobytes() for r in x[rows]], pa.binary())], ["lang", "x"])
 
-    rows = taken.mapInArrow(vectors, "lang string, x binary").limit(2 * sample * len(n)).collect()
+    rows = taken.mapInArrow(vectors, "lang string, x binary").distinct().orderBy(F.xxhash64("x"), "lang").limit(2 * sample * len(n)).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))  # the same model whatever the order of arrival
     return Model(np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32), [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """(doc_id, keep..., lang_pred, score) for each row of docs: ``und`` with score 0 for a null text, one without letters, or no model."""
+def identify(docs: DataFrame, model: Model | None, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(doc_id, keep..., lang_pred, score) for each row of docs: ``und`` with score 0 for a null text, one without letters, or no model.
+
+    A map: repeated rows stay, ties between languages go by alphabet, long texts are read whole, an empty table gives
+    an empty result. names are those of the two new columns; columns in keep with the same names raise ValueError.
+    """
+    if {c.lower() for c in names} & {c.lower() for c in (*keep, "doc_id")}:
+        raise ValueError(f"columns {names} are there already; give other names")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kept = [c for c in dict.fromkeys(("doc_id", *keep)) if c != "text"]
     whole = "text" in keep
     fields = [f for f in docs.schema.fields if f.name in kept]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["text string"] * whole + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["text string"] * whole + [f"`{names[0]}` string", f"`{names[1]}` double"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -151,10 +161,10 @@ def identify(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
             x, letters = features(texts)
             lang, score = m.predict(x) if m else (["und"] * len(texts), np.zeros(len(texts)))
             lang = [v if n else "und" for v, n in zip(lang, letters, strict=True)]
-            names = [f.name for f in fields] + ["text"] * whole
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(np.where(letters > 0, score, 0.0))], [*names, "lang_pred", "score"])
+            mine = [f.name for f in fields] + ["text"] * whole
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in mine), pa.array(lang, pa.string()), pa.array(np.where(letters > 0, score, 0.0))], [*mine, *names])
 
-    return docs.select(*[f.name for f in fields], "text").mapInArrow(rows, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in fields], "text").mapInArrow(rows, schema)
 
 
 def by_language(column: Column) -> Column:

@@ -51,45 +51,49 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), epochs: float
 
 
 def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), epochs: float = 3.0, seed: str = "mix-1") -> DataFrame:
-    """docs with size, source_size, target, whole and part: each document is taken whole times, and then part of its words once more.
+    """(row, size, source_size, target, whole, part): each document, as a struct of its columns, is taken whole times, and then part of its words once more.
 
     Every document of a source gets the same whole repetitions. The fraction that remains goes to buckets in order of
     the seeded hash: those below the boundary give all their words once more, the boundary's documents the fraction
     that still lacks, so a source's taken words miss its target by less than a word for each boundary document.
     Only sums by source and bucket are shuffled. A null text has size 0, a null source is a source, and rows with
-    the same id are taken alike; an empty table gives an empty result.
+    the same id are taken alike; an empty table gives an empty result; other columns may have any names.
     """
-    sized = docs.withColumns({"__size": word_count(F.col("text")), "__bucket": seeded_bucket(F.col("doc_id"), seed)})
-    sums = sized.groupBy("source", "__bucket").agg(F.sum("__size").alias("words"))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", word_count(F.col("text")).alias("size"), seeded_bucket(F.col("doc_id"), seed).alias("bucket"))
+    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), cycle, epochs)
     per = goal.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     per = per.withColumn("whole", F.floor("ratio").cast("long"))
     per = per.withColumn("rest", (F.col("ratio") - F.col("whole")) * F.col("source_size"))
-    s = sums.select(F.col("source").alias("s"), "__bucket", "words")
-    steps = per.join(s, per.source.eqNullSafe(s.s)).withColumn("below", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    edge = steps.groupBy("source").agg(F.min(F.when((F.col("words") > 0) & (F.col("below") + F.col("words") > F.col("rest")), F.struct("__bucket", ((F.col("rest") - F.col("below")) / F.col("words")).alias("share")))).alias("edge"))
+    s = sums.select(F.col("source").alias("s"), "bucket", "words")
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    steps = per.join(s, per.source.eqNullSafe(s.s)).withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    boundary = (F.col("words") > 0) & (F.col("below") + F.col("words") > F.col("rest"))
+    edge = steps.groupBy("source").agg(F.min(F.when(boundary, F.struct("bucket", ((F.col("rest") - F.col("below")) / F.col("words")).alias("share")))).alias("edge"))
     e = edge.select(F.col("source").alias("s"), "edge")
-    plan = per.join(e, per.source.eqNullSafe(e.s), "left").select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("edge").alias("__edge"))
+    plan = per.join(e, per.source.eqNullSafe(e.s), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "edge")
     plan = stage(plan, "mix")
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    out = sized.join(plan, sized.source.eqNullSafe(plan["__source"]))
     part = (
-        F.when(F.col("__edge").isNull() | (F.col("__bucket") > F.col("__edge.__bucket")), F.lit(0))
-        .when(F.col("__bucket") < F.col("__edge.__bucket"), F.col("__size"))
-        .otherwise(F.bround(F.col("__size") * F.col("__edge.share"), 0))
+        F.when(F.col("edge").isNull() | (F.col("bucket") > F.col("edge.bucket")), F.lit(0))
+        .when(F.col("bucket") < F.col("edge.bucket"), F.col("size"))
+        .otherwise(F.bround(F.col("size") * F.col("edge.share"), 0))
         .cast("long")
     )
-    return out.select(*[docs[c] for c in docs.columns if not c.startswith("__")], "__size", "__source_size", "__target", "__whole", part.alias("__part"))
+    return sized.join(plan, sized.source.eqNullSafe(plan["of"])).select("row", "size", "source_size", "target", "whole", part.alias("part"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, the last repetition cut after its part of the words; the columns of docs."""
+    """The mix itself: each document as often as it is taken, the last repetition cut after its part of the words; the columns of docs.
+
+    Documents without words aren't taken. n_chars, where docs has it, is counted anew for cut texts.
+    """
     m = mix_sources(docs, **how)
-    times = F.col("__whole") + F.when(F.col("__part") > 0, 1).otherwise(0)
-    m = m.filter((times > 0) & (F.col("__size") > 0)).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    cut = (F.col("__turn") > F.col("__whole")) & (F.col("__part") < F.col("__size"))
-    text = F.when(cut, F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, F.col("__part").cast("int")), "")).otherwise(F.col("text"))
+    times = F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)
+    m = m.filter((times > 0) & (F.col("size") > 0)).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    cut = (F.col("turn") > F.col("whole")) & (F.col("part") < F.col("size"))
+    words = F.split(F.regexp_replace("row.text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("part").cast("int")), "")).otherwise(F.col("row.text"))
     m = m.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        m = m.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return m.select(*docs.columns)
+    made = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return m.select(*[(made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -65,8 +65,7 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    taken = F.col("__size") * F.col("__whole") + F.col("__part")
-    return m.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"))
+    return m.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("whole") + F.col("part")).alias("taken"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

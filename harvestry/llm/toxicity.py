@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3)
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     taken = by_id.filter(u < F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / n[1]))).otherwise(F.lit(min(1.0, sample / n[0]))))
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4)) == 0
-    few = docs.select("doc_id", "text").join(F.broadcast(taken.limit(4 * sample).withColumn("scale", part)), "doc_id")
+    few = docs.select("doc_id", "text").join(F.broadcast(taken.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(4 * sample).withColumn("scale", part)), "doc_id")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3)
             x, size = shared.value.inputs(texts)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"]).filter(pa.array(size > 0))
 
-    rows = few.filter("scale").mapInArrow(rate, "toxic int, x array<double>").limit(8 * sample).collect()
+    rows = few.filter("scale").mapInArrow(rate, "toxic int, x array<double>").orderBy(F.xxhash64("x"), "toxic").limit(8 * sample).collect()
     rows.sort(key=lambda r: (r["toxic"], r["x"]))
     if len({r["toxic"] for r in rows}) == 2:
         model.fit_scale(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], np.float64), model.prior)
@@ -158,7 +158,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3)
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
-    """(doc_id, score) for each row of docs (doc_id, text): a map. Null and empty texts get the labels' prior."""
+    """(doc_id, score) for each row of docs (doc_id, text): a map. Null and empty texts get the labels' prior.
+
+    Repeated rows stay and get the same score, long texts are read whole, an empty table gives an empty result, and
+    other columns play no part.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

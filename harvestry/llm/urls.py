@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labels of a host that are tried as suffixes; longer hosts try their last so many and the whole host.
+from .shared import free_name
+
+#: The host of a URL: after the scheme and a user's name, before port, path, query and fragment.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -33,23 +35,42 @@ def intervals(entries: DataFrame) -> DataFrame:
     return e.filter(F.col("action") == "add").select("list", "domain", F.col("day").alias("valid_from"), "valid_to")
 
 
+#: Verdicts are joined back in so many slices of each (URL, day), so that a hot one isn't one task's.
+SLICES = 16
+#: Up to so many listed domains, which are counted first, their names are broadcast to thin out the hosts' suffixes.
+BROADCAST_DOMAINS = 1_000_000
+
+
 def filter_urls(captures: DataFrame, entries: DataFrame, fetched: Column) -> DataFrame:
     """Each capture with its host, fetch day, the number of entries in force, the longest matching domain and its list, and blocked.
 
     A capture matches an entry whose domain is its host or a domain above it and whose interval holds the fetch day
-    (from inclusive, to exclusive). Each distinct pair of URL and day is judged once, so a hot URL or host is
-    aggregated before any shuffle on it; then the captures, repeated rows included, get the verdict. A null or
-    hostless URL, or a null day, matches nothing.
+    (from inclusive, to exclusive). Of several the longest domain counts, then the latest, then the last list's name.
+    Each distinct pair of URL and day is judged once, so a hot URL or host is aggregated before any shuffle on it;
+    suffixes that no list names are gone before they are shuffled, if the domains are few enough to be broadcast. Then
+    the captures, repeated rows included, get the verdict: each is dealt to one of SLICES slices of its URL and day, and
+    only matched pairs, which are few, are repeated for each. A null or hostless URL, or a null day, matches nothing;
+    empty tables give no match or no row. New columns get another name where captures has theirs.
     """
-    rows = captures.withColumn("fetch_day", fetched)
-    once = rows.select("url", "fetch_day").filter(F.col("url").isNotNull() & F.col("fetch_day").isNotNull()).distinct()
+    fetch_day, host, n_active, domain, listed, since, blocked, slice_ = (free_name(captures, n) for n in ("fetch_day", "host", "n_active", "domain", "list", "since", "blocked", "__slice"))
+    rows = captures.withColumn(fetch_day, fetched)
+    once = rows.select("url", F.col(fetch_day).alias("day")).filter(F.col("url").isNotNull() & F.col("day").isNotNull()).distinct()
     tried = once.withColumn("host", host_of(F.col("url"))).filter("host is not null").withColumn("domain", F.explode(suffixes(F.col("host"))))
-    live = tried.join(intervals(entries), "domain").filter((F.col("fetch_day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetch_day") < F.col("valid_to"))))
+    valid = intervals(entries)
+    names = valid.select("domain").distinct()
+    if names.limit(BROADCAST_DOMAINS + 1).count() <= BROADCAST_DOMAINS:
+        tried = tried.join(F.broadcast(names), "domain", "left_semi")
+    live = tried.join(valid, "domain").filter((F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))))
     best = F.max(F.struct(F.length("domain").alias("size"), F.col("valid_from"), F.col("list"), F.col("domain")))
-    found = live.groupBy("url", "fetch_day").agg(F.count("*").alias("n_active"), best.alias("best"))
-    verdict = found.select("url", "fetch_day", "n_active", F.col("best.domain").alias("domain"), F.col("best.list").alias("list"), F.col("best.valid_from").alias("since"))
-    out = rows.join(verdict, ["url", "fetch_day"], "left")
+    found = live.groupBy("url", "day").agg(F.count("*").alias("n"), best.alias("best"))
+    verdict = found.select(
+        F.col("url").alias("u"), "day", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("s"),
+        F.struct("n", "best.domain", "best.list", "best.valid_from").alias("v"),
+    )
+    rows = rows.withColumn(slice_, F.floor(F.rand(1) * SLICES).cast("int"))
+    out = rows.join(verdict, (rows["url"] == verdict["u"]) & (rows[fetch_day] == verdict["day"]) & (rows[slice_] == verdict["s"]), "left")
     return out.select(
-        *[c for c in captures.columns], "fetch_day", host_of(F.col("url")).alias("host"),
-        F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), "domain", "list", "since", F.col("n_active").isNotNull().alias("blocked"),
+        *[rows[c] for c in captures.columns], rows[fetch_day], host_of(rows["url"]).alias(host),
+        F.coalesce("v.n", F.lit(0)).cast("long").alias(n_active), F.col("v.domain").alias(domain), F.col("v.list").alias(listed),
+        F.col("v.valid_from").alias(since), F.col("v.n").isNotNull().alias(blocked),
     )

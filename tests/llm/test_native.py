@@ -33,9 +33,9 @@ def test_mix(spark):
     m = mixing.mix_sources(docs).collect()
     taken = {}
     for r in m:
-        n = r["__size"] * r["__whole"] + r["__part"]
-        assert 0 <= n <= 3 * r["__size"]
-        taken.setdefault((r.source, r["__target"]), []).append(n)
+        n = r["size"] * r["whole"] + r["part"]
+        assert 0 <= n <= 3 * r["size"]
+        taken.setdefault((r["row"].source, r.target), []).append(n)
     assert len(m) == len(rows) and all(abs(sum(v) - t) <= 40 for (_, t), v in taken.items())
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
