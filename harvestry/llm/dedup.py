@@ -144,11 +144,12 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def buckets(nodes: DataFrame) -> DataFrame:
     """(id, key, n, others) from nodes (id, rep, keys): each member of a band's bucket of n, two at least, with the bucket's pivots.
 
-    One pivot is the member with the smallest document id, PIVOTS more are chosen by hashes that differ from band to
-    band, so rows grow with the members and not with their square. Buckets of one are gone before the join.
+    One pivot is the member with the smallest document id, PIVOTS more are chosen by hashes of the members' ids alone:
+    a group that meets in many bands mostly has the same ones in each, so rows grow with the members and neither with
+    their square nor with the bands. Buckets of one are gone before the join.
     """
     rows = nodes.select("id", "rep", F.explode("keys").alias("key"))
-    pivots = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", "rep").alias("p"), *[F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias(f"q{k}") for k in range(PIVOTS)]).filter("n > 1")
+    pivots = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", "rep").alias("p"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"q{k}") for k in range(PIVOTS)]).filter("n > 1")
     return rows.select("id", "key").join(pivots, "key").select("id", "key", "n", F.array_distinct(F.array("p", *[f"q{k}" for k in range(PIVOTS)])).alias("others"))
 
 
