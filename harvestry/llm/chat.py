@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How a message's text holds tool traffic: {"tool_calls": [{"id", "name", "arguments": {...}}], "content"?} or {"tool_call_id", "content"}.
-CALL = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:map<string,string>>>,tool_call_id:string>"
-#: The same with the arguments' types.
-TYPED = "struct<tool_calls:array<struct<arguments:map<string,variant>>>>"
+#: How a message's text holds tool traffic: {"tool_calls": [{"id", "name", "arguments"}], "content"?} or {"tool_call_id", "content"}; arguments are an object, or a string that holds one.
+CALL = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:variant>>,tool_call_id:string>"
+#: Schema types, and the JSON types of the values they take.
+TYPES = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY"}
 ORDER = {"system": 0, "user": 1, "assistant": 2, "tool": 3}
 
 
@@ -20,22 +20,23 @@ def json_text(c: Column) -> Column:
 def link_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row a message: (conv_id, turn, role, call_id, anchor_turn, step, status, message) in canonical JSON.
 
-    messages: (conv_id, turn, role, text). schemas: (name, param, type, required), one row a parameter; types string,
-    number, integer, boolean. A message whose text is a JSON object with tool_calls gives a row for each call; one
+    messages: (conv_id, turn, role, text). schemas: (name, param, type, required), one row a parameter; types are those
+    of TYPES. A message whose text is a JSON object with tool_calls gives a row for each call; one
     with tool_call_id gives a result, one with both gives both. A calling message's content that is no result is a plain
-    row before its calls. Argument values keep their JSON types. Calls and results meet in a hash join on (conv_id, call id), so neither a hot
+    row before its calls. Arguments keep their JSON types, keys are sorted at all depths; no arguments are none. Calls and results meet in a hash join on (conv_id, call id), so neither a hot
     conversation nor a hot first turn is gathered anywhere. The order (anchor_turn, step, turn) is topological: a
     result is anchored at its call's turn when it stands before it, and steps put calls before their results.
 
     status: ``plain``; for calls ``ok``, ``unknown_tool``, ``missing_argument``, ``unknown_argument``, ``bad_type`` or
     ``no_result`` (the arguments are right but no result came), and ``duplicate`` for all but the first call of an id;
-    for results ``linked`` or ``orphan``. Null or blank ids never link. A null text is an empty message, a null role
-    the role ``unknown``. Keys are in alphabetical order, without white space.
+    for results ``linked`` or ``orphan``. Arguments that are no object are ``bad_type`` and written as they are. Null
+    or blank ids never link, nor do rows without a conv_id. Of calls that share an id the first by turn and place
+    counts; repeated rows each stay. A null text is an empty message, a null role the role ``unknown``. An empty table
+    gives an empty result, other columns play no part. JSON has no white space.
     """
     m = messages.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.lower(F.trim("role")), F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     looks = F.col("text").rlike(r'^\s*\{[\s\S]*"tool_call')
     m = m.withColumn("parsed", F.when(looks, F.from_json("text", CALL)))
-    m = m.withColumn("typed", F.when(looks, F.from_json("text", TYPED)))
     n_calls = F.coalesce(F.size("parsed.tool_calls"), F.lit(0))
     is_result = F.nullif(F.trim("parsed.tool_call_id"), F.lit("")).isNotNull()
     plain = m.filter(F.col("parsed").isNull() | ((n_calls <= 0) & ~F.coalesce(is_result, F.lit(False))))
@@ -46,40 +47,30 @@ def link_chat(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     )
 
     tooled = m.filter(F.col("parsed").isNotNull())
-    calls = tooled.filter(n_calls > 0).select("conv_id", "turn", "role", "typed", F.posexplode("parsed.tool_calls").alias("pos", "call"))
-    calls = calls.select("conv_id", "turn", "role", "pos", F.nullif(F.trim("call.id"), F.lit("")).alias("call_id"), F.col("call.name").alias("name"), F.coalesce("call.arguments", F.create_map().cast("map<string,string>")).alias("args"), F.get(F.col("typed.tool_calls"), F.col("pos"))["arguments"].alias("typed"))
+    calls = tooled.filter(n_calls > 0).select("conv_id", "turn", "role", F.posexplode("parsed.tool_calls").alias("pos", "call"))
+    held = F.coalesce(F.when(F.schema_of_variant("call.arguments") == "STRING", F.try_parse_json(F.try_variant_get("call.arguments", "$", "string"))), F.col("call.arguments"))
+    calls = calls.select("conv_id", "turn", "role", "pos", F.nullif(F.trim("call.id"), F.lit("")).alias("call_id"), F.col("call.name").alias("name"), held.alias("arguments"))
+    none = F.col("arguments").isNull() | F.is_variant_null("arguments")
+    calls = calls.withColumn("args", F.when(none, F.create_map().cast("map<string,variant>")).when(F.schema_of_variant("arguments").startswith("OBJECT"), F.try_variant_get("arguments", "$", "map<string,variant>")))
     results = tooled.filter(F.coalesce(is_result, F.lit(False))).select("conv_id", "turn", "role", F.trim("parsed.tool_call_id").alias("call_id"), F.coalesce("parsed.content", F.lit("")).alias("content"))
 
     kinds = schemas.groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("param", "type")))).alias("types"), F.collect_set(F.when(F.col("required"), F.col("param"))).alias("needed"))
     first = calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "pos")).alias("first"))
     got = results.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"))
     c = calls.join(kinds, "name", "left").join(first, ["conv_id", "call_id"], "left").join(got, ["conv_id", "call_id"], "left")
-    value = {"number": r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$", "integer": r"^-?\d+$", "boolean": r"^(true|false)$"}
-    bad = F.exists(
-        F.map_entries("args"),
-        lambda e: F.coalesce(
-            F.when(F.element_at(F.col("types"), e["key"]) == "number", ~e["value"].rlike(value["number"]))
-            .when(F.element_at(F.col("types"), e["key"]) == "integer", ~e["value"].rlike(value["integer"]))
-            .when(F.element_at(F.col("types"), e["key"]) == "boolean", ~e["value"].rlike(value["boolean"]))
-            .otherwise(e["value"].isNull()),
-            F.lit(True),
-        ),
-    )
+    fits = lambda kind, is_a: F.coalesce(*[F.when(kind == name, is_a.rlike(pattern)) for name, pattern in TYPES.items()], F.lit(True))
+    bad = F.exists(F.map_entries("args"), lambda e: ~fits(F.element_at(F.col("types"), e["key"]), F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID"))))
     status = (
         F.when(F.struct("turn", "pos") != F.col("first"), "duplicate")
         .when(F.col("types").isNull(), "unknown_tool")
+        .when(F.col("args").isNull(), "bad_type")
         .when(F.size(F.array_except("needed", F.map_keys("args"))) > 0, "missing_argument")
         .when(F.size(F.array_except(F.map_keys("args"), F.map_keys("types"))) > 0, "unknown_argument")
         .when(bad, "bad_type")
         .when(F.col("n_results").isNull(), "no_result")
         .otherwise("ok")
     )
-    is_text, is_nested = (lambda e, t=t: F.coalesce(F.schema_of_variant(F.element_at(F.col("typed"), e["key"])).rlike(t), F.lit(t == "^STRING")) for t in ("^STRING", "^(OBJECT|ARRAY)"))
-    pair = lambda e: F.concat(
-        json_text(e["key"]), F.lit(":"),
-        F.when(e["value"].isNull(), "null").when(is_text(e), json_text(e["value"])).when(is_nested(e), F.to_json(F.element_at(F.col("typed"), e["key"]))).otherwise(e["value"]),
-    )
-    args = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries("args")), pair), ","), F.lit("}"))
+    args = F.when(F.size("args") == 0, "{}").otherwise(F.to_json("arguments"))
     called = c.select(
         "conv_id", "turn", "role", "call_id", F.col("turn").alias("anchor_turn"), F.lit(1).alias("step"), status.alias("status"),
         F.concat(F.lit('{"arguments":'), args, F.lit(',"id":'), F.coalesce(json_text(F.col("call_id")), F.lit("null")), F.lit(',"name":'), F.coalesce(json_text(F.col("name")), F.lit("null")), F.lit(',"role":'), json_text(F.col("role")), F.lit("}")).alias("message"),

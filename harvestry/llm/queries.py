@@ -81,9 +81,34 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def tool_traffic(conversations: DataFrame) -> DataFrame:
+    """The conversations, and tool traffic that follows from them, since they hold none: (conv_id, turn, role, text).
+
+    Turns count by fours. Each assistant's message is followed by one that calls a tool, and most of these by its
+    result. What is called, and what is wrong with it, depends on conv_id + turn, by eights: arguments as an object
+    beside content (0) or as a string (1), a missing one (2), one of a wrong type (3), an unknown tool whose result has
+    another id (4), two calls of one id (5), no result (6), a nested argument that the tool doesn't know (7).
+    """
+    m = conversations.select("conv_id", (F.col("turn").cast("long") * 4).alias("turn"), "role", "text")
+    a = m.filter(F.lower(F.trim("role")) == "assistant").withColumn("v", F.pmod(F.col("conv_id") + F.floor(F.col("turn") / 4), F.lit(8)))
+    json, v = chat.json_text, F.col("v")
+    right = F.concat(F.lit('{"query":'), json(F.substring(F.coalesce("text", F.lit("")), 1, 40)), F.lit(',"limit":'), F.col("turn").cast("string"), F.lit("}"))
+    args = (
+        F.when(v == 1, json(right)).when(v == 2, F.lit('{"limit":1}')).when(v == 3, F.lit('{"query":5}')).when(v == 4, F.lit("{}"))
+        .when(v == 7, F.lit('{"query":"x","extra":{"z":1,"a":[1,{"b":null}]}}')).otherwise(right)
+    )
+    call_id = F.concat(F.lit("c"), F.col("turn").cast("string"))
+    one = F.concat(F.lit('{"id":'), json(call_id), F.lit(',"name":"'), F.when(v == 4, "nope").otherwise("search"), F.lit('","arguments":'), args, F.lit("}"))
+    text = F.concat(F.when(v == 0, '{"content":"Let me see","tool_calls":[').otherwise('{"tool_calls":['), one, F.when(v == 5, F.concat(F.lit(","), one)).otherwise(""), F.lit("]}"))
+    calls = a.select("conv_id", (F.col("turn") + 1).alias("turn"), "role", text.alias("text"))
+    answer = F.concat(F.lit('{"tool_call_id":'), json(F.when(v == 4, "zz").otherwise(call_id)), F.lit(',"content":"r"}'))
+    results = a.filter(v != 6).select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit("tool").alias("role"), answer.alias("text"))
+    return m.unionByName(calls).unionByName(results)
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools = spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean")
-    return chat.link_chat(table(spark, sf_dir, "conversations"), tools)
+    return chat.link_chat(tool_traffic(table(spark, sf_dir, "conversations")), tools)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,12 +184,28 @@ from p left join v on p.url = v.url and p.fetch_day = v.fetch_day and v.n = 1
 """
 
 OP8 = r"""
-with m as (select conv_id, turn, coalesce(lower(trim(role)), 'unknown') as role, coalesce(text, '') as text from conversations)
-select conv_id, turn, role, cast(null as varchar) as call_id, turn as anchor_turn, 0 as step, 'plain' as status,
-  '{"content":' || cast(to_json(text) as varchar) || ',"role":' || cast(to_json(role) as varchar) || '}' as message from m
+with m as (select conv_id, cast(turn as bigint) * 4 as turn, coalesce(lower(trim(role)), 'unknown') as role, coalesce(text, '') as text from conversations),
+a as (select conv_id, turn, (((conv_id + turn // 4) % 8) + 8) % 8 as v, 'c' || cast(turn as varchar) as id,
+    '{"limit":' || cast(turn as varchar) || ',"query":' || cast(to_json(substr(text, 1, 40)) as varchar) || '}' as good from m where role = 'assistant'),
+c as (select *, case v when 2 then '{"limit":1}' when 3 then '{"query":5}' when 4 then '{}' when 7 then '{"extra":{"a":[1,{"b":null}],"z":1},"query":"x"}' else good end as args,
+    case v when 4 then 'nope' else 'search' end as name from a),
+n as (select *, unnest(case v when 5 then [0, 1] else [0] end) as pos from c),
+o as (
+  select conv_id, turn, role, cast(null as varchar) as call_id, turn as anchor_turn, 0 as step, 'plain' as status,
+    '{"content":' || cast(to_json(text) as varchar) || ',"role":' || cast(to_json(role) as varchar) || '}' as message from m
+  union all
+  select conv_id, turn + 1, 'assistant', null, turn + 1, 0, 'plain', '{"content":"Let me see","role":"assistant"}' from a where v = 0
+  union all
+  select conv_id, turn + 1, 'assistant', id, turn + 1, 1,
+    case when pos = 1 then 'duplicate' else case v when 2 then 'missing_argument' when 3 then 'bad_type' when 4 then 'unknown_tool' when 6 then 'no_result' when 7 then 'unknown_argument' else 'ok' end end,
+    '{"arguments":' || args || ',"id":"' || id || '","name":"' || name || '","role":"assistant"}' from n
+  union all
+  select conv_id, turn + 2, 'tool', case v when 4 then 'zz' else id end, turn + 2, 2, case v when 4 then 'orphan' else 'linked' end,
+    '{"content":"r","role":"tool","tool_call_id":"' || case v when 4 then 'zz' else id end || '"}' from a where v <> 6)
+select * from o
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the operators that it can express. op8's holds for tables without tool calls, as the given ones are; its linking is tested on a fixture."""
+    """SQL for the operators that it can express. op8's gives what must come of the tool traffic that its query adds to the conversations."""
     return {"op3_exact_top_k": OP3, "op4_mixing": OP4, "op8_chat_formatting": OP8, "op10_url_filters": OP10}
