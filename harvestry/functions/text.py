@@ -10,8 +10,13 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, rang
 BLANK = f"[{BLANKS}]+"
 LINE = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 #: Words for and against remote work.
-REMOTE = [r"remoto", r"remote", r"teletrabajo", r"work\s+from\s+home", r"wfh", r"fully\s+remote", r"100%\s*remote", r"distributed\s+team", r"telearbeit", r"homeworking", r"télétravail", r"homeoffice", r"home\s+office"]
-OFFICE = [r"on[-\s]?site", r"in[-\s]office", r"presencial", r"in\s+person", r"on\s+location", r"vor\s+ort", r"sur\s+site", r"sur\s+place"]
+REMOTE = [
+    r"\bremoto\b", r"\bremote\b", r"\bteletrabajo\b", r"\bwork\s+from\s+home\b", r"\bwfh\b", r"\bfully\s+remote\b", r"\b100%\s*remote\b", r"\bdistributed\s+team\b",
+    r"\btelearbeit\b", r"\bhomeworking\b", r"\btélétravail\b", r"\bhomeoffice\b", r"\bhome\s+office\b",
+]
+OFFICE = [
+    r"\bon[-\s]?site\b", r"\bin[-\s]?office\b", r"\bpresencial\b", r"\bin\s+person\b", r"\bon\s+location\b", r"\bvor\s*ort\b", r"\bsur\s+site\b", r"sur\s+place",
+]
 LIMITS = {"title": 255, "company": 255, "location_display": 255, "city": 100}
 
 
@@ -40,20 +45,22 @@ def contract_time(c: Column) -> Column:
 def remote(*parts: Column, yes: list[str] = REMOTE, no: list[str] = OFFICE) -> Column:
     """True if a word for remote work occurs, else false if one for the office does, else null."""
     whole = F.concat_ws(" ", *[normal(p) for p in parts])
-    found = lambda words: whole.rlike(r"(?iU)\b(?:" + "|".join(words) + r")\b")
+    found = lambda words: whole.rlike("(?iU)" + "|".join(words))
     return F.when(whole == "", F.lit(None)).when(found(yes), True).when(found(no), False)
 
 
 def clean_lines(c: Column, least: int = 15) -> Column:
     """Lines of at least 15 characters, the first of those alike but for case and blanks, in one line.
 
-    Duplicates go by first position, found by array_position over the lines' keys; null if nothing stays.
+    Lines are sorted by key and place, so that each key's first line is found without comparing all pairs of lines;
+    null if nothing stays.
     """
     lines = F.filter(F.transform(F.split(c, LINE), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: F.length(x) >= least)
-    keyed = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_replace(x, BLANK, " ")).alias("k"), x.alias("v")))
-    # A lambda's variable holds the keyed lines, so that they are computed once a text and not once a line.
-    first = F.get(F.transform(F.array(keyed), lambda a: F.filter(a, lambda x, i: F.array_position(a["k"], x["k"]) == i + 1)), F.lit(0))
-    return normal(F.array_join(F.transform(first, lambda x: x["v"]), " "))
+    keyed = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(F.regexp_replace(x, BLANK, " ")).alias("k"), i.alias("i"), x.alias("v"))))
+    # A lambda's variable holds the sorted lines, so that they are computed once a text and not once a line.
+    new = lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["k"] != x["k"]))
+    first = F.get(F.transform(F.array(keyed), new), F.lit(0))
+    return normal(F.array_join(F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"], x["v"]))), lambda x: x["v"]), " "))
 
 
 def selected(full: Column, short: Column, most: int = 1500) -> Column:

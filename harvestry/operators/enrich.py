@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,9 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.catalog import DEFAULT, Catalog
+from ..functions.roles import canonical_skill
 from ..schema import ROLES
+from .store import insert_ignore, upsert_skills
 
-ANSWER = "id bigint, role_category string, skills array<string>, is_tech boolean"
+ANSWER = "id bigint, role_category string, skills array<string>, is_tech boolean, answered boolean"
+
+
+def backlog(jobs: DataFrame, as_of: Column, country: str | None = None, days: int | None = None, limit: int | None = None) -> DataFrame:
+    """Jobs that still lack a full text and can be crawled, newest first: active, with a url that is no redirect page; of a country, of the last days, so many."""
+    where = F.col("is_active") & F.col("url").isNotNull() & F.nullif("description_full", F.lit("")).isNull() & ~F.col("url").contains("/land/")
+    if country is not None:
+        where = where & (F.col("country_code") == country)
+    if days is not None:
+        where = where & (F.col("posted_at") >= as_of - F.make_dt_interval(F.lit(days)))
+    out = jobs.filter(where).orderBy(F.col("posted_at").desc_nulls_first(), "id")
+    return out if limit is None else out.limit(limit)
 
 
 def candidates(jobs: DataFrame, as_of: Column, mode: str = "gaps", days: int | None = None, inactive: bool = False) -> DataFrame:
@@ -32,19 +48,55 @@ def pending(jobs: DataFrame, ledger: DataFrame, model: str) -> DataFrame:
     return t.join(done, ["id", "input_hash"], "left_anti")
 
 
+def results(reply: str | None) -> list[dict]:
+    """The answers in a classifier's reply: the list ``results`` of its first JSON object, else the object's members that are objects (numbered keys); none if there is no such object."""
+    for part in (reply or "", (re.search(r"\{.*\}", reply or "", re.S) or [""])[0]):
+        try:
+            got = json.loads(part)
+        except ValueError:
+            continue
+        if isinstance(got, dict):
+            items = got.get("results") or [v for v in got.values() if isinstance(v, dict)]
+            return [x for x in items if isinstance(x, dict)] if isinstance(items, list) else []
+    return []
+
+
+def llm_classifier(post: Callable[[dict], str], model: str, roles: list[str]) -> Callable[[list[dict]], list[dict]]:
+    """A classifier for classify() that asks a language model: post takes the request and returns the reply's text."""
+
+    def ask(rows: list[dict]) -> list[dict]:
+        texts = "\n".join(f"{k + 1}. {r['title']}: {r['text']}" for k, r in enumerate(rows))
+        prompt = f"For each numbered job give role_category (one of {', '.join(roles)}), skills and is_tech, as JSON {{\"results\": [...]}}.\n{texts}"
+        return results(post({"model": model, "prompt": prompt, "format": "json", "stream": False, "options": {"temperature": 0}}))
+
+    return ask
+
+
 def classify(rows: DataFrame, classifier: Callable[[list[dict]], list[dict]], batch: int = 10) -> DataFrame:
-    """Answers by id. classifier takes up to batch rows (id, title, text) and returns dicts; missing answers are other."""
+    """Answers by id. classifier takes up to batch rows (id, title, text) and returns dicts, the surplus of which goes.
+
+    Where it fails or gives too few, the rest has no role, no skills and counts as IT work, so a bad batch ends no task.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for k in range(0, len(f), batch):
                 part = f.iloc[k : k + batch]
-                got = list(classifier(part.to_dict("records")))[: len(part)]
-                got += [{}] * (len(part) - len(got))
-                yield pd.DataFrame({"id": part["id"].values, "role_category": [g.get("role_category") for g in got], "skills": [list(g.get("skills") or []) for g in got], "is_tech": [g.get("is_tech") not in (False, 0, "false", "0", "no") for g in got]})
+                try:
+                    got = list(classifier(part.to_dict("records")))[: len(part)]
+                except Exception:
+                    got = []
+                none = [False] * (len(part) - len(got))
+                answered = [True] * len(got) + none
+                got += [{} for _ in none]
+                yield pd.DataFrame({
+                    "id": part["id"].values, "role_category": [g.get("role_category") for g in got], "skills": [[s for s in g.get("skills") or [] if isinstance(s, str)] for g in got],
+                    "is_tech": [g.get("is_tech") not in (False, 0, "false", "0", "no") for g in got], "answered": answered,
+                })
 
     raw = rows.select("id", "title", "text").mapInPandas(run, ANSWER)
-    return raw.select("id", text.classifier_result(F.col("role_category"), F.col("skills"), F.col("is_tech"), ROLES).alias("r")).select("id", "r.*")
+    made = text.classifier_result(F.col("role_category"), F.col("skills"), F.col("is_tech"), ROLES)
+    return raw.select("id", "answered", made.alias("r")).select("id", F.when(F.col("answered"), F.col("r.role_category")).alias("role_category"), "r.skills", "r.is_tech")
 
 
 def merge_role(before: Column, proposal: Column, is_tech: Column, everything: bool = False, update: bool = False) -> Column:
@@ -63,8 +115,27 @@ def ledger_put(ledger: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def resolve_ids(names: DataFrame, skills: DataFrame) -> DataFrame:
-    """(name, id): by the exact name, else without case, where the smallest id wins."""
+    """(name, id): by the exact name, else without case; of several rows then the one spelt as canonical (a column that names may have), else the smallest id."""
+    names = names if "canonical" in names.columns else names.withColumn("canonical", F.col("name"))
     exact = names.join(skills.select("name", "id"), "name")
-    lower = skills.groupBy(F.lower("name").alias("low")).agg(F.min("id").alias("id"))
-    rest = names.join(skills, "name", "left_anti").withColumn("low", F.lower("name")).join(lower, "low").select("name", "id")
-    return exact.select("name", "id").unionByName(rest)
+    rest = names.join(skills, "name", "left_anti").join(skills.select(F.lower("name").alias("low"), F.col("name").alias("spelt"), "id"), F.lower("name") == F.col("low"))
+    best = rest.groupBy("name").agg(F.min(F.struct(F.col("spelt") != F.col("canonical"), "id")).alias("b")).select("name", "b.id")
+    return exact.groupBy("name").agg(F.min("id").alias("id")).unionByName(best)
+
+
+def add_skills(skills: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(skills, links) with found (job_id, name, category): new names are added once whatever their case, known ones keep their category, and links are only added."""
+    known = skills.select(F.lower("name").alias("low"))
+    one = found.filter("name is not null").groupBy(F.lower("name").alias("low")).agg(F.min(F.struct("name", "category")).alias("r"))
+    after = upsert_skills(skills, one.join(known, "low", "left_anti").select("r.name", "r.category"), overwrite=False)
+    ids = resolve_ids(found.select("name").filter("name is not null").distinct(), after)
+    new = found.join(ids, "name").select("job_id", F.col("id").alias("skill_id")).distinct()
+    return after, insert_ignore(links, new, ["job_id", "skill_id"])
+
+
+def new_skills(answers: DataFrame, jobs: DataFrame, links: DataFrame, skills: DataFrame, catalog: Catalog = DEFAULT) -> DataFrame:
+    """(job_id, name, category): what answers (id, skills, is_tech) name that their jobs lack, canonical and once whatever the case; nothing for jobs outside IT."""
+    said = answers.filter("is_tech").join(jobs.select("id"), "id", "left_semi").select(F.col("id").alias("job_id"), F.explode("skills").alias("raw"))
+    said = said.withColumn("c", canonical_skill(F.col("raw"), catalog)).filter("c is not null").select("job_id", F.lower("c.name").alias("low"), "c.name", "c.category")
+    has = links.join(skills.select(F.col("id").alias("skill_id"), F.lower("name").alias("low")), "skill_id").select("job_id", "low")
+    return said.join(has, ["job_id", "low"], "left_anti").groupBy("job_id", "low").agg(F.min(F.struct("name", "category")).alias("r")).select("job_id", "r.name", "r.category")

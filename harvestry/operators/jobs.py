@@ -16,19 +16,22 @@ def flatten(raw: DataFrame) -> DataFrame:
     return raw.filter("id is not null").select(
         F.col("id").try_cast("bigint").alias("id"), "title", F.col("company.display_name").alias("company"), F.col("location.display_name").alias("location_display"),
         F.try_element_at("location.area", F.lit(-1)).alias("city"), "country_code", low.alias("salary_min"), high.alias("salary_max"), (F.coalesce("salary_is_predicted", F.lit("0")) == "1").alias("salary_is_predicted"),
-        "contract_type", "contract_time", F.col("description").alias("description_short"), F.lit(None).cast("string").alias("description_full"), F.col("redirect_url").alias("url"), F.try_to_timestamp("created").alias("posted_at"),
+        "contract_type", "contract_time", F.col("description").alias("description_short"), F.lit(None).cast("string").alias("description_full"), F.col("redirect_url").alias("url"), F.try_to_timestamp("created").alias("posted_at"), F.monotonically_increasing_id().alias("batch_pos"),
     )
 
 
-def validate(flat: DataFrame, countries: list[str], order: str = "posted_at") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected with reason): bad id, then bad title, then unknown country, then all but the first row of an id."""
+def validate(flat: DataFrame, countries: list[str], order: str = "batch_pos") -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected with reason): bad id, then bad title, then unknown country, then all but an id's first row by order (rows alike in it by a hash).
+
+    flatten() numbers the batch's rows in batch_pos; it is gone from what is valid.
+    """
     for name in ("title", "company", "location_display", "city"):
         flat = flat.withColumn(name, text.cut(text.normal(F.col(name)), text.LIMITS[name]))
     reason = F.when(F.coalesce("id", F.lit(0)) == 0, "id").when(F.col("title").isNull(), "title").when(~F.coalesce(F.col("country_code").isin(countries), F.lit(False)), "country")
     flat = flat.withColumn("reason", reason)
     row = F.row_number().over(Window.partitionBy("id", F.col("reason").isNull()).orderBy(F.col(order).asc_nulls_last(), F.xxhash64(*flat.columns)))
     flat = flat.withColumn("reason", F.coalesce("reason", F.when(row > 1, "duplicate")))
-    return flat.filter("reason is null").drop("reason"), flat.filter("reason is not null")
+    return flat.filter("reason is null").drop("reason", "batch_pos"), flat.filter("reason is not null")
 
 
 def derive(valid: DataFrame, catalog: Catalog = DEFAULT) -> tuple[DataFrame, DataFrame]:

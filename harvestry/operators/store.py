@@ -9,12 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def one_row(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row of each key: the first by order, if df has it, and else by a hash of all columns, so the same one always."""
+    by = [F.col(order).asc_nulls_last()] if order in df.columns else []
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*by, F.xxhash64(*df.columns)))
+    return df.withColumn("__n", n).filter("__n = 1").drop("__n")
+
+
 def upsert_jobs(old: DataFrame, new: DataFrame, now: Column, preserve: tuple[str, ...] = ()) -> DataFrame:
     """Insert, or overwrite every supplied column, nulls too (but for preserve, where a null keeps the old value).
 
-    Both sides shuffle once on id. Rows of new become active and seen now; first_seen_at and ingested_at stay.
+    Of rows that repeat an id the first by batch_pos counts, without that column the one with the smallest hash. Both sides shuffle once on id. Rows of new become active and seen now; first_seen_at and ingested_at stay.
     """
-    o, n = old.alias("o"), new.dropDuplicates(["id"]).alias("n")
+    o, n = old.alias("o"), one_row(new, "id", "batch_pos").alias("n")
     supplied, there = F.col("n.id").isNotNull(), F.col("o.id").isNotNull()
     out = []
     for c in old.columns:
@@ -70,7 +77,7 @@ def soft_delete(jobs: DataFrame, phrases: list[str]) -> DataFrame:
 
 def update_values(jobs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """One column set from (id, column); a null in values is a value."""
-    v = values.dropDuplicates(["id"]).select(F.col("id"), F.col(column).alias("__new"), F.lit(True).alias("__set"))
+    v = one_row(values.select("id", column), "id").select(F.col("id"), F.col(column).alias("__new"), F.lit(True).alias("__set"))
     return jobs.join(v, "id", "left").withColumn(column, F.when(F.col("__set"), F.col("__new")).otherwise(F.col(column))).select(*jobs.columns)
 
 
@@ -81,40 +88,81 @@ def relink(links: DataFrame, skills: DataFrame, aliases: DataFrame) -> tuple[Dat
     return moved, skills.join(a, skills.id == a["from"], "left_anti")
 
 
+def spellings(skills: DataFrame, canonical: str, lower: list[str], exact: list[str] = ()) -> DataFrame:
+    """(alias, canonical): the names of skills that are other spellings of canonical, by lower case or exactly; names that join two with a slash are none."""
+    name = F.col("name")
+    where = (name != canonical) & (F.lower(name).isin(lower) | name.isin(list(exact))) & ~name.like("% / %")
+    return skills.filter(where).select(name.alias("alias"), F.lit(canonical).alias("canonical")).distinct()
+
+
 class Store:
-    """A folder of versions; the file CURRENT names the one that readers see."""
+    """A folder of versions; of the files CURRENT-<n> the highest names the one that readers see.
+
+    A pointer is written aside and renamed to a name that no file has, so at no time is there none: a crash between
+    any two steps leaves the version before, and files that the next publication's clean-up removes.
+    """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3) -> None:
+        """keep versions stay when a newer one is published, for readers that still use them."""
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), max(1, keep)
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[int]:
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(n[8:]) for n in names if n.startswith("CURRENT-") and n[8:].isdigit())
+
+    def _pointer(self, n: int) -> tuple[str, str]:
+        """A pointer's version and publication key."""
+        lines = [r[0] for r in self.spark.read.text(f"{self.root}/CURRENT-{n}").collect()]
+        return lines[0], lines[1] if len(lines) > 1 else ""
+
     def version(self) -> str | None:
-        try:
-            return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+        n = self._pointers()
+        return self._pointer(n[-1])[0] if n else None
+
+    def published(self, key: str) -> bool:
+        """Whether a kept version was published under this key."""
+        return any(self._pointer(n)[1] == key for n in self._pointers())
 
     def read(self, table: str) -> DataFrame | None:
         v = self.version()
         return self.spark.read.parquet(f"{self.root}/{v}/{table}") if v and self._fs.exists(self._path(f"{self.root}/{v}/{table}")) else None
 
-    def publish(self, tables: dict[str, DataFrame]) -> str:
-        """Write all tables of a new version, then rename the pointer over the old one."""
-        v = f"v-{uuid.uuid4().hex}"
-        for name, df in tables.items():
+    def publish(self, tables: dict[str, DataFrame], key: str = "") -> str:
+        """Write all tables of a new version, then add its pointer; tables that aren't given stay as they are. OSError if another publication was faster."""
+        before, v = self._pointers(), f"v-{uuid.uuid4().hex}"
+        n = before[-1] if before else 0
+        old = self._pointer(n)[0] if before else None
+        given = dict(tables)
+        if old:
+            for f in self._fs.listStatus(self._path(f"{self.root}/{old}")):
+                given.setdefault(f.getPath().getName(), self.spark.read.parquet(str(f.getPath())))
+        for name, df in given.items():
             df.write.parquet(f"{self.root}/{v}/{name}")
         out = self._fs.create(self._path(f"{self.root}/.next-{v}"))
-        out.write(bytearray(v.encode()))
+        out.write(bytearray(f"{v}\n{key}\n".encode()))
         out.close()
-        self._fs.delete(self._path(f"{self.root}/CURRENT"), False)
-        if not self._fs.rename(self._path(f"{self.root}/.next-{v}"), self._path(f"{self.root}/CURRENT")):
-            raise OSError(f"{self.root}/CURRENT can't be switched")
+        if not self._fs.rename(self._path(f"{self.root}/.next-{v}"), self._path(f"{self.root}/CURRENT-{n + 1}")):
+            raise OSError(f"{self.root}/CURRENT-{n + 1} is there already")
+        self._clean()
         return v
 
+    def _clean(self) -> None:
+        """Remove pointers beyond those kept, then folders of versions that no kept pointer names and that are older than the newest."""
+        pointers = self._pointers()
+        kept = {self._pointer(n)[0] for n in pointers[-self.keep :]}
+        newest = self._fs.getFileStatus(self._path(f"{self.root}/CURRENT-{pointers[-1]}")).getModificationTime()
+        for n in pointers[: -self.keep]:
+            self._fs.delete(self._path(f"{self.root}/CURRENT-{n}"), False)
+        for f in self._fs.listStatus(self._path(self.root)):
+            name = f.getPath().getName()
+            if name.startswith("v-") and name not in kept and f.getModificationTime() < newest:
+                self._fs.delete(f.getPath(), True)
+
     def size(self) -> int | None:
         """Bytes in the folder; None if it can't be read."""
         try:

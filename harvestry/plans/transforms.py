@@ -33,7 +33,7 @@ def normalise_string(spark, d):
 
 
 def remote_flag(spark, d):
-    return _t(spark, d, "documents").select("doc_id", text.remote(F.col("text"), yes=[r"the", r"der"], no=[r"de", r"of"]).alias("remote"))
+    return _t(spark, d, "documents").select("doc_id", text.remote(F.col("text"), yes=[r"\bthe\b", r"\bder\b"], no=[r"\bde\b", r"\bof\b"]).alias("remote"))
 
 
 def role_first_match(spark, d):
@@ -49,7 +49,9 @@ def skill_longest_match_native(spark, d):
 
 
 def skill_canonical(spark, d):
-    return _t(spark, d, "part").select("p_partkey", canonical_skill(F.col("p_name"), PARTS).alias("s")).select("p_partkey", "s.name", "s.category")
+    k = F.col("p_partkey") % 5
+    raw = F.when(k == 0, " TOKEN ").when(k == 1, "the Apache license v2").when(k == 2, "x").when(k == 3, "one two three four five six").otherwise(F.col("p_name"))
+    return _t(spark, d, "part").select("p_partkey", canonical_skill(raw, PARTS).alias("s")).select("p_partkey", "s.name", "s.category")
 
 
 def pln_rules(spark, d):
@@ -140,11 +142,23 @@ def queries() -> dict:
 
 
 _W = "[ \\t\\n\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: A character that no word has, as the engine's patterns know only ASCII word boundaries.
+_NO = "[^\\p{L}\\p{M}\\p{N}_]"
 _JOBS = f"with jobs as ({TABLES['jobs']})"
 
 
 def oracle_sql() -> dict[str, str]:
     euro = lambda v: f"case when c = 'pl' then case when ref > 1500000 then null when ref >= 20000 then round_even({v} * 0.2342, 0) when ref < 5000 then round_even({v} * 220 * 0.2342, 0) else {v} end else {v} end"
+    word = lambda x, w: f"regexp_matches({x}, '(?is)(^|{_NO})({w})({_NO}|$)')"
+    at = lambda w: f"case when {word('text', w)} then length(regexp_extract(text, '(?is)^((?:.*?{_NO})??)(?:{w})(?:{_NO}|$)', 1)) end"
+    # Whole words overlap only where one pattern's words are part of another's, whose first match then is longer.
+    found = f"""with m as (select doc_id, {at('licen[sc]e')} as l, {at('apache license')} as al, {at('token')} as tk, {at('that')} as th, {at('of the')} as ot, {at('the')} as t from documents)
+          select doc_id, 'License' as skill, 'tool' as category from m where l is not null and not coalesce(l >= al and l < al + 14, false)
+          union all select doc_id, 'Open License', 'tool' from m where al is not null
+          union all select doc_id, 'Token', 'language' from m where tk is not null
+          union all select doc_id, 'That', 'methodology' from m where th is not null
+          union all select doc_id, 'Of the', 'database' from m where ot is not null
+          union all select doc_id, 'The', 'cloud' from m where t is not null and not coalesce(t >= ot and t < ot + 6, false)"""
     has = lambda x, *words: " or ".join(f"contains({x}, '{w}')" for w in words)
     return {
         "clean_lines": f"""with l as (select doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) as x, generate_subscripts(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), 1) as n from documents),
@@ -155,7 +169,14 @@ def oracle_sql() -> dict[str, str]:
         "normalise_string": f"select doc_id, substr(nullif(trim(regexp_replace(text, '{_W}+', ' ', 'g')), ''), 1, 255) as title from documents",
         "role_first_match": f"""with p as (select p_partkey, lower(p_name) as t, lower(p_type) as d from part) select p_partkey, case when {has('t', 'old ')} then null when {has('t', 'ring', 'rod')} then 'ring'
           when {has('t', 'blue', 'red')} then 'colour' when {has('t', 'gear', 'gizmo')} then 'gear' when {has('d', 'steel', 'brass')} then 'metal' else 'other' end as role from p""",
-        "skill_canonical": "select p_partkey, p_name as name, 'tool' as category from part",
+        "remote_flag": f"""select doc_id, case when text is null or trim(regexp_replace(text, '{_W}+', ' ', 'g')) = '' then null when {word('text', 'the|der')} then true when {word('text', 'de|of')} then false end as remote from documents""",
+        "skill_longest_match": found,
+        "skill_longest_match_native": found,
+        "skill_canonical": """select p_partkey, case p_partkey % 5 when 0 then 'Token' when 1 then 'License' when 4 then p_name end as name,
+          case p_partkey % 5 when 0 then 'language' when 1 then 'tool' when 4 then 'tool' end as category from part""",
+        "resolve_ids": """with p as (select p_partkey as id, case when p_partkey % 2 = 0 then upper(p_name) else p_name end as name from part), f as (select name, min(id) as id from p group by name),
+          n as (select distinct case when id % 3 = 0 then array_to_string(list_transform(string_split(lower(name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') else name end as name from f)
+          select n.name, coalesce(min(e.id), min(l.id)) as id from n left join f e on e.name = n.name left join f l on lower(l.name) = lower(n.name) group by n.name having coalesce(min(e.id), min(l.id)) is not null""",
         "pln_rules": f"""with o as (select o_orderkey, case when o_orderkey % 2 = 0 then 'pl' else 'de' end as c, case when o_orderkey % 5 <> 0 then cast(floor(o_totalprice / 20) as double) end as a, case when o_orderkey % 3 = 0 then cast(floor(o_totalprice * 5) as double) end as b from orders),
           r as (select *, greatest(a, b) as ref from o) select o_orderkey, cast({euro('a')} as integer) as salary_min, cast({euro('b')} as integer) as salary_max from r""",
         "salary_mid": "select p_partkey, cast(round_even((p_size + floor(p_retailprice)) / 2, 0) as integer) as mid from part",

@@ -44,3 +44,18 @@ VIEWS = {
         left join {context} m on m.country_code = j.country_code and m.indicator = 'employment_rate' and m.year = extract(year from j.posted_at)
         where j.is_active group by s.name, s.category, c.code, c.name, m.value, m.year""",
 }
+
+#: In which order each view's rows come.
+ORDERS = {
+    "v_top_skills_by_country": "country_code, role_category, job_count desc",
+    "v_salary_stats_by_country": "median_salary_eur desc nulls last",
+    "v_remote_pct_by_country": "remote_pct desc",
+    "v_job_trends_monthly": "month desc, job_count desc",
+    "v_salary_by_role_country": "country_code, median_salary_eur desc nulls last",
+    "v_demand_by_role_monthly": "month desc, country_code, job_count desc",
+    "v_skill_cooccurrence": "co_count desc",
+    "v_top_skills_global": "job_count desc",
+    "v_offers_by_country": "total_jobs desc",
+    "v_skills_with_market_context": "demand desc",
+}
+VIEWS = {name: f"{query} order by {ORDERS[name]}" for name, query in VIEWS.items()}

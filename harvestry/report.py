@@ -16,9 +16,9 @@ def colour(value: float | None, good: float, fair: float) -> str:
 
 
 def table(df: DataFrame, most: int = 12) -> str:
-    """The first rows as an HTML table, every value escaped."""
+    """The first rows, in the order that df has, as an HTML table, every value escaped."""
     cell = lambda v, t="td": f"<{t}>{html.escape('' if v is None else str(v))}</{t}>"
-    rows = df.limit(most).collect()
+    rows = df.take(most)
     return "<table><tr>" + "".join(cell(c, "th") for c in df.columns) + "</tr>" + "".join("<tr>" + "".join(map(cell, r)) + "</tr>" for r in rows) + "</table>"
 
 

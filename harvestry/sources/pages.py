@@ -2,61 +2,82 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST, LARGEST, THROTTLES, BREAKER = 100, 50_000, (30, 120), 10
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SELECTORS = ("article", "main", "#job-description", ".job-description", ".description", "#content", ".content", "section")
+#: Fixed values: (tag, attribute, value) of the elements that hold an advert's text, in order; a class is one of several.
+SELECTORS = (
+    ("section", "class", "adp-body"), ("div", "class", "adp-body"), (None, "data-automation", "jobDescription"), ("div", "class", "jobDescription"),
+    ("div", "id", "job-description"), ("div", "class", "job-description"), ("article", None, None), ("main", None, None),
+)
+#: Start tags that end an open element of the same kind, and what keeps them from ending one further out.
+_ENDS = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+_HOLDS = {"ul", "ol", "table", "dl", "select", "div", "section", "article", "main", "body", "blockquote"}
+_CLOSE_P = {"address", "article", "aside", "blockquote", "div", "dl", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+_ASIDE = {"nav", "header", "footer", "aside", "form", "button"}
 
 
 class _Text(HTMLParser):
-    """Text lines of the first element that a selector names, and of the body."""
+    """One parse of a page: the text nodes of the first element of each selector, of the body, and of the main content."""
 
-    def __init__(self, selector: str) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.selector, self.depth, self.done, self.skip, self.out = selector, 0, False, 0, []
-
-    def _named(self, tag: str, attributes: dict) -> bool:
-        s = self.selector
-        return s[1:] == attributes.get("id") if s[0] == "#" else s[1:] in (attributes.get("class") or "").split() if s[0] == "." else s == tag
+        self.open: list[tuple[str, list[int]]] = []
+        self.seen: set[int] = set()
+        self.parts: list[list[str]] = [[] for _ in (*SELECTORS, "body", "main")]
 
     def handle_starttag(self, tag, attrs):
         if tag in _VOID:
             return
-        if tag in ("script", "style"):
-            self.skip += 1
-        if self.depth:
-            self.depth += 1
-        elif not self.done and self._named(tag, dict(attrs)):
-            self.depth = 1
+        ends = _ENDS.get(tag, set()) | ({"p"} if tag in _CLOSE_P else set())
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] in ends:
+                del self.open[k:]
+                break
+            if self.open[k][0] in _HOLDS:
+                break
+        a, mine = dict(attrs), []
+        for k, (name, key, value) in enumerate(SELECTORS):
+            held = a.get(key) or "" if key else ""
+            if k not in self.seen and name in (None, tag) and (key is None or (value in held.split() if key == "class" else value == held)):
+                self.seen.add(k)
+                mine.append(k)
+        self.open.append((tag, mine))
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        if self.depth and tag not in _VOID:
-            self.depth -= 1
-            self.done = not self.depth
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                return
 
     def handle_data(self, data):
-        if self.depth and not self.skip:
-            self.out.append(data)
+        tags = {t for t, _ in self.open}
+        if not (text := data.strip()) or tags & {"script", "style", "head"}:
+            return
+        for k in [k for _, mine in self.open for k in mine]:
+            self.parts[k].append(text)
+        self.parts[-2].append(text)
+        if not tags & _ASIDE and tags & {"p", "li", "td", "h1", "h2", "h3", "blockquote"}:
+            self.parts[-1].append(text)
 
 
 def text_of(page: str | None) -> str | None:
-    """Lines of the first selector with more than 100 characters of text, else of the body; null if nothing stays."""
-    best = None
-    for selector in (*SELECTORS, "body"):
-        p = _Text(selector)
-        p.feed(page or "")
-        best = "\n".join(x for x in (s.strip() for s in "".join(p.out).splitlines()) if x)
-        if len(best) > LEAST:
-            return best
-    return best or None
+    """Lines of the main content (prose outside menus, headers, footers, sidebars and forms) if it has over 100 characters, else of the first selector that the page has, else of the body; null if nothing stays."""
+    p = _Text()
+    p.feed(page or "")
+    p.close()
+    main = "\n".join(p.parts[-1])
+    if len(main) > LEAST:
+        return main
+    chosen = next((k for k in range(len(SELECTORS)) if p.parts[k]), -2)
+    return "\n".join(p.parts[chosen]) or None
 
 
 def page_text(pages: DataFrame, column: str = "html") -> DataFrame:
@@ -77,30 +98,76 @@ def embedded(html: Column) -> Column:
     return F.get(F.filter(found, lambda d: F.length(d) > LEAST), F.lit(0))
 
 
-def crawl(jobs: DataFrame, fetcher: Callable[[str], tuple[str | None, bool]]) -> DataFrame:
-    """jobs with description_full filled where it lacks and there is a url. fetcher(url) -> (text, throttled).
+def patient(get: Callable[[str], tuple[int, str | None]], extract: Callable[[str | None], str | None] = text_of, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], tuple[str | None, bool]]:
+    """A fetcher(url) -> (text, throttled) over get(url) -> (status, page): 429 and 503 wait THROTTLES seconds and then count as throttled; other errors aren't tried again."""
+
+    def fetch(url: str) -> tuple[str | None, bool]:
+        for wait in (*THROTTLES, None):
+            try:
+                status, page = get(url)
+            except OSError:
+                return None, False
+            if status not in (429, 503):
+                return (extract(page) if status == 200 else None), False
+            if wait is None:
+                return None, True
+            sleep(wait)
+        return None, True
+
+    return fetch
+
 
-    After 10 throttled pages in a row a task stops asking and leaves the rest for the next run.
-    """
+def crawled(wanted: DataFrame, fetcher: Callable[[str], tuple[str | None, bool]], pause: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(id, found) of wanted (id, url), a pause after each page. After BREAKER throttled pages in a row a task stops asking; what it leaves isn't in the result, so the next run asks for it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = 0
         for f in frames:
-            texts = []
-            for url in f["url"]:
-                got, throttled = (None, True) if row >= BREAKER else fetcher(url)
+            ids, texts = [], []
+            for i, url in zip(f["id"], f["url"], strict=True):
+                if row >= BREAKER:
+                    break
+                got, throttled = fetcher(url)
                 row = row + 1 if throttled else 0
-                texts.append(got)
-            yield pd.DataFrame({"id": f["id"], "found": texts})
+                if not throttled:
+                    ids.append(i)
+                    texts.append(got)
+                sleep(pause)
+            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "found": pd.Series(texts, dtype="object")})
 
-    wanted = jobs.filter("url is not null and nullif(description_full, '') is null").select("id", "url")
-    found = wanted.mapInPandas(run, "id bigint, found string")
+    return wanted.select("id", "url").mapInPandas(run, "id bigint, found string")
+
+
+def lacking(jobs: DataFrame) -> DataFrame:
+    """Jobs with a url and no full text."""
+    return jobs.filter("url is not null and nullif(description_full, '') is null")
+
+
+def crawl(jobs: DataFrame, fetcher: Callable[[str], tuple[str | None, bool]], pause: float = 0.0) -> DataFrame:
+    """jobs with description_full filled where it lacks and there is a url. fetcher(url) -> (text, throttled), see patient()."""
+    found = crawled(lacking(jobs), fetcher, pause)
     return jobs.join(found, "id", "left").withColumn("description_full", F.coalesce(F.nullif("description_full", F.lit("")), "found")).drop("found")
 
 
-def plain(html: Column) -> Column:
-    """Tags away, white space as one space: for pages without need of selectors."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]*>", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+def crawl_in_steps(jobs: DataFrame, fetcher: Callable[[str], tuple[str | None, bool]], path: str, steps: int, pause: float = 2.0) -> DataFrame:
+    """As crawl(), in slices of ids whose pages are written to path one after the other: after a crash the slices that are there aren't asked again."""
+    spark, fs = jobs.sparkSession, None
+    for k in range(steps):
+        part = f"{path}/step={k}"
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{part}/_SUCCESS")
+        fs = fs or hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(hadoop):
+            crawled(lacking(jobs).filter(F.pmod(F.xxhash64("id"), F.lit(steps)) == k), fetcher, pause).write.mode("overwrite").parquet(part)
+    found = spark.read.schema("id bigint, found string").parquet(*[f"{path}/step={k}" for k in range(steps)])
+    return jobs.join(found, "id", "left").withColumn("description_full", F.coalesce(F.nullif("description_full", F.lit("")), "found")).drop("found")
 
 
+def resume(spark: SparkSession, *stages: tuple[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The first (path, make) stage whose table is there, read; if none is, the last one is made, written and read."""
+    for path, _ in stages:
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            return spark.read.parquet(path)
+    path, make = stages[-1]
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

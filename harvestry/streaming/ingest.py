@@ -10,18 +10,25 @@ from ..operators.store import Store, deactivate, insert_ignore, upsert_jobs
 from ..schema import JOBS, empty
 
 
-def load(store: Store, spark: SparkSession, jobs: DataFrame, links: DataFrame | None = None, now=None) -> str:
-    """One load: upsert jobs, add links, deactivate old jobs, publish all together."""
+def load(store: Store, spark: SparkSession, jobs: DataFrame, links: DataFrame | None = None, now=None, key: str = "") -> str | None:
+    """One load: upsert jobs, add links, deactivate old jobs, publish all together. A key that was published before changes nothing."""
+    if key and store.published(key):
+        return None
     now = F.current_timestamp() if now is None else now
     old = store.read("jobs")
     out = {"jobs": deactivate(upsert_jobs(empty(spark, JOBS) if old is None else old, jobs, now), now)}
     if links is not None:
         known = store.read("job_skills")
         out["job_skills"] = links.dropDuplicates() if known is None else insert_ignore(known, links, known.columns)
-    return store.publish(out)
+    return store.publish(out, key)
 
 
-def follow(spark: SparkSession, path: str, schema: str, store: Store, checkpoint: str) -> StreamingQuery:
-    """Files of jobs as they arrive; a batch that runs again after a failure gives the same tables."""
+def follow(spark: SparkSession, path: str, schema: str, store: Store, checkpoint: str, now=None) -> StreamingQuery:
+    """Files of jobs as they arrive. A batch is published under its number, so one that runs again after it was published is left out.
+
+    now is the time that the rows are marked with, the clock's if it isn't given.
+    """
+    name = checkpoint.rstrip("/").rpartition("/")[2]
     stream = spark.readStream.schema(schema).json(path)
-    return stream.writeStream.foreachBatch(lambda df, _: load(store, spark, df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    put = lambda df, n: load(store, spark, df, now=now, key=f"{name}-{n}")
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
