@@ -212,3 +212,116 @@ def test_html_wrappers():
             assert html_extract.main_text(page) == long.strip(), (wrapper, inner)
     assert html_extract.main_text(f"<div class='has-sidebar'><p>{long}</p></div>") == long.strip()
     assert html_extract.main_text(f"<div class='sidebar'><article>{long}</article></div><section id='user-comments'><article>{long}</article></section>") == ""
+
+
+def test_blocks_shrink_with_their_lanes():
+    ids = (np.random.default_rng(4).zipf(1.3, 2000) % 500).astype(np.uint16)
+    t = rans.Table(np.bincount(ids, minlength=500))
+    block = rans.encode(ids, t)
+    assert len(block) < 2 * len(ids) and (rans.decode(block, t) == ids).all()
+    parts = [rans.decode(block, t, k, True) for k in range(rans.checkpoints(block))]
+    assert len(parts) > 1 and (np.concatenate(parts) == ids).all()
+    assert (rans.decode(block, rans.Table.of(t.freq, t.bits)) == ids).all()
+
+
+def test_corpus_is_read_by_another_process(spark, tmp_path):
+    vocabulary = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(k, f"some words of text {k} " * 300) for k in range(12)], "doc_id long, text string")
+    path = str(tmp_path / "corpus")
+    tokens.write_corpus(docs, path, vocabulary, 1, 4000)
+    files, table = tokens.read_corpus(spark, path)
+    whole = {(r.shard, r.first_seq, r.inner): r.ids for r in tokens.read_blocks(files, table).collect()}
+    parts = {}
+    for r in tokens.read_segments(files, table).orderBy("part").collect():
+        parts[r.shard, r.first_seq] = parts.get((r.shard, r.first_seq), b"") + r.ids
+    joined = {}
+    for (shard, seq, _), ids in sorted(whole.items()):
+        joined[shard, seq] = joined.get((shard, seq), b"") + ids
+    assert joined == parts and len(whole) == 12
+
+
+def test_dedup_keeps_rows_apart(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(None, a + " x"), (6, a), (7, b), (7, c), (8, c + " y"), (None, "alone " + text()), (None, text()), (9, "spam " * 40), (10, "spam " * 44)]
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], "doc_id long, text string, __class int, __row int")
+    got = sorted(((x.doc_id is None, x.doc_id or 0, x.class_id is None, x.class_id or 0) for x in dedup.near_duplicates(docs).collect()))
+    assert got == sorted([(True, 0, False, 6), (False, 6, False, 6), (False, 7, False, 7), (False, 7, False, 7), (False, 8, False, 7), (True, 0, True, 0), (True, 0, True, 0), (False, 9, False, 9), (False, 10, False, 9)])
+    kept = dedup.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(x.doc_id or 0 for x in kept.collect()) == [0, 0, 0, 6, 7, 9]
+
+
+def test_dedup_of_loose_groups_against_all_pairs(spark):
+    r = random.Random(12)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{r.randrange(10**6)}" for _ in range(100)]
+        for _ in range(80):
+            t = list(base)
+            for _ in range(r.randrange(1, 4)):
+                t[r.randrange(100)] = f"n{r.randrange(10**6)}"
+            if r.random() < 0.3:
+                t += ["again and again and again"] * r.randrange(1, 5)
+            texts.append(" ".join(t))
+    s, d, w, _ = dedup.weighted(texts)
+    sets = [(s[d == k], w[d == k]) for k in range(len(texts))]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and max(dedup.jaccard(*sets[i], *sets[j])) >= 0.8 - 1e-9:
+                x, y = sorted((label[i], label[j]))
+                label = [x if v == y else v for v in label]
+    got = {x.doc_id: x.class_id for x in dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == label
+
+
+def test_pages_without_markup():
+    long = "The house of the man that is on the hill and was there for years with all of the people who were in it. " * 3
+    blocks = ["Home News Imprint", long, "Short line.", long, "table 12 33 45 66 71 88 zz qq xx yy ww vv kk jj hh gg ff dd ss mm nn bb rr", "Copyright 2024 all rights reserved"]
+    page = "<div><a href=1>Home News Imprint</a></div>" + "".join(f"<div>{b}</div>" for b in blocks[1:])
+    found = html_extract.blocks(page)
+    assert [(k, rule) for k, rule in html_extract.judge(found)] == [(False, "text"), (True, "text"), (True, "neighbours"), (True, "text"), (False, "text"), (False, "text")]
+    assert html_extract.main_text(f"<div class='page-menu-wrap'><p>{long}</p></div>") == long.strip()  # a compound class name alone doesn't empty a page
+    assert html_extract.main_text(f"<article><p>{long}</p></article><p>tail with links <a href=1>{long}</a></p>") == long.strip()
+
+
+def test_neighbour_pass_against_brute_force():
+    r = random.Random(6)
+    texts = {2: "The house of the man that is on the hill and was there for years with all of the people who were in it. " * 3, 0: "Too short.", -1: "zz qq xx yy ww vv kk jj hh gg ff dd ss aa bb cc ee rr tt yy uu ii oo pp zz qq xx yy ww vv kk jj hh"}
+    for _ in range(50):
+        kinds = [r.choice([2, 0, -1]) for _ in range(12)]
+        label = {2: 1, 0: 0, -1: -1}
+        want = []
+        for k, kind in enumerate(kinds):
+            decided = [(abs(j - k), label[x]) for j, x in enumerate(kinds) if label[x]]
+            near = min((d for d, _ in decided), default=None)
+            want.append(kind == 2 if kind else any(v == 1 for d, v in decided if d == near))
+        found = [html_extract.Block(texts[k], 0, 0, False, False) for k in kinds]
+        assert html_extract.classify(found) == want
+
+
+def test_stages_of_the_pipeline(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(2)
+    rows = [(i, say(p, 40, r) + f" x{i}", k, f"s{i % 2}", 0, 0.5, "z") for i in range(60) for k, p in [(("en", EN), ("de", DE))[i % 2]]]
+    item = " ".join(f"bench{k}" for k in range(30))
+    rows += [(100, rows[0][1], "en", "s0", 0, 0.5, "z"), (101, None, None, None, 0, 0.5, "z"), (102, "12 34", "en", "s0", 0, 0.5, "z"), (103, say(EN, 20, r) + " " + item, "en", "s1", 0, 0.5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    steps = dict(pipeline.STAGES)
+    a = steps["language"](spark, docs, str(tmp_path))
+    assert a.columns == docs.columns and {x.doc_id for x in a.collect()} == {i for i, *_ in rows} - {101, 102}
+    b = steps["near_duplicates"](spark, a, str(tmp_path))
+    assert 100 not in {x.doc_id for x in b.collect()} and b.count() == a.count() - 1
+    c = steps["decontamination"](spark, b, str(tmp_path))
+    assert {x.doc_id for x in b.collect()} - {x.doc_id for x in c.collect()} == {103}
+    d = steps["mixing"](spark, c, str(tmp_path))
+    assert d.columns == docs.columns
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == d.count() and out and min(x.start for x in out) == 0
+    none = docs.filter("false")
+    for name, step in pipeline.STAGES:
+        assert step(spark, none, str(tmp_path)).count() == 0, name

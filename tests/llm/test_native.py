@@ -132,3 +132,26 @@ def test_urls(spark):
     assert on("2024-01-04")[1] == (True, 2, "bad.example.com") and on("2024-01-05")[1] == (True, 1, "example.com")
     assert not on("2024-01-04")[4][0] and not on("2024-01-04")[5][0]
     assert urls.filter_urls(pages, entries, F.lit("2024-01-04").cast("date")).count() == 6
+
+
+def test_chat_arguments_as_text_and_types(spark):
+    call = lambda i, a: json.dumps({"tool_calls": [{"id": i, "name": "search", "arguments": a}]})
+    given = {"a": '{"query": "x", "limit": 2}', "b": {"query": 5}, "c": [1], "d": "no json", "e": {"query": "x", "limit": 2.5}, "f": None, "g": {"query": None}}
+    rows = [(1, k, "assistant", call(i, a)) for k, (i, a) in enumerate(given.items())] + [(1, 100 + k, "tool", json.dumps({"tool_call_id": i, "content": "r"})) for k, i in enumerate(given)]
+    tools = spark.createDataFrame(queries.TOOLS, "name string, param string, type string, required boolean")
+    got = {r.call_id: r for r in chat.link_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).collect() if r.step == 1}
+    assert {i: r.status for i, r in got.items()} == {"a": "ok", "b": "bad_type", "c": "bad_type", "d": "bad_type", "e": "bad_type", "f": "missing_argument", "g": "bad_type"}
+    assert json.loads(got["a"].message)["arguments"] == {"limit": 2, "query": "x"} and json.loads(got["b"].message)["arguments"] == {"query": 5}
+    empty = chat.link_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), tools)
+    assert empty.count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 1, 2, 3, 4, 5), (1, "a b c", "s", 1, 2, 3, 4, 5), (2, None, None, 0, 0, 0, 0, 0)], "doc_id long, text string, source string, size int, row int, `part` int, __row int, `a.b` int")
+    assert mixing.mixed_documents(docs).columns == docs.columns and sorted(r["row"]["row"] for r in mixing.mix_sources(docs).collect()) == [0, 2, 2]
+    left = decontam.decontaminate(docs, spark.createDataFrame([(1, "x y z")], "item_id long, text string"))
+    assert left.columns == docs.columns and left.count() == 3
+    pages = spark.createDataFrame([(1, "http://x.org/", "h", "l", 1)], "page_id long, url string, host string, list string, n_active int")
+    entries = spark.createDataFrame([("l", "x.org", "2024-01-01", "add")], "list string, domain string, day string, action string").withColumn("day", F.to_date("day"))
+    r = urls.filter_urls(pages, entries, F.lit("2024-02-01").cast("date")).first()
+    assert (r["host"], r["list"], r["n_active"], r["host_"], r["n_active_"], r["blocked"]) == ("h", "l", 1, "x.org", 1, True)
