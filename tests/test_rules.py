@@ -3,11 +3,13 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from harvestry import report
 from harvestry.functions import pay, text
 from harvestry.functions.roles import canonical_skill, role, skills, skills_native
 from harvestry.operators import enrich, jobs, store
 from harvestry.schema import JOBS, LEDGER, RAW_ADVERT, empty, seed_countries
 from harvestry.sources import adverts, cube, pages
+from harvestry.streaming import ingest
 
 
 def one(spark, column, **values):
@@ -116,3 +118,153 @@ def test_sources(spark):
     assert seed_countries(spark).count() == 8
     with pytest.raises(ValueError, match="unknown"):
         adverts.read_json(spark, {"xx": "p"}, ["de"])
+
+
+def test_remote_patterns(spark):
+    flag = lambda t: one(spark, text.remote(F.col("t")), t=t)
+    assert [flag(t) for t in ("inoffice", "in-office", "vorort", "vor ort", "unsur  placement", "on site", "onsite")] == [False] * 7
+    assert [flag(t) for t in ("Remote or on-site", "100% remote", "TÉLÉTRAVAIL", "home  office")] == [True] * 4 and flag("remotely hybrid") is None
+
+
+def test_clean_lines_keeps_first(spark):
+    lines = ["A line that is long enough", "short", "another long enough line", "a  LINE that is long enough", "Zebra line, long enough", "another long enough line "]
+    assert one(spark, text.clean_lines(F.col("t")), t="\n".join(lines)) == "A line that is long enough another long enough line Zebra line, long enough"
+    assert one(spark, text.clean_lines(F.col("t")), t="x\ny") is None
+
+
+def test_resolve_ids_ties(spark):
+    skills = spark.createDataFrame([(1, "go"), (2, "Go"), (3, "C"), (4, "c")], "id bigint, name string")
+    names = spark.createDataFrame([("GO", "Go"), ("C", "C"), ("zz", "zz")], "name string, canonical string")
+    assert {r.name: r.id for r in enrich.resolve_ids(names, skills).collect()} == {"GO": 2, "C": 3}
+    assert {r.name: r.id for r in enrich.resolve_ids(names.select("name"), skills).collect()} == {"GO": 1, "C": 3}
+
+
+def test_first_row_of_a_batch_counts(spark):
+    flat = spark.createDataFrame([(5, "second", "de", 2, dt.datetime(2020, 1, 1)), (5, "first", "de", 1, dt.datetime(2021, 1, 1))], "id bigint, title string, country_code string, batch_pos bigint, posted_at timestamp")
+    flat = flat.withColumns({c: F.lit(None).cast("string") for c in ("company", "location_display", "city")})
+    good, bad = jobs.validate(flat, ["de"])
+    assert [r.title for r in good.collect()] == ["first"] and [r.reason for r in bad.collect()] == ["duplicate"] and "batch_pos" not in good.columns
+
+
+def test_store_survives_crashes(spark, tmp_path):
+    row = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id bigint")
+    s = store.Store(spark, str(tmp_path / "s"), keep=2)
+    s.publish({"jobs": row(1), "other": row(9)}, "a")
+    whole = s._fs
+
+    class Crashing:
+        def __init__(self, step):
+            self.step = step
+
+        def __getattr__(self, name):
+            if name == self.step:
+                raise RuntimeError("crash")
+            return getattr(whole, name)
+
+    for step in ("create", "rename"):
+        s._fs = Crashing(step)
+        with pytest.raises(RuntimeError):
+            s.publish({"jobs": row(1, 2)}, "b")
+        s._fs = whole
+        assert s.read("jobs").count() == 1 and not s.published("b")
+    s._fs = Crashing("delete")  # after the pointer: the version counts
+    with pytest.raises(RuntimeError):
+        s.publish({"jobs": row(1, 2)}, "b")
+    s._fs = whole
+    assert s.read("jobs").count() == 2 and s.published("b")
+    for n in range(3):
+        s.publish({"jobs": row(n)}, f"n{n}")
+    assert s.read("other").count() == 1 and len(s._pointers()) == 2 and len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("v-")]) <= 3
+
+
+def test_stream_of_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"id": 1, "title": "t"}\n')
+    s = store.Store(spark, str(tmp_path / "s"))
+    go = lambda: ingest.follow(spark, str(tmp_path / "in"), "id bigint, title string", s, str(tmp_path / "cp"), F.lit(dt.datetime(2026, 1, 2))).awaitTermination()
+    go()
+    (tmp_path / "in" / "b.json").write_text('{"id": 2, "title": "u"}\n')
+    go()
+    assert sorted((r.id, r.first_seen_at.day) for r in s.read("jobs").collect()) == [(1, 2), (2, 2)]
+    assert ingest.load(s, spark, s.read("jobs").filter("false"), key="cp-1") is None
+
+
+def test_relink_of_several_spellings(spark):
+    skills = spark.createDataFrame([(1, "Node.js", "f"), (2, "nodejs", "f"), (3, "Node", "f"), (4, "node / react", "f")], "id bigint, name string, category string")
+    links = spark.createDataFrame([(7, 2), (7, 3), (8, 4), (9, 1)], "job_id bigint, skill_id bigint")
+    moved, left = store.relink(links, skills, store.spellings(skills, "Node.js", ["node", "nodejs", "node js"], ["node.js", "NodeJS"]))
+    assert sorted(map(tuple, moved.collect())) == [(7, 1), (8, 4), (9, 1)] and sorted(r.id for r in left.collect()) == [1, 4]
+
+
+def test_enrichment_writes(spark):
+    skills = spark.createDataFrame([(1, "Go", "language")], "id bigint, name string, category string")
+    links = spark.createDataFrame([(1, 1)], "job_id bigint, skill_id bigint")
+    found = spark.createDataFrame([(1, "GO", "x"), (2, "go", "x"), (2, "Zig", "tool"), (3, "ZIG", "tool")], "job_id bigint, name string, category string")
+    after, linked = enrich.add_skills(skills, links, found)
+    assert sorted((r.id, r.name.lower(), r.category) for r in after.collect()) == [(1, "go", "language"), (2, "zig", "tool")]
+    assert sorted(map(tuple, linked.collect())) == [(1, 1), (2, 1), (2, 2), (3, 2)]
+    answers = spark.createDataFrame([(1, ["go", "Zig"], True), (2, ["Zig"], False)], "id bigint, skills array<string>, is_tech boolean")
+    new = enrich.new_skills(answers, spark.createDataFrame([(1,), (2,)], "id bigint"), links, skills).collect()
+    assert [(r.job_id, r.name) for r in new] == [(1, "Zig")]
+
+
+def test_classifier_replies(spark):
+    assert enrich.results('{"results": [{"a": 1}, 2]}') == [{"a": 1}] and enrich.results('so: {"1": {"a": 1}, "2": {"b": 2}} ok') == [{"a": 1}, {"b": 2}]
+    assert enrich.results("no json") == enrich.results(None) == enrich.results("[1]") == []
+    rows = spark.createDataFrame([(i, "t", "x") for i in range(3)], "id bigint, title string, text string").coalesce(1)
+
+    def fails(part):
+        raise OSError("down")
+
+    assert {(r.role_category, r.is_tech, len(r.skills)) for r in enrich.classify(rows, fails).collect()} == {(None, True, 0)}
+    got = enrich.classify(rows, enrich.llm_classifier(lambda q: '{"results": [{"role_category": "cloud", "skills": ["abc", 3]}]}' if q["options"]["temperature"] == 0 else "", "m", ["cloud"]))
+    assert sorted((r.id, r.role_category) for r in got.collect()) == [(0, "cloud"), (1, None), (2, None)]
+
+
+def test_crawl(spark, tmp_path):
+    slept = []
+    replies = {"ok": [(200, "page")], "busy": [(429, None), (503, None), (200, "late")], "never": [(429, None)] * 3, "gone": [(404, "x")]}
+    get = pages.patient(lambda u: replies[u].pop(0), lambda p: p, slept.append)
+    assert [get(u) for u in ("ok", "busy", "never", "gone")] == [("page", False), ("late", False), (None, True), (None, False)] and slept == [30, 120, 30, 120]
+    jobs_ = spark.createDataFrame([(i, f"u{i}", "has" if i == 3 else None) for i in range(6)], "id bigint, url string, description_full string")
+    fetch = lambda u: (f"text of {u}", False)
+    got = {r.id: r.description_full for r in pages.crawl_in_steps(jobs_, fetch, str(tmp_path / "c"), 3, 0.0).collect()}
+    assert got == {i: "has" if i == 3 else f"text of u{i}" for i in range(6)}
+
+    def asked(u):
+        raise AssertionError("asked again")
+
+    assert pages.crawl_in_steps(jobs_, asked, str(tmp_path / "c"), 3, 0.0).filter("description_full is null").count() == 0
+    many = spark.createDataFrame([(i, f"u{i}") for i in range(30)], "id bigint, url string").coalesce(1)
+    assert pages.crawled(many, lambda u: (None, True), 0.0).count() == 0
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    assert pages.resume(spark, (a, None), (b, lambda: many)).count() == 30
+    assert pages.resume(spark, (a, None), (b, None)).count() == 30
+
+
+def test_page_text():
+    body = "word " * 40
+    assert pages.text_of(f"<div class='x adp-body'><p>one<p>two</div><footer>{body}</footer>") == "one\ntwo"
+    assert pages.text_of(f"<section class=adp-body><li>{body}</section><footer>foot {body}</footer>") == body.strip()
+    assert pages.text_of("<body><div data-automation='jobDescription'>short</div>rest</body>") == "short"
+    assert pages.text_of("<body>a<br>b</body>") == "a\nb" and pages.text_of(None) is None and pages.text_of("") is None
+
+
+def test_backlog_and_candidates(spark):
+    day = lambda n: dt.datetime(2026, 1, n)
+    j = spark.createDataFrame(
+        [(1, True, "u", None, "de", day(1), None), (2, True, "u/land/x", None, "de", day(2), "other"), (3, True, "u", "", "pl", None, "cloud"), (4, True, "u", None, "de", day(9), "cloud"), (5, False, "u", None, "de", day(9), None)],
+        "id bigint, is_active boolean, url string, description_full string, country_code string, posted_at timestamp, role_category string",
+    ).withColumn("ingested_at", F.col("posted_at"))
+    now = F.lit(day(10))
+    assert [r.id for r in enrich.backlog(j, now).collect()] == [3, 4, 1] and [r.id for r in enrich.backlog(j, now, "de", 5, 1).collect()] == [4]
+    assert sorted(r.id for r in enrich.candidates(j, now).collect()) == [1, 2] and sorted(r.id for r in enrich.candidates(j, now, "all", 5, True).collect()) == [4, 5]
+
+
+def test_reports_and_summaries(spark, tmp_path):
+    df = spark.createDataFrame([("<b>", 3), ("c", 2)], "k string, n int").orderBy(F.desc("n"))
+    page = report.report("T & co", {"a": 1}, {"roles": df})
+    assert "T &amp; co" in page and page.index("&lt;b&gt;") < page.index("<td>c</td>")
+    assert report.growth(3, 2) == 50.0 and report.growth(3, 0) == 0.0
+    store.write_summary(str(tmp_path / "s.json"), {"status": "ok"})
+    assert store.read_summary(str(tmp_path / "s.json")) == {"status": "ok"} and store.read_summary(str(tmp_path / "none"))["status"] == "failed"
