@@ -138,14 +138,17 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
 def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs, added up from the tasks' counts; what reaches the driver is at most one row an id of the vocabulary."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for c in batch.column("counts"):
                 pairs = np.frombuffer(c.as_buffer(), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id", "n"])
+                total[pairs[:, 0]] += pairs[:, 1]
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in tokens.filter("counts is not null").select("counts").mapInArrow(each, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.filter("counts is not null").select("counts").coalesce(8).mapInArrow(added, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
