@@ -148,7 +148,9 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in tokens.filter("counts is not null").select("counts").coalesce(8).mapInArrow(added, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    counts = tokens.filter("counts is not null").select("counts")
+    few = counts.coalesce(max(8, counts.rdd.getNumPartitions() // 32))  # a task adds up many tasks' counts, so that few rows are shuffled
+    for r in few.mapInArrow(added, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
