@@ -10,9 +10,9 @@ def pct(part: str, whole: str = "count(*)") -> str:
 AUDIT = {
     "audit_q01_text_coverage": f"select country_code, count(*) as total, count(description_full) as with_text, {pct('count(description_full)')} as pct_text, {pct('count(*) filter (where description_full is null and url is not null)')} as pct_backlog from {{jobs}} where is_active group by country_code",
     "audit_q02_skill_coverage": f"""
-        select j.country_code, count(distinct j.id) as total, count(distinct l.job_id) as with_skills, {pct('count(distinct l.job_id)', 'count(distinct j.id)')} as pct_with_skills,
-          cast(round(cast(count(l.skill_id) as double) / nullif(count(distinct j.id), 0), 2) as double) as avg_skills
-        from {{jobs}} j left join {{job_skills}} l on l.job_id = j.id where j.is_active group by j.country_code""",
+        select j.country_code, count(*) as total, count(l.n) as with_skills, {pct('count(l.n)')} as pct_with_skills,
+          cast(round(cast(coalesce(sum(l.n), 0) as double) / nullif(count(*), 0), 2) as double) as avg_skills
+        from {{jobs}} j left join (select job_id, count(skill_id) as n from {{job_skills}} group by job_id) l on l.job_id = j.id where j.is_active group by j.country_code""",
     "audit_q06_skill_segments": """
         select 'total' as segment, count(*) as n from {skills}
         union all select 'used' as segment, count(*) as n from {skills} s where s.id in (select skill_id from {job_skills})
@@ -44,7 +44,9 @@ AUDIT = {
           case when salary_max < salary_min then 'inverted' when salary_max > 400000 then 'too high' when salary_min < 2000 then 'too low' when salary_max > 1.28 * salary_min then 'wide' end as anomaly
         from {jobs} where is_active and (salary_max < salary_min or salary_max > 400000 or salary_min < 2000 or salary_max > 1.28 * salary_min)""",
     "audit_q11_text_length": f"select country_code, {pct('count(description_full)')} as pct_text, cast(round(avg(length(description_full)), 1) as double) as mean_full, cast(round(avg(length(description_short)) filter (where description_full is null), 1) as double) as mean_short from {{jobs}} where is_active group by country_code",
-    "audit_q12_coverage_rank": f"select j.country_code, count(distinct j.id) as total, {pct('count(distinct l.job_id)', 'count(distinct j.id)')} as pct_with_skills from {{jobs}} j left join {{job_skills}} l on l.job_id = j.id where j.is_active group by j.country_code having count(distinct j.id) > 0",
+    "audit_q12_coverage_rank": f"""
+        select j.country_code, count(*) as total, {pct('count(l.job_id)')} as pct_with_skills
+        from {{jobs}} j left join (select distinct job_id from {{job_skills}}) l on l.job_id = j.id where j.is_active group by j.country_code having count(*) > 0""",
     "audit_q13_volume": """
         select c.name as country_name, count(*) filter (where posted_at >= now! - interval 7 day) as last_7, count(*) filter (where posted_at >= now! - interval 30 day) as last_30,
           count(*) filter (where posted_at >= now! - interval 90 day) as last_90, count(*) filter (where posted_at is null) as undated from {jobs} j join {countries} c on c.code = j.country_code group by c.name""",

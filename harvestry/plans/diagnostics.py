@@ -1,4 +1,8 @@
-"""The weekly load's diagnostics, the canonicalisation plan's queries, and maintenance selections. Recent: ingested in the last 8 days."""
+"""The weekly load's diagnostics, the canonicalisation plan's queries, and maintenance selections. Recent: ingested in the last 8 days.
+
+Ids of jobs are unique (constraint_violations counts those that are not), so links are counted by job before the join. Medians
+over links and examples of a skill come from grouped counts and the first three ranks: no task holds all links of one skill or period.
+"""
 
 from .audit import pct
 
@@ -15,11 +19,15 @@ DIAGNOSTICS = {
     "diag_d1c_other_titles": "select title, count(*) as n from {jobs} where is_active and role_category = 'other' group by title having count(*) > 1 order by count(*) desc, title limit 50",
     "diag_d1d_weekly_other": f"select cast(date_trunc('week', ingested_at) as date) as week, count(*) as n, {pct(OTHER)} as pct_other from {{jobs}} group by cast(date_trunc('week', ingested_at) as date) order by week desc limit 8",
     "diag_d2a_recent_vs_history": f"""
-        select 'recent' as period, count(distinct j.id) as jobs, count(*) as links, cast(round(median!(n.n)) as int) as median_links from {{jobs}} j join {{job_skills}} l on l.job_id = j.id
-          join (select job_id, count(*) as n from {{job_skills}} group by job_id) n on n.job_id = j.id where j.is_active and {RECENT}
-        union all
-        select 'history' as period, count(distinct j.id) as jobs, count(*) as links, cast(round(median!(n.n)) as int) as median_links from {{jobs}} j join {{job_skills}} l on l.job_id = j.id
-          join (select job_id, count(*) as n from {{job_skills}} group by job_id) n on n.job_id = j.id where j.is_active and not ({RECENT})""",
+        with n as (select job_id, count(*) as n from {{job_skills}} group by job_id),
+        x as (select case when {RECENT} then 'recent' else 'history' end as period, j.id, n.n
+          from {{jobs}} j join n on n.job_id = j.id where j.is_active and j.ingested_at is not null),
+        weighted as (select period, n, count(*) as jobs, sum(sum(n)) over (partition by period order by n) as upto, sum(sum(n)) over (partition by period) as total
+          from x group by period, n),
+        sums as (select period, cast(sum(jobs) as bigint) as jobs, cast(max(total) as bigint) as links,
+          min(case when 2 * upto >= total then n end) as lower_n, min(case when 2 * upto > total then n end) as upper_n from weighted group by period)
+        select p.period, coalesce(s.jobs, 0) as jobs, coalesce(s.links, 0) as links, cast(round((s.lower_n + s.upper_n) / 2.0) as int) as median_links
+        from (select 'recent' as period union all select 'history' as period) p left join sums s on s.period = p.period""",
     "diag_d2b_histogram": """
         with x as (select j.id, count(l.skill_id) as n from {jobs} j left join {job_skills} l on l.job_id = j.id where j.is_active group by j.id),
         y as (select case when n = 0 then '0' when n = 1 then '1' when n = 2 then '2' when n between 3 and 5 then '3-5' when n between 6 and 10 then '6-10' else '11+' end as bucket, n from x),
@@ -59,8 +67,12 @@ CANONICALISATION = {
         select 'alias links' as what, count(*) as n from links where skill_id in (select id from alias)
         union all select 'canonical links' as what, count(*) as n from links where skill_id in (select id from canon)""",
     "canon_c_examples": """
-        with ranked as (select s.name, j.title, j.id, row_number() over (partition by s.name order by j.id, s.id) as n from {skills} s join {job_skills} l on l.skill_id = s.id join {jobs} j on j.id = l.job_id where length(s.name) >= 11)
-        select name, count(*) as links, max(case when n = 1 then title end) as first_title, max(case when n = 2 then title end) as second_title, max(case when n = 3 then title end) as third_title from ranked group by name""",
+        with linked as (select s.name, j.title, j.id, s.id as skill_id from {skills} s join {job_skills} l on l.skill_id = s.id join {jobs} j on j.id = l.job_id where length(s.name) >= 11),
+        totals as (select name, count(*) as links from linked group by name),
+        ranked as (select name, title, row_number() over (partition by name order by id, skill_id) as n from linked),
+        firsts as (select name, title, n from ranked where n <= 3)
+        select f.name, max(t.links) as links, max(case when f.n = 1 then f.title end) as first_title, max(case when f.n = 2 then f.title end) as second_title, max(case when f.n = 3 then f.title end) as third_title
+        from firsts f join totals t on t.name = f.name group by f.name""",
 }
 
 MAINTENANCE = {
