@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, stage
+from .shared import all_columns, free_name, stage
 
 WIDTH = 5
 #: Units that follow a number; fixed values.
@@ -172,4 +172,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     row = free_name(docs, "__row")
     bad = stage(_leaks(docs, benchmark, how.get("width", WIDTH), how.get("share", 0.8)).select(F.col("row").alias(row)).distinct(), "leaks")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_WINDOWS else bad
-    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(bad, row, "left_anti").select(*docs.columns)
+    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(bad, row, "left_anti").select(*all_columns(docs))

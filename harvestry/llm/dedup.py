@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name, give_back, stage
+from .shared import all_columns, free_name, give_back, stage
 from .textnum import mix, pieces, shingles, words
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -335,4 +335,4 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     classes = near_duplicates(docs, **how).filter("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.min("class_id").alias(kept))
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     out = docs.join(classes, F.col("doc_id").cast("long") == F.col(key), "left").withColumn(row, F.row_number().over(order))
-    return out.filter(F.col("doc_id").isNull() | (F.col(kept) == F.col("doc_id")) & (F.col(row) == 1)).select(*docs.columns)
+    return out.filter(F.col("doc_id").isNull() | (F.col(kept) == F.col("doc_id")) & (F.col(row) == 1)).select(*all_columns(docs))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted
 from .textnum import letter_table, mix, codes, pieces
 
 DIMS = 4096
@@ -153,7 +154,8 @@ def identify(docs: DataFrame, model: Model | None, *keep: str, names: tuple[str,
     kept = [c for c in dict.fromkeys(("doc_id", *keep)) if c != "text"]
     whole = "text" in keep
     fields = [f for f in docs.schema.fields if f.name in kept]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["text string"] * whole + [f"`{names[0]}` string", f"`{names[1]}` double"])
+    mine = [f"c{k}" for k in range(len(fields))] + ["text"] * whole  # Spark's Arrow maps take plain names only
+    schema = ", ".join([f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(fields)] + ["text string"] * whole + ["lang_pred string", "score double"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -161,10 +163,10 @@ def identify(docs: DataFrame, model: Model | None, *keep: str, names: tuple[str,
             x, letters = features(texts)
             lang, score = m.predict(x) if m else (["und"] * len(texts), np.zeros(len(texts)))
             lang = [v if n else "und" for v, n in zip(lang, letters, strict=True)]
-            mine = [f.name for f in fields] + ["text"] * whole
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in mine), pa.array(lang, pa.string()), pa.array(np.where(letters > 0, score, 0.0))], [*mine, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in mine), pa.array(lang, pa.string()), pa.array(np.where(letters > 0, score, 0.0))], [*mine, "lang_pred", "score"])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields], "text").mapInArrow(rows, schema)
+    plain = docs.select(*[F.col(quoted(f.name)).alias(f"c{k}") for k, f in enumerate(fields)], "text")
+    return plain.mapInArrow(rows, schema).toDF(*(f.name for f in fields), *["text"] * whole, *names)
 
 
 def by_language(column: Column) -> Column:

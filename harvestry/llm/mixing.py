@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import all_columns, quoted, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
@@ -59,7 +59,7 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), epochs: flo
     Only sums by source and bucket are shuffled. A null text has size 0, a null source is a source, and rows with
     the same id are taken alike; an empty table gives an empty result; other columns may have any names.
     """
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", word_count(F.col("text")).alias("size"), seeded_bucket(F.col("doc_id"), seed).alias("bucket"))
+    sized = docs.select(F.struct(*all_columns(docs)).alias("row"), "source", word_count(F.col("text")).alias("size"), seeded_bucket(F.col("doc_id"), seed).alias("bucket"))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), cycle, epochs)
     per = goal.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
@@ -96,4 +96,4 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     text = F.when(cut, F.array_join(F.slice(words, 1, F.col("part").cast("int")), "")).otherwise(F.col("row.text"))
     m = m.withColumn("text", text)
     made = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return m.select(*[(made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return m.select(*[(made[c] if c in made else F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])

@@ -68,6 +68,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as one part, dots and backticks in it too."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of df in order, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % modulus == remainder, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name
+from .shared import free_name, quoted
 
 #: The host of a URL: after the scheme and a user's name, before port, path, query and fragment.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -70,7 +70,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, fetched: Column) -> Dat
     rows = rows.withColumn(slice_, F.floor(F.rand(1) * SLICES).cast("int"))
     out = rows.join(verdict, (rows["url"] == verdict["u"]) & (rows[fetch_day] == verdict["day"]) & (rows[slice_] == verdict["s"]), "left")
     return out.select(
-        *[rows[c] for c in captures.columns], rows[fetch_day], host_of(rows["url"]).alias(host),
+        *[rows[quoted(c)] for c in captures.columns], rows[fetch_day], host_of(rows["url"]).alias(host),
         F.coalesce("v.n", F.lit(0)).cast("long").alias(n_active), F.col("v.domain").alias(domain), F.col("v.list").alias(listed),
         F.col("v.valid_from").alias(since), F.col("v.n").isNotNull().alias(blocked),
     )

@@ -305,10 +305,10 @@ def test_stages_of_the_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(2)
-    rows = [(i, say(p, 40, r) + f" x{i}", k, f"s{i % 2}", 0, 0.5, "z") for i in range(60) for k, p in [(("en", EN), ("de", DE))[i % 2]]]
+    rows = [(i, say(p, 40, r) + f" x{i}", k, f"s{i % 2}", 0, 0.5, "z", 1) for i in range(60) for k, p in [(("en", EN), ("de", DE))[i % 2]]]
     item = " ".join(f"bench{k}" for k in range(30))
-    rows += [(100, rows[0][1], "en", "s0", 0, 0.5, "z"), (101, None, None, None, 0, 0.5, "z"), (102, "12 34", "en", "s0", 0, 0.5, "z"), (103, say(EN, 20, r) + " " + item, "en", "s1", 0, 0.5, "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string")
+    rows += [(100, rows[0][1], "en", "s0", 0, 0.5, "z", 1), (101, None, None, None, 0, 0.5, "z", 1), (102, "12 34", "en", "s0", 0, 0.5, "z", 1), (103, say(EN, 20, r) + " " + item, "en", "s1", 0, 0.5, "z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, `a.b` int")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     steps = dict(pipeline.STAGES)

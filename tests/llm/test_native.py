@@ -151,7 +151,7 @@ def test_clashing_names(spark):
     assert mixing.mixed_documents(docs).columns == docs.columns and sorted(r["row"]["row"] for r in mixing.mix_sources(docs).collect()) == [0, 2, 2]
     left = decontam.decontaminate(docs, spark.createDataFrame([(1, "x y z")], "item_id long, text string"))
     assert left.columns == docs.columns and left.count() == 3
-    pages = spark.createDataFrame([(1, "http://x.org/", "h", "l", 1)], "page_id long, url string, host string, list string, n_active int")
+    pages = spark.createDataFrame([(1, "http://x.org/", "h", "l", 1, 4)], "page_id long, url string, host string, list string, n_active int, `a.b` int")
     entries = spark.createDataFrame([("l", "x.org", "2024-01-01", "add")], "list string, domain string, day string, action string").withColumn("day", F.to_date("day"))
     r = urls.filter_urls(pages, entries, F.lit("2024-02-01").cast("date")).first()
-    assert (r["host"], r["list"], r["n_active"], r["host_"], r["n_active_"], r["blocked"]) == ("h", "l", 1, "x.org", 1, True)
+    assert (r["host"], r["list"], r["n_active"], r["a.b"], r["host_"], r["n_active_"], r["blocked"]) == ("h", "l", 1, 4, "x.org", 1, True)
