@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harvestry.llm import decontam, dedup, lang_id, mixing, tokens
 from harvestry.llm.queries import END_ID, table, vocabulary_path
-from harvestry.llm.shared import free_name, small_batches, stage
+from harvestry.llm.shared import all_columns, free_name, small_batches, stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = [f.name for f in docs.schema.fields if f.name != "text"]
     names = free_name(docs, "lang_pred"), free_name(docs, "score")
     found = lang_id.identify(docs, lang_id.fit(docs), "text", *kept, names=names)
-    return found.filter(lang_id.by_language(F.col(names[0]))).select(*docs.columns)
+    return found.filter(lang_id.by_language(F.col(names[0]))).select(*all_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
