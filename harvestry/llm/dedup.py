@@ -168,8 +168,13 @@ def central(met: DataFrame, links: DataFrame) -> DataFrame:
     return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, token, size, rest, total, share, again, b0..): the first shingles of each set, in one order for all sets.
+def with_label(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with the label of their id, or the id itself where label has none."""
+    return rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def prefixes(sets: DataFrame, label: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, label, token, size, rest, total, share, again, b0..): the first shingles of each set, in one order for all sets, with its label (its id where it has none), which joins the sets and not their shingles.
 
     All that two sets share stands at or after their first common shingle. So from there on each has at least
     similarity of its shingles (for plain Jaccard) or of its weight (probability Jaccard is at most the overlap of the
@@ -192,11 +197,11 @@ def prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = sets.select("hashes").mapInArrow(counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(SLOTS, np.int64)
     common[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    names = ["id", "token", "size", "rest", "total", "share", "again", *(f"b{k}" for k in range(BITMAP))]
+    names = ["id", "label", "token", "size", "rest", "total", "share", "again", *(f"b{k}" for k in range(BITMAP))]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, c, x in zip(batch.column("id").to_pylist(), batch.column("hashes"), batch.column("weights"), strict=True):
+            for i, of, c, x in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), batch.column("hashes"), batch.column("weights"), strict=True):
                 h, w = np.frombuffer(c.as_buffer(), "<u4"), np.frombuffer(x.as_buffer(), "<u4")
                 order = np.lexsort((h, common[h % SLOTS]))
                 w = np.ones(len(h), np.int64) if not len(w) else w[order].astype(np.int64)
@@ -205,12 +210,12 @@ def prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 bits = np.packbits(np.bincount((mix(h.astype(np.uint64)) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) % 2 == 1).view("<i8")
                 same = lambda v, kind: pa.array(np.full(take, v, kind))
                 yield pa.RecordBatch.from_arrays(
-                    [same(i, np.int64), pa.array(h[order[:take]].astype(np.int64)), same(len(h), np.int64), pa.array(rest[:take]), same(w.sum(), np.int64), pa.array(share[:take]), same(w.sum() > len(h), bool), *(same(v, np.int64) for v in bits)],
+                    [same(i, np.int64), same(of, np.int64), pa.array(h[order[:take]].astype(np.int64)), same(len(h), np.int64), pa.array(rest[:take]), same(w.sum(), np.int64), pa.array(share[:take]), same(w.sum() > len(h), bool), *(same(v, np.int64) for v in bits)],
                     names,
                 )
         give_back()
 
-    return sets.mapInArrow(first, "id long, token long, size long, rest long, total long, share double, again boolean, " + ", ".join(f"b{k} long" for k in range(BITMAP)))
+    return with_label(sets, label).mapInArrow(first, "id long, label long, token long, size long, rest long, total long, share double, again boolean, " + ", ".join(f"b{k} long" for k in range(BITMAP)))
 
 
 def left_over(met: DataFrame, label: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -220,13 +225,12 @@ def left_over(met: DataFrame, label: DataFrame, sets: DataFrame, similarity: flo
     two may reach similarity; no pair that reaches it fails that. The shorter set's token then stands in the first
     (1 - s) / (1 + s) of it, so tokens that stand there in no set meet nothing.
     """
-    labelled = lambda rows: rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rows = labelled(met.filter("n > 2").select("id", "key"))
+    rows = with_label(met.filter("n > 2").select("id", "key"), label)
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     ids = stage(rows.join(mixed, "key").select("id").distinct(), "unsettled")
     part = 2 * similarity / (1 + similarity)
     early = F.col("rest") >= part * F.col("size") - 1e-6
-    tokens = stage(labelled(prefixes(sets.join(ids, "id"), similarity)).withColumn("early", early), "prefixes")
+    tokens = stage(prefixes(sets.join(ids, "id"), label, similarity).withColumn("early", early), "prefixes")
     # Of a pair with different labels one at least lacks its token's most frequent label, so a large group never meets itself.
     shared = tokens.groupBy("token").agg(F.mode("label").alias("most"), F.min("label").alias("x"), F.max("label").alias("y"), F.bool_or(F.col("early") | F.col("again")).alias("some")).filter("x <> y and some").select("token", "most")
     near = tokens.join(shared, "token")
