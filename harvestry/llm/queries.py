@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, dedup, html_extract, lang_id, mixing, tokens, topk, toxicity, urls
+from . import chat, decontam, dedup, exact, html_extract, lang_id, mixing, resample, spelling, tokens, topk, toxicity, urls
 from .shared import held_out, small_batches
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -123,6 +123,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), lists(spark), day)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -130,7 +142,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_exact_top_k, op4_mixing, op5_minhash_dedup, op6_token_ids, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_url_filters, pipeline)}
+    found = (
+        op1_language_id, op2_html_extraction, op3_exact_top_k, op4_mixing, op5_minhash_dedup, op6_token_ids, op7_decontamination, op8_chat_formatting, op9_toxicity, op10_url_filters,
+        op11_importance_resampling, op12_spelling_variants, op13_exact_dedup, pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def _rows(rows: list[tuple]) -> str:
@@ -206,6 +222,58 @@ select * from o
 """
 
 
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes in SQL: a step for each bit, the byte comes in at its first."""
+    bits = f"flatten(list_transform(range(len(hex({text})) // 2), lambda i: [cast('0x' || substr(hex({text}), 2 * i + 1, 2) as bigint), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_concat([cast(4294967295 as bigint)], {bits}), lambda s, b: xor(xor(s, b) >> 1, 3988292384 * (xor(s, b) & 1))), 4294967295)"
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""
+with w as (select 0 as part, doc_id as id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents
+  union all select 1, item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') from benchmark),
+f as (select part, id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) as feature from w),
+b as (select feature, {_crc32('feature')} % 10000 as bucket from (select distinct feature from f)),
+n as (select part, bucket, count(*) as n from f join b using (feature) group by part, bucket),
+t as (select bucket, coalesce(max(n) filter (where part = 0), 0) as s, coalesce(max(n) filter (where part = 1), 0) as t from n group by bucket),
+a as (select coalesce(sum(n) filter (where part = 0), 0) as s_all, coalesce(sum(n) filter (where part = 1), 0) as t_all from n),
+g as (select bucket, cast(floor(1000 * ln((t + 1.0::double) * (s_all + 10000) / ((s + 1.0::double) * (t_all + 10000)))) as bigint) as gain from t, a),
+m as (select id, count(*) as n_features, cast(floor(sum(gain)::double / count(*)) as bigint) as weight from f join b using (feature) join g using (bucket) where part = 0 group by id),
+x as (select doc_id, len(words) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, cast('0x' || substr(sha256('7:' || cast(doc_id as varchar)), 1, 8) as bigint) as h
+  from (select id as doc_id, words from w where part = 0) left join m on id = doc_id),
+y as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from x),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from y where n_words >= 20)
+select y.doc_id, n_features, weight, score, case when rank <= 25 * (select count(*) from r) // 100 then rank end as rank from y left join r on r.doc_id = y.doc_id
+"""
+
+OP12 = f"""
+with recursive d as (select doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents),
+h as (select doc_id, run, count(*) as n, cast(doc_id as varchar) || ':' || run as salted from d group by doc_id, run),
+c as (select run, n, {_crc32('salted')} as h from h),
+k as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from c),
+w as (select word, cast(sum(n) as bigint) as n from k where length(word) >= 5 group by word having sum(n) >= 3),
+p as (select word, n, unnest(range(length(word))) as place from w),
+e as (select word, n, place, substr(word, 1, place) || substr(word, place + 2) as rest from p),
+l as (select a.word, b.word as near, b.n as near_n from e a join e b on a.rest = b.rest and a.place = b.place and a.word <> b.word
+  union select a.word, b.word, b.n from e a join w b on a.rest = b.word
+  union select b.word, a.word, a.n from e a join w b on a.rest = b.word),
+q as (select word, count(*) as n_near, first(near order by near_n desc, near) as near, max(near_n) as near_n from l group by word),
+f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 2 * w.n then near end as form, case when near_n >= 2 * w.n then near_n end as form_n from w left join q on q.word = w.word),
+r as (select word, word as root, form as next from f union all select r.word, f.word, f.form from r join f on f.word = r.next)
+select f.word, form, root, n, n_near, form_n from f join r on r.word = f.word and r.next is null
+"""
+
+OP13 = r"""
+with n as (select doc_id, length(coalesce(text, '')) as chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as body from documents),
+g as (select doc_id, body, row_number() over (partition by body order by chars desc, doc_id nulls last) as place, count(*) over (partition by body) as group_size,
+  first_value(doc_id) over (partition by body order by chars desc, doc_id nulls last) as keep_id from n)
+select doc_id, keep_id, group_size, place = 1 as kept, sha256(body) as text_sha256 from g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express. op8's gives what must come of the tool traffic that its query adds to the conversations."""
-    return {"op3_exact_top_k": OP3, "op4_mixing": OP4, "op8_chat_formatting": OP8, "op10_url_filters": OP10}
+    return {"op3_exact_top_k": OP3, "op4_mixing": OP4, "op8_chat_formatting": OP8, "op10_url_filters": OP10, "op11_importance_resampling": OP11, "op12_spelling_variants": OP12, "op13_exact_dedup": OP13}
