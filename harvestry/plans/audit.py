@@ -1,67 +1,182 @@
-"""The data-quality audit, and the health report's queries."""
-
-PCT = "cast(round(100.0 * ({}) / nullif({}, 0), 2) as double)"
-
-
-def pct(part: str, whole: str = "count(*)") -> str:
-    return PCT.format(part, whole)
-
-
-AUDIT = {
-    "audit_q01_text_coverage": f"select country_code, count(*) as total, count(description_full) as with_text, {pct('count(description_full)')} as pct_text, {pct('count(*) filter (where description_full is null and url is not null)')} as pct_backlog from {{jobs}} where is_active group by country_code",
-    "audit_q02_skill_coverage": f"""
-        select j.country_code, count(*) as total, count(l.n) as with_skills, {pct('count(l.n)')} as pct_with_skills,
-          cast(round(cast(coalesce(sum(l.n), 0) as double) / nullif(count(*), 0), 2) as double) as avg_skills
-        from {{jobs}} j left join (select job_id, count(skill_id) as n from {{job_skills}} group by job_id) l on l.job_id = j.id where j.is_active group by j.country_code""",
-    "audit_q06_skill_segments": """
-        select 'total' as segment, count(*) as n from {skills}
-        union all select 'used' as segment, count(*) as n from {skills} s where s.id in (select skill_id from {job_skills})
-        union all select 'unused' as segment, count(*) as n from {skills} s left join {job_skills} l on l.skill_id = s.id where l.skill_id is null""",
-    "audit_q07_unused_skills": """
-        select s.name, s.category from {skills} s left join (select skill_id, count(*) as n from {job_skills} group by skill_id) u on u.skill_id = s.id where coalesce(u.n, 0) = 0""",
-    "audit_q08a_prefix_variants": """
-        select s.name, s.category, count(l.job_id) as links from {skills} s left join {job_skills} l on l.skill_id = s.id
-        where s.name ilike 'blue%' or s.name ilike 'old r%' or s.name ilike '%ring' group by s.name, s.category""",
-    "audit_q08b_first_token": """
-        with n as (select distinct name from {skills})
-        select split_part(lower(name), ' ', 1) as token, count(*) as variants, joined!(name) as names from n group by split_part(lower(name), ' ', 1) having count(*) > 1""",
-    "audit_q03_role_share": f"""
-        select count(*) as total, count(*) filter (where role_category = 'other') as n_other, count(*) filter (where role_category is null) as n_null, {pct("count(*) filter (where role_category = 'other')")} as pct_other,
-          {pct('count(*) filter (where role_category is null)')} as pct_null, {pct("count(*) filter (where role_category not in ('other'))")} as pct_classified from {{jobs}} where is_active""",
-    "audit_q04_role_distribution": "select role_category, count(*) as n, cast(round(100.0 * count(*) / sum(count(*)) over (), 2) as double) as pct from {jobs} where is_active group by role_category",
-    "audit_q14_role_by_country": "select country_code, role_category, count(*) as n, cast(round(100.0 * count(*) / sum(count(*)) over (partition by country_code), 2) as double) as pct from {jobs} where is_active group by country_code, role_category",
-    "audit_q05_salary_coverage": f"""
-        select country_code, count(*) as total, count(salary_mid) as with_pay, count(salary_mid) filter (where not salary_is_predicted) as declared, count(salary_mid) filter (where salary_is_predicted) as predicted, {pct('count(salary_mid)')} as pct_pay
-        from {{jobs}} where is_active group by country_code""",
-    "audit_q09_country_pay": """
-        select count(*) filter (where not salary_is_predicted) as declared, cast(round(avg(salary_mid) filter (where not salary_is_predicted)) as double) as mean_declared,
-          cast(round(median!(salary_mid) filter (where not salary_is_predicted)) as double) as median_declared, cast(round(median!(salary_mid)) as double) as median_all from {jobs} where is_active and country_code = '7'""",
-    "audit_q10_pay_quartiles": """
-        select min(salary_mid) as low, cast(round(quantile!(0.25, salary_mid)) as double) as p25, cast(round(quantile!(0.5, salary_mid)) as double) as p50, cast(round(quantile!(0.75, salary_mid)) as double) as p75, max(salary_mid) as high
-        from {jobs} where is_active and country_code = '7' and salary_mid is not null""",
-    "audit_q15_pay_anomalies": """
-        select id, country_code, salary_min, salary_max, cast(posted_at as date) as posted,
-          case when salary_max < salary_min then 'inverted' when salary_max > 400000 then 'too high' when salary_min < 2000 then 'too low' when salary_max > 1.28 * salary_min then 'wide' end as anomaly
-        from {jobs} where is_active and (salary_max < salary_min or salary_max > 400000 or salary_min < 2000 or salary_max > 1.28 * salary_min)""",
-    "audit_q11_text_length": f"select country_code, {pct('count(description_full)')} as pct_text, cast(round(avg(length(description_full)), 1) as double) as mean_full, cast(round(avg(length(description_short)) filter (where description_full is null), 1) as double) as mean_short from {{jobs}} where is_active group by country_code",
-    "audit_q12_coverage_rank": f"""
-        select j.country_code, count(*) as total, {pct('count(l.job_id)')} as pct_with_skills
-        from {{jobs}} j left join (select distinct job_id from {{job_skills}}) l on l.job_id = j.id where j.is_active group by j.country_code having count(*) > 0""",
-    "audit_q13_volume": """
-        select c.name as country_name, count(*) filter (where posted_at >= now! - interval 7 day) as last_7, count(*) filter (where posted_at >= now! - interval 30 day) as last_30,
-          count(*) filter (where posted_at >= now! - interval 90 day) as last_90, count(*) filter (where posted_at is null) as undated from {jobs} j join {countries} c on c.code = j.country_code group by c.name""",
-}
-
-HEALTH = {
-    "health_h1_intake": """
-        select total, last_30, previous_30, case when previous_30 = 0 then cast(0 as double) else cast(round(100.0 * (last_30 - previous_30) / previous_30, 1) as double) end as growth_pct from (
-          select count(*) as total, count(*) filter (where ingested_at >= now! - interval 30 day) as last_30,
-            count(*) filter (where ingested_at >= now! - interval 60 day and ingested_at < now! - interval 30 day) as previous_30 from {jobs}) x""",
-    "health_h2_active": "select cast(sum(case when is_active then 1 else 0 end) as bigint) as active, cast(sum(case when is_active then 0 else 1 end) as bigint) as inactive from {jobs}",
-    "health_h3_roles": "select coalesce(role_category, 'non_it') as role, count(*) as n from {jobs} where is_active group by coalesce(role_category, 'non_it')",
-    "health_h4_pay": f"select country_code, count(*) as total, count(salary_mid) filter (where not salary_is_predicted) as declared, {pct('count(salary_mid) filter (where not salary_is_predicted)')} as pct_declared, cast(round(median!(salary_mid) filter (where not salary_is_predicted)) as double) as median_declared from {{jobs}} group by country_code",
-    "health_h5_links": "select count(distinct job_id) as jobs_with_skills, count(skill_id) as links, cast(round(cast(count(skill_id) as double) / nullif(count(distinct job_id), 0), 2) as double) as average from {job_skills}",
-    "health_h6_top_skills": "select s.name, s.id, count(*) as n from {job_skills} l join {skills} s on s.id = l.skill_id group by s.name, s.id order by count(*) desc, s.id limit 10",
-    "notify_n1_total": "select count(*) as total from {jobs}",
-    "notify_n2_recent": "select country_code, count(*) as n from {jobs} where ingested_at >= now! - interval 2 hour - interval 30 day group by country_code",
-}
+"""The data-quality audit and the reports' numbers, each a function of the job model's tables and the settings."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .measures import n, pct, quantile, ratio, rounded, skill_links, with_links
+from .settings import Settings
+
+Model = dict[str, DataFrame]
+c = F.col
+
+
+def active(m: Model) -> DataFrame:
+    return m["jobs"].filter("is_active")
+
+
+def audit_q01_text_coverage(m: Model, s: Settings) -> DataFrame:
+    full, short = c("description_full").isNotNull(), c("description_short").isNotNull()
+    out = active(m).groupBy("country_code").agg(
+        n().alias("total"), n(full).alias("with_full"), n(~full).alias("without_full"), n(short).alias("with_short"), pct(n(full)).alias("pct_full"), pct(n(~full & ~short)).alias("pct_no_text")
+    )
+    return out.orderBy("pct_full", "country_code")
+
+
+def audit_q02_skill_coverage(m: Model, s: Settings) -> DataFrame:
+    some, links = F.count("links"), F.coalesce(F.sum("links"), F.lit(0))
+    out = with_links(active(m), m["job_skills"]).groupBy("country_code").agg(
+        n().alias("total"), some.alias("with_skills"), (n() - some).alias("without_skills"), pct(some).alias("pct_with_skills"), ratio(links, some, 2).alias("avg_with_skills"), ratio(links, n(), 2).alias("avg_all")
+    )
+    return out.orderBy("pct_with_skills", "country_code")
+
+
+def audit_q06_skill_segments(m: Model, s: Settings) -> DataFrame:
+    one = with_links(active(m), m["job_skills"]).agg(F.count("links").alias("some"), n().alias("whole"))
+    parts = [("with skills", c("some")), ("without skills", c("whole") - c("some")), ("all active", c("whole"))]
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("segment"), v.alias("n")) for k, v in parts])))
+
+
+def audit_q07_unused_skills(m: Model, s: Settings) -> DataFrame:
+    return skill_links(m["skills"], m["job_skills"]).filter("links = 0").orderBy("name", "id")
+
+
+def audit_q08a_prefix_variants(m: Model, s: Settings) -> DataFrame:
+    hits = [c("name").ilike(yes) & ~c("name").ilike(no) if no else c("name").ilike(yes) for yes, no in s.prefixes]
+    found = m["skills"].filter(reduce(lambda a, b: a | b, hits))
+    return skill_links(found, m["job_skills"]).groupBy("name", "category").agg(F.sum("links").alias("jobs")).orderBy("name", "category")
+
+
+def audit_q08b_first_token(m: Model, s: Settings) -> DataFrame:
+    token = F.split_part(F.lower("name"), F.lit(" "), F.lit(1)).alias("token")
+    out = m["skills"].groupBy(token).agg(F.count_distinct("name").alias("variants"), F.array_join(F.array_sort(F.collect_list("name")), " | ").alias("names"))
+    return out.filter("variants > 1").orderBy(c("variants").desc(), "token")
+
+
+def audit_q03_role_share(m: Model, s: Settings) -> DataFrame:
+    other, none, known = c("role_category") == "other", c("role_category").isNull(), c("role_category") != "other"
+    parts = {"other": other, "null": none, "classified": known}
+    return active(m).agg(n().alias("total"), *[n(v).alias(f"n_{k}") for k, v in parts.items()], *[pct(n(v)).alias(f"pct_{k}") for k, v in parts.items()])
+
+
+def _roles(jobs: DataFrame, by: list[str], label: str) -> DataFrame:
+    out = jobs.groupBy(*by, "role_category").agg(n().alias("n"))
+    whole = F.sum("n").over(Window.partitionBy(*by))
+    return out.select(*by, F.coalesce("role_category", F.lit(label)).alias("role"), "n", pct(c("n"), whole).alias("pct"))
+
+
+def audit_q04_role_distribution(m: Model, s: Settings) -> DataFrame:
+    return _roles(active(m), [], "(null)").orderBy(c("n").desc(), "role")
+
+
+def audit_q14_role_by_country(m: Model, s: Settings) -> DataFrame:
+    return _roles(active(m), ["country_code"], "(null)").orderBy("country_code", c("n").desc(), "role")
+
+
+def audit_q05_salary_coverage(m: Model, s: Settings) -> DataFrame:
+    paid, guess = c("salary_mid").isNotNull(), c("salary_is_predicted")
+    out = active(m).groupBy("country_code").agg(
+        n().alias("total"), n(paid).alias("with_pay"), pct(n(paid)).alias("pct_pay"), n(paid & ~guess).alias("declared"), n(paid & guess).alias("predicted"),
+        n(c("salary_min").isNull() & c("salary_max").isNull()).alias("no_pay"),
+    )
+    return out.orderBy("pct_pay", "country_code")
+
+
+def _country_pay(m: Model, s: Settings) -> DataFrame:
+    return active(m).filter((c("country_code") == s.country) & c("salary_mid").isNotNull())
+
+
+def audit_q09_country_pay(m: Model, s: Settings) -> DataFrame:
+    guess = c("salary_is_predicted")
+    return _country_pay(m, s).agg(
+        n(~guess).alias("declared"), n(guess).alias("predicted"), quantile("salary_mid", 0.5, ~guess).alias("median_declared"), rounded(F.avg(F.when(~guess, c("salary_mid")))).alias("mean_declared"),
+        quantile("salary_mid", 0.5).alias("median_all"),
+    )
+
+
+def audit_q10_pay_quartiles(m: Model, s: Settings) -> DataFrame:
+    told = ~c("salary_is_predicted")
+    mid = F.when(told, c("salary_mid"))
+    return _country_pay(m, s).groupBy("country_code").agg(
+        n(told).alias("declared"), F.min(mid).alias("low"), *[quantile("salary_mid", p, told).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75)], F.max(mid).alias("high")
+    )
+
+
+def audit_q15_pay_anomalies(m: Model, s: Settings) -> DataFrame:
+    low, high, mid, guess = (c(x) for x in ("salary_min", "salary_max", "salary_mid", "salary_is_predicted"))
+    kind = (
+        F.when(low > high, "min > max").when((low < 0) | (high < 0), "negative").when((mid > s.high) & ~guess, "high, declared").when((mid > s.high) & guess, "high, predicted")
+        .when((mid > 0) & (mid < s.low), "low").when((c("country_code") == s.country) & (mid > s.country_high) & ~guess, "high for the country")
+    )
+    out = active(m).withColumn("anomaly", kind).filter("anomaly is not null")
+    return out.select("id", "title", "company", "country_code", "salary_min", "salary_max", "salary_mid", "salary_is_predicted", c("posted_at").cast("date").alias("day"), "anomaly").orderBy("country_code", mid.desc_nulls_last(), "id")
+
+
+def audit_q11_text_length(m: Model, s: Settings) -> DataFrame:
+    full = c("description_full").isNotNull()
+    out = active(m).groupBy("country_code").agg(
+        n().alias("total"), n(full).alias("with_full"), pct(n(full)).alias("pct_full"), rounded(F.avg(F.length("description_full"))).alias("mean_full"), rounded(F.avg(F.length("description_short"))).alias("mean_short")
+    )
+    return out.orderBy(c("pct_full").desc(), "country_code")
+
+
+def audit_q12_coverage_rank(m: Model, s: Settings) -> DataFrame:
+    some, links = F.count("links"), F.coalesce(F.sum("links"), F.lit(0))
+    out = with_links(active(m), m["job_skills"]).groupBy("country_code").agg(n().alias("total"), some.alias("with_skills"), links.alias("links"), pct(some).alias("pct_with_skills"), ratio(links, some).alias("avg_with_skills"))
+    return out.orderBy(c("pct_with_skills").desc(), "country_code")
+
+
+def audit_q13_volume(m: Model, s: Settings) -> DataFrame:
+    undated = c("posted_at").isNull()
+    recent = [n(c("posted_at") >= s.since(days=d)).alias(f"last_{d}") for d in (7, 30, 90)]
+    out = active(m).groupBy("country_code").agg(n().alias("active"), *recent, n(undated).alias("undated"), pct(n(undated)).alias("pct_undated"))
+    named = out.join(m["countries"].select(c("code").alias("country_code"), c("name").alias("country_name")), "country_code")
+    return named.select("country_code", "country_name", "active", "last_7", "last_30", "last_90", "undated", "pct_undated").orderBy(c("active").desc(), "country_code")
+
+
+def health_h1_intake(m: Model, s: Settings) -> DataFrame:
+    at, month, before = c("ingested_at"), s.since(days=30), s.since(days=60)
+    out = m["jobs"].agg(n().alias("total"), n(at >= month).alias("last_30"), n((at >= before) & (at < month)).alias("previous_30"))
+    return out.withColumn("growth_pct", F.when(c("previous_30") == 0, 0.0).otherwise(pct(c("last_30") - c("previous_30"), c("previous_30"))))
+
+
+def health_h2_active(m: Model, s: Settings) -> DataFrame:
+    return m["jobs"].agg(n(c("is_active")).alias("active"), n(~c("is_active")).alias("inactive"))
+
+
+def health_h3_roles(m: Model, s: Settings) -> DataFrame:
+    return m["jobs"].groupBy(F.coalesce("role_category", F.lit("null")).alias("role")).agg(n().alias("n")).orderBy(c("n").desc(), "role")
+
+
+def health_h4_pay(m: Model, s: Settings) -> DataFrame:
+    told = c("salary_mid").isNotNull() & ~c("salary_is_predicted")
+    return m["jobs"].groupBy("country_code").agg(n().alias("total"), n(told).alias("declared"), pct(n(told)).alias("pct_declared"), quantile("salary_mid", 0.5, told).alias("median_declared")).orderBy("country_code")
+
+
+def health_h5_links(m: Model, s: Settings) -> DataFrame:
+    by_job = m["job_skills"].groupBy("job_id").agg(F.count("skill_id").alias("links"))
+    out = by_job.agg(n().alias("jobs_with_skills"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+    return out.withColumn("average", F.try_divide("links", "jobs_with_skills"))
+
+
+def health_h6_top_skills(m: Model, s: Settings) -> DataFrame:
+    by_name = skill_links(m["skills"], m["job_skills"]).filter("links > 0").groupBy("name").agg(F.sum("links").alias("n"))
+    return by_name.orderBy(c("n").desc(), "name").limit(10)
+
+
+def notify_n1_total(m: Model, s: Settings) -> DataFrame:
+    return m["jobs"].agg(n().alias("total"))
+
+
+def notify_n2_recent(m: Model, s: Settings) -> DataFrame:
+    return m["jobs"].filter(c("ingested_at") >= s.since(hours=2)).groupBy("country_code").agg(n().alias("n")).orderBy(c("n").desc(), "country_code")
+
+
+FRAMES = (
+    audit_q01_text_coverage, audit_q02_skill_coverage, audit_q06_skill_segments, audit_q07_unused_skills, audit_q08a_prefix_variants, audit_q08b_first_token, audit_q03_role_share, audit_q04_role_distribution,
+    audit_q14_role_by_country, audit_q05_salary_coverage, audit_q09_country_pay, audit_q10_pay_quartiles, audit_q15_pay_anomalies, audit_q11_text_length, audit_q12_coverage_rank, audit_q13_volume,
+    health_h1_intake, health_h2_active, health_h3_roles, health_h4_pay, health_h5_links, health_h6_top_skills, notify_n1_total, notify_n2_recent,
+)

@@ -1,49 +1,173 @@
-"""The weekly load's diagnostics, the canonicalisation plan's queries, and maintenance selections. Recent: ingested in the last 8 days.
+"""The weekly load's diagnostics and the canonicalisation plan as functions of the job model's tables and the settings, and maintenance selections as texts.
 
-Ids of jobs are unique (constraint_violations counts those that are not), so links are counted by job before the join. Medians
-over links and examples of a skill come from grouped counts and the first three ranks: no task holds all links of one skill or period.
+Recent: ingested in the last 8 days. Ids of jobs are unique (constraint_violations counts those that are not), so links
+are counted by job before the join. Medians over links and examples of a skill come from grouped counts and the first
+three ranks: no task holds all links of one skill or period.
 """
 
-from .audit import pct
-
-OTHER = "count(*) filter (where role_category = 'other')"
-RECENT = "ingested_at >= now! - interval 8 day"
-
-DIAGNOSTICS = {
-    "diag_d0_summary": f"""
-        select count(*) as total, count(*) filter (where {RECENT}) as recent, {pct("count(*) filter (where role_category = 'other')")} as pct_other, {pct('count(*) filter (where role_category is null)')} as pct_null,
-          cast(round(cast((select count(*) from {{job_skills}}) as double) / nullif(count(*), 0), 2) as double) as links_per_job, cast(round(median!(salary_mid) filter (where country_code = '7')) as double) as median_one
-        from {{jobs}} where is_active""",
-    "diag_d1a_roles": f"select coalesce(role_category, 'NULL') as role, count(*) as n, cast(round(100.0 * count(*) / sum(count(*)) over (), 2) as double) as pct from {{jobs}} where is_active and {RECENT} group by coalesce(role_category, 'NULL')",
-    "diag_d1b_gaps": f"select country_code, count(*) as n, {pct(OTHER)} as pct_other, {pct('count(*) filter (where role_category is null)')} as pct_null from {{jobs}} where is_active group by country_code",
-    "diag_d1c_other_titles": "select title, count(*) as n from {jobs} where is_active and role_category = 'other' group by title having count(*) > 1 order by count(*) desc, title limit 50",
-    "diag_d1d_weekly_other": f"select cast(date_trunc('week', ingested_at) as date) as week, count(*) as n, {pct(OTHER)} as pct_other from {{jobs}} group by cast(date_trunc('week', ingested_at) as date) order by week desc limit 8",
-    "diag_d2a_recent_vs_history": f"""
-        with n as (select job_id, count(*) as n from {{job_skills}} group by job_id),
-        x as (select case when {RECENT} then 'recent' else 'history' end as period, j.id, n.n
-          from {{jobs}} j join n on n.job_id = j.id where j.is_active and j.ingested_at is not null),
-        weighted as (select period, n, count(*) as jobs, sum(sum(n)) over (partition by period order by n) as upto, sum(sum(n)) over (partition by period) as total
-          from x group by period, n),
-        sums as (select period, cast(sum(jobs) as bigint) as jobs, cast(max(total) as bigint) as links,
-          min(case when 2 * upto >= total then n end) as lower_n, min(case when 2 * upto > total then n end) as upper_n from weighted group by period)
-        select p.period, coalesce(s.jobs, 0) as jobs, coalesce(s.links, 0) as links, cast(round((s.lower_n + s.upper_n) / 2.0) as int) as median_links
-        from (select 'recent' as period union all select 'history' as period) p left join sums s on s.period = p.period""",
-    "diag_d2b_histogram": """
-        with x as (select j.id, count(l.skill_id) as n from {jobs} j left join {job_skills} l on l.job_id = j.id where j.is_active group by j.id),
-        y as (select case when n = 0 then '0' when n = 1 then '1' when n = 2 then '2' when n between 3 and 5 then '3-5' when n between 6 and 10 then '6-10' else '11+' end as bucket, n from x),
-        z as (select bucket, count(*) as jobs, min(n) as first from y group by bucket)
-        select bucket, jobs, cast(round(100.0 * jobs / sum(jobs) over (), 2) as double) as pct from z order by first""",
-    "diag_d2c_top_recent": f"select s.name, s.id, count(*) as n from {{jobs}} j join {{job_skills}} l on l.job_id = j.id join {{skills}} s on s.id = l.skill_id where {RECENT} group by s.name, s.id order by count(*) desc, s.id limit 30",
-    "diag_d2d_recent_text": f"select country_code, count(*) as n, {pct('count(description_full)')} as pct_text from {{jobs}} where is_active and {RECENT} group by country_code",
-    "diag_d3a_null_roles": "select id, title, country_code, cast(ingested_at as date) as day from {jobs} where is_active and role_category is null order by ingested_at desc, id limit 50",
-    "diag_d3b_null_share": f"select country_code, count(*) filter (where role_category is null) as n_null, {pct('count(*) filter (where role_category is null)')} as pct_null from {{jobs}} where is_active group by country_code",
-    "diag_d3c_tool_skills": "select s.name, s.id, count(*) as n from {skills} s join {job_skills} l on l.skill_id = s.id where s.category like '%A%' and length(s.name) > 3 group by s.name, s.id order by count(*) desc, s.id limit 40",
-    "diag_d4a_pay_range": "select country_code, min(salary_mid) as low, cast(round(median!(salary_mid)) as double) as mid, max(salary_mid) as high from {jobs} where is_active and salary_mid is not null group by country_code",
-    "diag_d4b_pay_anomalies": "select id, country_code, salary_mid, case when salary_mid > 350000 then 'high' when salary_mid < 4000 then 'low' end as anomaly from {jobs} where is_active and (salary_mid > 350000 or salary_mid < 4000)",
-    "diag_d5a_weekly_intake": "select cast(date_trunc('week', ingested_at) as date) as week, country_code, count(*) as n from {jobs} group by cast(date_trunc('week', ingested_at) as date), country_code",
-    "diag_d5b_undated": f"select country_code, count(*) filter (where posted_at is null) as undated, {pct('count(*) filter (where posted_at is null)')} as pct_undated from {{jobs}} where ingested_at >= now! - interval 60 day group by country_code",
-    "diag_d5c_counts": "select (select count(*) from {skills}) as skills, count(*) as links, count(distinct job_id) as jobs, count(distinct skill_id) as used from {job_skills}",
-}
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .audit import Model, _roles, active
+from .measures import links_by_job, n, pct, quantile, ratio, skill_links, with_links
+from .settings import Canonical, Settings
+
+c = F.col
+
+
+def recent(s: Settings) -> Column:
+    return c("ingested_at") >= s.since(days=8)
+
+
+def week() -> Column:
+    return F.date_trunc("week", "ingested_at").cast("date").alias("week")
+
+
+def diag_d0_summary(m: Model, s: Settings) -> DataFrame:
+    links = m["job_skills"].agg(n().alias("links"))
+    told = (c("country_code") == s.country) & ~c("salary_is_predicted")
+    out = active(m).agg(n().alias("total"), n(recent(s)).alias("recent"), pct(n(c("role_category") == "other")).alias("pct_other"), pct(n(c("role_category").isNull())).alias("pct_null"), quantile("salary_mid", 0.5, told).alias("median_one"))
+    # Two single rows meet.
+    return out.join(F.broadcast(links)).select("total", "recent", "pct_other", "pct_null", ratio(c("links"), c("total")).alias("links_per_job"), "median_one")
+
+
+def diag_d1a_roles(m: Model, s: Settings) -> DataFrame:
+    return _roles(active(m), [], "NULL").orderBy(c("n").desc(), "role")
+
+
+def diag_d1b_gaps(m: Model, s: Settings) -> DataFrame:
+    other, none = c("role_category") == "other", c("role_category").isNull()
+    out = active(m).groupBy("country_code").agg(n(other).alias("n_other"), n(none).alias("n_null"), n().alias("total"), pct(n(other | none)).alias("pct_unclassified"))
+    return out.orderBy(c("pct_unclassified").desc(), "country_code")
+
+
+def diag_d1c_other_titles(m: Model, s: Settings) -> DataFrame:
+    out = active(m).filter("role_category = 'other'").groupBy("title", "country_code").agg(n().alias("n"))
+    return out.filter("n > 1").orderBy(c("n").desc(), "title", "country_code").limit(50)
+
+
+def diag_d1d_weekly_other(m: Model, s: Settings) -> DataFrame:
+    other = n(c("role_category") == "other")
+    return m["jobs"].groupBy(week()).agg(n().alias("total"), other.alias("n_other"), pct(other).alias("pct_other")).orderBy(c("week").desc()).limit(8)
+
+
+def diag_d2a_recent_vs_history(m: Model, s: Settings) -> DataFrame:
+    """Recently ingested jobs against all, both with inactive ones; the median is over links, so a job counts once for each."""
+    linked = m["jobs"].join(links_by_job(m["job_skills"]), m["jobs"].id == c("job_id"))
+    periods = F.when(recent(s), F.array(F.lit("recent"), F.lit("history"))).otherwise(F.array(F.lit("history")))
+    counted = linked.select(F.explode(periods).alias("period"), "links").groupBy("period", "links").agg(n().alias("jobs"))
+    out = counted.groupBy("period").agg(F.sum("jobs").alias("jobs"), F.sum(c("jobs") * c("links")).alias("all"), F.percentile("links", 0.5, c("jobs") * c("links")).alias("median"))
+    both = m["jobs"].sparkSession.createDataFrame([("recent",), ("history",)], "period string").join(out, "period", "left")
+    zero = lambda k: F.coalesce(k, F.lit(0)).cast("long")
+    return both.select("period", zero("jobs").alias("jobs"), zero("all").alias("links"), ratio(c("all"), c("jobs")).alias("avg_links"), F.bround("median", 0).cast("int").alias("median_links"))
+
+
+def diag_d2b_histogram(m: Model, s: Settings) -> DataFrame:
+    k = F.coalesce("links", F.lit(0))
+    bucket = F.when(k <= 2, k.cast("string")).when(k <= 5, "3-5").when(k <= 10, "6-10").otherwise("11+")
+    out = with_links(active(m), m["job_skills"]).groupBy(bucket.alias("bucket")).agg(n().alias("jobs"), F.min(k).alias("least"))
+    # The window has no key: it runs over the six buckets.
+    return out.withColumn("pct", pct(c("jobs"), F.sum("jobs").over(Window.partitionBy()))).orderBy("least").drop("least")
+
+
+def diag_d2c_top_recent(m: Model, s: Settings) -> DataFrame:
+    links = m["job_skills"].join(m["jobs"].filter(recent(s)).select(c("id").alias("job_id")), "job_id")
+    out = skill_links(m["skills"], links).filter("links > 0").groupBy("name", "category").agg(F.sum("links").alias("n"))
+    return out.orderBy(c("n").desc(), "name", "category").limit(30)
+
+
+def diag_d2d_recent_text(m: Model, s: Settings) -> DataFrame:
+    full = n(c("description_full").isNotNull())
+    out = active(m).filter(recent(s)).groupBy("country_code").agg(n().alias("total"), full.alias("with_full"), pct(full).alias("pct_full"))
+    return out.orderBy("pct_full", "country_code")
+
+
+def diag_d3a_null_roles(m: Model, s: Settings) -> DataFrame:
+    """The newest by date of posting; undated ones come first, as a descending order has nulls first there."""
+    out = active(m).filter("role_category is null").orderBy(c("posted_at").desc_nulls_first(), "id").limit(50)
+    return out.select("id", "title", "company", "country_code", c("posted_at").cast("date").alias("day"))
+
+
+def diag_d3b_null_share(m: Model, s: Settings) -> DataFrame:
+    none = n(c("role_category").isNull())
+    return active(m).groupBy("country_code").agg(none.alias("n_null"), n().alias("total"), pct(none).alias("pct_null")).orderBy(c("pct_null").desc(), "country_code")
+
+
+def diag_d3c_tool_skills(m: Model, s: Settings) -> DataFrame:
+    found = m["skills"].filter((c("category") == s.tool_category) & (F.length("name") > 3))
+    return skill_links(found, m["job_skills"]).filter("links > 0").groupBy("name").agg(F.sum("links").alias("n")).orderBy(c("n").desc(), "name").limit(40)
+
+
+def diag_d4a_pay_range(m: Model, s: Settings) -> DataFrame:
+    told = active(m).filter("salary_mid is not null and not salary_is_predicted")
+    out = told.groupBy("country_code").agg(n().alias("n"), F.min("salary_mid").alias("low"), quantile("salary_mid", 0.5).alias("mid"), F.max("salary_mid").alias("high"))
+    return out.orderBy(c("mid").desc(), "country_code")
+
+
+def diag_d4b_pay_anomalies(m: Model, s: Settings) -> DataFrame:
+    mid = c("salary_mid")
+    kind = F.when(c("salary_min") > c("salary_max"), "min > max").when(c("salary_min") < 0, "negative").when(mid > s.week_high, "high").when((mid > 0) & (mid < s.week_low), "low")
+    return active(m).select("id", "title", "country_code", "salary_min", "salary_max", "salary_mid", kind.alias("anomaly")).filter("anomaly is not null")
+
+
+def diag_d5a_weekly_intake(m: Model, s: Settings) -> DataFrame:
+    return m["jobs"].groupBy(week(), "country_code").agg(n().alias("n")).orderBy(c("week").desc(), "country_code")
+
+
+def diag_d5b_undated(m: Model, s: Settings) -> DataFrame:
+    undated = n(c("posted_at").isNull())
+    out = active(m).filter(recent(s)).groupBy("country_code").agg(undated.alias("undated"), n().alias("total"), pct(undated).alias("pct_undated"))
+    return out.orderBy(c("pct_undated").desc(), "country_code")
+
+
+def diag_d5c_counts(m: Model, s: Settings) -> DataFrame:
+    """Four single rows side by side: skills, links, active jobs, and the skills that an active job has."""
+    used = m["job_skills"].join(active(m).select(c("id").alias("job_id")), "job_id", "left_semi").select("skill_id").distinct()
+    parts = [m["skills"].agg(n().alias("skills")), m["job_skills"].agg(n().alias("links")), active(m).agg(n().alias("active_jobs")), used.agg(F.count("skill_id").alias("used"))]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), parts)
+
+
+def _compound(m: Model, s: Settings, blanks: bool) -> DataFrame:
+    like = reduce(lambda a, b: a | b, [c("name").ilike(p) for p in s.compound])
+    long = F.length("name") > s.compound_letters
+    return m["skills"].filter(like & (long | c("name").like("% %") if blanks else long) & ~c("name").isin(*s.no_compound))
+
+
+def canon_a3_compounds(m: Model, s: Settings) -> DataFrame:
+    return skill_links(_compound(m, s, False), m["job_skills"]).filter("links > 0").orderBy(c("links").desc(), "id")
+
+
+def _affected(m: Model, what: Canonical) -> DataFrame:
+    alias = m["skills"].filter(what.alias(c("name"))).select(c("id").alias("skill_id"), c("name").alias("skill"))
+    jobs = m["jobs"].select(c("id").alias("job_id"), "title")
+    return m["job_skills"].join(alias, "skill_id").join(jobs, "job_id").select("job_id", "title", "skill", "skill_id").orderBy("job_id", "skill_id")
+
+
+def canon_a4_affected(m: Model, s: Settings) -> DataFrame:
+    return _affected(m, s.canonical[0])
+
+
+def canon_a5_affected(m: Model, s: Settings) -> DataFrame:
+    return _affected(m, s.canonical[1])
+
+
+def canon_c_examples(m: Model, s: Settings) -> DataFrame:
+    """Phrases with their links and the titles of their first three jobs by id; no group is gathered beyond these three."""
+    found = skill_links(_compound(m, s, True), m["job_skills"].join(m["jobs"].select(c("id").alias("job_id")), "job_id", "left_semi")).filter("links > 0")
+    rank = F.row_number().over(Window.partitionBy("skill_id").orderBy("job_id"))
+    firsts = m["job_skills"].join(found.select(c("id").alias("skill_id")), "skill_id", "left_semi").join(m["jobs"].select(c("id").alias("job_id"), "title"), "job_id").withColumn("rank", rank).filter("rank <= 3")
+    titles = firsts.groupBy("skill_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("t")).select(c("skill_id").alias("id"), F.array_join(c("t.title"), " | ").alias("examples"))
+    return found.join(titles, "id").select("id", "name", "category", "links", "examples").orderBy(c("links").desc(), "id")
+
+
+FRAMES = (
+    diag_d0_summary, diag_d1a_roles, diag_d1b_gaps, diag_d1c_other_titles, diag_d1d_weekly_other, diag_d2a_recent_vs_history, diag_d2b_histogram, diag_d2c_top_recent, diag_d2d_recent_text, diag_d3a_null_roles,
+    diag_d3b_null_share, diag_d3c_tool_skills, diag_d4a_pay_range, diag_d4b_pay_anomalies, diag_d5a_weekly_intake, diag_d5b_undated, diag_d5c_counts, canon_a3_compounds, canon_a4_affected, canon_a5_affected, canon_c_examples,
+)
 
 #: Canonical names and their alias by pattern, on the stand-ins: 'blue ring' takes over 'old ring'.
 CANONICAL, ALIAS = "blue ring", "old ring"
@@ -52,9 +176,6 @@ _IDS = f"canon as (select min(id) as id from {{skills}} where name = '{CANONICAL
 CANONICALISATION = {
     "canon_a1_variants": "select s.id, s.name, coalesce(n.links, 0) as links from {skills} s left join (select skill_id, count(*) as links from {job_skills} group by skill_id) n on n.skill_id = s.id where s.name in ('blue ring', 'old ring') or s.name ilike 'new %ring'",
     "canon_a2_links": "select s.name, count(l.job_id) as links from {skills} s left join {job_skills} l on l.skill_id = s.id where s.name in ('blue ring', 'old ring', 'red ring') group by s.name",
-    "canon_a3_compounds": "select s.name, count(l.job_id) as links from {skills} s left join {job_skills} l on l.skill_id = s.id where length(s.name) >= 11 group by s.name having count(l.job_id) > 0",
-    "canon_a4_affected": "select count(distinct l.job_id) as jobs from {job_skills} l join {skills} s on s.id = l.skill_id where s.name like 'old r%' and s.name not like '%rod' and s.name not in ('blue ring')",
-    "canon_a5_affected": "select count(distinct l.job_id) as jobs from {job_skills} l join {skills} s on s.id = l.skill_id where s.name ilike 'hot%' and s.name not like '%plate'",
     "canon_a6_exists": "select distinct name from {skills} where name in ('blue ring', 'red ring', 'violet ring')",
     "canon_b_relink": f"""
         with {_IDS}
@@ -66,13 +187,6 @@ CANONICALISATION = {
         with {_IDS}, links as (select distinct job_id, case when skill_id in (select id from alias) then (select id from canon) else skill_id end as skill_id from {{job_skills}})
         select 'alias links' as what, count(*) as n from links where skill_id in (select id from alias)
         union all select 'canonical links' as what, count(*) as n from links where skill_id in (select id from canon)""",
-    "canon_c_examples": """
-        with linked as (select s.name, j.title, j.id, s.id as skill_id from {skills} s join {job_skills} l on l.skill_id = s.id join {jobs} j on j.id = l.job_id where length(s.name) >= 11),
-        totals as (select name, count(*) as links from linked group by name),
-        ranked as (select name, title, row_number() over (partition by name order by id, skill_id) as n from linked),
-        firsts as (select name, title, n from ranked where n <= 3)
-        select f.name, max(t.links) as links, max(case when f.n = 1 then f.title end) as first_title, max(case when f.n = 2 then f.title end) as second_title, max(case when f.n = 3 then f.title end) as third_title
-        from firsts f join totals t on t.name = f.name group by f.name""",
 }
 
 MAINTENANCE = {

@@ -7,13 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .audit import AUDIT, HEALTH
-from .diagnostics import CANONICALISATION, DIAGNOSTICS, MAINTENANCE
+from . import audit, diagnostics
+from .diagnostics import CANONICALISATION, MAINTENANCE
 from .dialect import DUCK, SPARK, render
-from .standins import AS_OF, SOURCES, TABLES
+from .oracle import ORACLE
+from .settings import Settings
+from .standins import AS_OF, SETTINGS, SOURCES, TABLES
 from .views import VIEWS
 
-PLANS: dict[str, str] = VIEWS | AUDIT | DIAGNOSTICS | CANONICALISATION | HEALTH | MAINTENANCE
+#: Plans that are one text in both dialects.
+PLANS: dict[str, str] = VIEWS | CANONICALISATION | MAINTENANCE
+#: Plans of the tables and the settings; what checks them is written apart, in oracle.py.
+FRAMES: dict[str, Callable[[dict[str, DataFrame], Settings], DataFrame]] = {f.__name__: f for f in (*audit.FRAMES, *diagnostics.FRAMES)}
 
 
 def model(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -36,14 +41,15 @@ def plan(name: str, tables: dict[str, DataFrame], as_of: str = AS_OF) -> DataFra
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, name=name: plan(name, model(spark, sf_dir)) for name in PLANS}
+    texts = {name: lambda spark, sf_dir, name=name: plan(name, model(spark, sf_dir)) for name in PLANS}
+    return texts | {name: lambda spark, sf_dir, f=f: f(model(spark, sf_dir), SETTINGS) for name, f in FRAMES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for name, query in PLANS.items():
+    for name, query in {k: render(q, DUCK, AS_OF) for k, q in (PLANS | ORACLE).items()}.items():
         used = [t for t in TABLES if f"{{{t}}}" in query]
-        text = render(query, DUCK, AS_OF)
+        text = query
         for t in used:
             text = text.replace(f"{{{t}}}", f"m_{t}")
         head = ", ".join(f"m_{t} as ({TABLES[t]})" for t in used)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .settings import Canonical, Settings
+
 AS_OF = "2001-08-01 00:00:00"
 
 TABLES = {
@@ -25,7 +27,13 @@ TABLES = {
     "skills": "select p_partkey as id, p_name as name, p_type as category from part",
     "job_skills": "select distinct l_orderkey as job_id, l_partkey as skill_id from lineitem where l_partkey % 50 <> 0",
     "context": """
-        select cast(s_nationkey as string) as country_code, 1995 + 2 * (s_suppkey % 4) as year, 'employment_rate' as indicator, round(avg(s_acctbal) / 200, 2) as value
+        select cast(s_nationkey as string) as country_code, 1995 + 2 * (s_suppkey % 4) as year, 'employment_rate_15_64' as indicator, round(avg(s_acctbal) / 200, 2) as value
         from supplier group by s_nationkey, 1995 + 2 * (s_suppkey % 4)""",
 }
 SOURCES = ("nation", "orders", "customer", "part", "lineitem", "supplier")
+
+#: The settings over the stand-ins, whose names and countries are others; two limits are, so that some rows exceed them.
+SETTINGS = Settings(
+    AS_OF, country="7", prefixes=(("blue%", None), ("old r%", "old ring%"), ("HOT g%", None)), compound=("%ring%", "%GIZMO%"), no_compound=("blue ring", "small ring", "new gizmo"), compound_letters=9,
+    canonical=(Canonical("blue ring", ("old ring", "hot ring"), ("red rod", "Red Ring"), "hot%"), Canonical("red plate", ("old plate", "new plate"), ("hot rod",))), tool_category="PROMO", week_high=480_000, week_low=2_500,
+)

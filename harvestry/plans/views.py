@@ -41,7 +41,7 @@ VIEWS = {
     "v_skills_with_market_context": """
         select s.name as skill, s.category, c.code as country_code, c.name as country_name, count(*) as demand, cast(round(avg(j.salary_mid)) as double) as avg_salary_eur, m.value as employment_rate, cast(m.year as int) as context_year
         from {jobs} j join {job_skills} l on l.job_id = j.id join {skills} s on s.id = l.skill_id join {countries} c on c.code = j.country_code
-        left join {context} m on m.country_code = j.country_code and m.indicator = 'employment_rate' and m.year = extract(year from j.posted_at)
+        left join {context} m on m.country_code = j.country_code and m.indicator = 'employment_rate_15_64' and m.year = extract(year from j.posted_at)
         where j.is_active group by s.name, s.category, c.code, c.name, m.value, m.year""",
 }
 
