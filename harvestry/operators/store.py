@@ -1,13 +1,17 @@
-"""Keyed writes on Parquet: each publication writes whole new tables and then switches one pointer, so a failed load changes nothing."""
+"""Keyed writes as changes of DataFrames; versions.py publishes them."""
 
 from __future__ import annotations
 
 import json
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ids import numbered
+from .versions import Merge, Store
+
+__all__ = ["Merge", "Store"]
+
 
 def one_row(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """One row of each key: the first by order, if df has it, and else by a hash of all columns, so the same one always."""
@@ -51,12 +55,12 @@ def upsert_by_key(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def upsert_skills(old: DataFrame, found: DataFrame, overwrite: bool = True) -> DataFrame:
-    """Skills by name: new names get the next ids in order of name; a known name's category is overwritten, or stays."""
+    """Skills by name: new names get the next ids in order of name, without a gap; a known name's category is overwritten, or stays."""
     new = found.groupBy("name").agg(F.min("category").alias("category"))
     kept = old.alias("o").join(new.alias("n"), "name", "left").select("o.id", "name", (F.coalesce("n.category", "o.category") if overwrite else F.col("o.category")).alias("category"))
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    added = new.join(old, "name", "left_anti").withColumn("n", F.row_number().over(Window.orderBy("name"))).join(F.broadcast(top))
-    return kept.unionByName(added.select((F.col("top") + F.col("n")).cast("bigint").alias("id"), "name", "category"))
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    added = numbered(new.join(old, "name", "left_anti"), "name", top + 1)
+    return kept.unionByName(added.select("id", "name", "category"))
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -95,82 +99,6 @@ def spellings(skills: DataFrame, canonical: str, lower: list[str], exact: list[s
     return skills.filter(where).select(name.alias("alias"), F.lit(canonical).alias("canonical")).distinct()
 
 
-class Store:
-    """A folder of versions; of the files CURRENT-<n> the highest names the one that readers see.
-
-    A pointer is written aside and renamed to a name that no file has, so at no time is there none: a crash between
-    any two steps leaves the version before, and files that the next publication's clean-up removes.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, keep: int = 3) -> None:
-        """keep versions stay when a newer one is published, for readers that still use them."""
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), max(1, keep)
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _pointers(self) -> list[int]:
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
-        return sorted(int(n[8:]) for n in names if n.startswith("CURRENT-") and n[8:].isdigit())
-
-    def _pointer(self, n: int) -> tuple[str, str]:
-        """A pointer's version and publication key."""
-        lines = [r[0] for r in self.spark.read.text(f"{self.root}/CURRENT-{n}").collect()]
-        return lines[0], lines[1] if len(lines) > 1 else ""
-
-    def version(self) -> str | None:
-        n = self._pointers()
-        return self._pointer(n[-1])[0] if n else None
-
-    def published(self, key: str) -> bool:
-        """Whether a kept version was published under this key."""
-        return any(self._pointer(n)[1] == key for n in self._pointers())
-
-    def read(self, table: str) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.root}/{v}/{table}") if v and self._fs.exists(self._path(f"{self.root}/{v}/{table}")) else None
-
-    def publish(self, tables: dict[str, DataFrame], key: str = "") -> str:
-        """Write all tables of a new version, then add its pointer; tables that aren't given stay as they are. OSError if another publication was faster."""
-        before, v = self._pointers(), f"v-{uuid.uuid4().hex}"
-        n = before[-1] if before else 0
-        old = self._pointer(n)[0] if before else None
-        given = dict(tables)
-        if old:
-            for f in self._fs.listStatus(self._path(f"{self.root}/{old}")):
-                given.setdefault(f.getPath().getName(), self.spark.read.parquet(str(f.getPath())))
-        for name, df in given.items():
-            df.write.parquet(f"{self.root}/{v}/{name}")
-        out = self._fs.create(self._path(f"{self.root}/.next-{v}"))
-        out.write(bytearray(f"{v}\n{key}\n".encode()))
-        out.close()
-        if not self._fs.rename(self._path(f"{self.root}/.next-{v}"), self._path(f"{self.root}/CURRENT-{n + 1}")):
-            raise OSError(f"{self.root}/CURRENT-{n + 1} is there already")
-        self._clean()
-        return v
-
-    def _clean(self) -> None:
-        """Remove pointers beyond those kept, then folders of versions that no kept pointer names and that are older than the newest."""
-        pointers = self._pointers()
-        kept = {self._pointer(n)[0] for n in pointers[-self.keep :]}
-        newest = self._fs.getFileStatus(self._path(f"{self.root}/CURRENT-{pointers[-1]}")).getModificationTime()
-        for n in pointers[: -self.keep]:
-            self._fs.delete(self._path(f"{self.root}/CURRENT-{n}"), False)
-        for f in self._fs.listStatus(self._path(self.root)):
-            name = f.getPath().getName()
-            if name.startswith("v-") and name not in kept and f.getModificationTime() < newest:
-                self._fs.delete(f.getPath(), True)
-
-    def size(self) -> int | None:
-        """Bytes in the folder; None if it can't be read."""
-        try:
-            return self._fs.getContentSummary(self._path(self.root)).getLength()
-        except Exception:
-            return None
-
-
 def write_summary(path: str, summary: dict) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(summary, f, indent=2, default=str)

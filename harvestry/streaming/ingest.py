@@ -6,20 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import Store, deactivate, insert_ignore, upsert_jobs
+from ..operators.store import Merge, Store, deactivate, insert_ignore, upsert_jobs
 from ..schema import JOBS, empty
 
 
 def load(store: Store, spark: SparkSession, jobs: DataFrame, links: DataFrame | None = None, now=None, key: str = "") -> str | None:
-    """One load: upsert jobs, add links, deactivate old jobs, publish all together. A key that was published before changes nothing."""
+    """One load: upsert jobs, add links, deactivate old jobs, publish all together. A key that was published before changes nothing.
+
+    Of jobs and links that are there only the files are rewritten that can hold a job of the load or one that goes
+    inactive; the latter are found by three columns of all.
+    """
     if key and store.published(key):
         return None
     now = F.current_timestamp() if now is None else now
     old = store.read("jobs")
-    out = {"jobs": deactivate(upsert_jobs(empty(spark, JOBS) if old is None else old, jobs, now), now)}
+    if old is None:
+        out = {"jobs": deactivate(upsert_jobs(empty(spark, JOBS), jobs, now), now)}
+    else:
+        old_ones = old.filter("is_active").select("id", "posted_at", "is_active")
+        expired = deactivate(old_ones, now).filter("not is_active").select("id")
+        out = {"jobs": Merge(jobs.select(F.col("id").cast("long").alias("id")).union(expired), lambda held: deactivate(upsert_jobs(held, jobs, now), now))}
     if links is not None:
         known = store.read("job_skills")
-        out["job_skills"] = links.dropDuplicates() if known is None else insert_ignore(known, links, known.columns)
+        add = lambda held: insert_ignore(held, links, held.columns)
+        out["job_skills"] = links.dropDuplicates() if known is None else Merge(links.select("job_id"), add)
     return store.publish(out, key)
 
 
