@@ -65,6 +65,11 @@ def placed(key: Column, lows: list[int], highs: list[int] | None = None, parts:
     return at(key.cast("long"))
 
 
+def differing(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, before, after) of rows that are on one side alone or differ, from (keys, before) and (keys, after) with structs."""
+    return before.join(after, keys, "full").filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
 class Store:
     """A folder of versions; of the files CURRENT-<n> the highest names the one that readers see.
 
@@ -275,7 +280,7 @@ class Store:
             columns = T.StructType.fromJson(json.loads(schema)).fields
             value = F.struct(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns])
             sides.append(rows.select(*keys, value.alias(name)))
-        return sides[0].join(sides[1], keys, "full").filter(~F.col("before").eqNullSafe(F.col("after")))
+        return differing(*sides, keys)
 
     def size(self) -> int | None:
         """Bytes in the folder; None if it can't be read."""
