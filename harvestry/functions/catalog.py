@@ -1,11 +1,12 @@
-"""Catalogs: ordered phrases for roles and ordered patterns for skills. They are parameters; a small default stands here, larger ones come from a file."""
+"""Catalogs: ordered phrases for roles and ordered patterns for skills. They are parameters: the default has all skills and some phrases, longer lists of phrases come from a file."""
 
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass, field
 
+from .skill_names import listed
+
 
 @dataclass(frozen=True)
 class Catalog:
@@ -24,19 +25,8 @@ class Catalog:
         return cls(tuple((n, c, tuple(p)) for n, c, p in x["skills"]), {k: tuple(v) for k, v in x["titles"].items()}, {k: tuple(v) for k, v in x.get("texts", {}).items()}, tuple(x.get("outside", ())))
 
 
-def _word(name: str, category: str) -> tuple[str, str, tuple[str, ...]]:
-    return name, category, (rf"\b{re.escape(name.lower())}\b",)
-
-
 DEFAULT = Catalog(
-    skills=(
-        *(_word(n, "language") for n in ("Python", "Java", "JavaScript", "TypeScript", "Scala", "Kotlin", "Rust", "SQL")),
-        ("C#", "language", (r"\bc#\b", r"\bcsharp\b")), ("Go", "language", (r"\bgolang\b",)),
-        *(_word(n, "framework") for n in ("Spring", "Django", "React", "Angular", "Apache Spark")), ("Node.js", "framework", (r"\bnode\.?js\b",)),
-        *(_word(n, "cloud") for n in ("AWS", "Azure")), ("Google Cloud", "cloud", (r"\bgoogle cloud\b", r"\bgcp\b")),
-        ("PostgreSQL", "database", (r"\bpostgres(?:ql)?\b",)), *(_word(n, "database") for n in ("MySQL", "MongoDB", "Redis")),
-        *(_word(n, "tool") for n in ("GitHub Actions", "GitHub", "Git", "Docker", "Kubernetes", "Terraform", "Jenkins", "Linux")), ("CI/CD", "methodology", (r"\bci/cd\b",)), *(_word(n, "methodology") for n in ("Scrum", "Kanban")),
-    ),
+    skills=listed(),
     titles={
         "management": ("product manager", "project manager", "cto", "team lead"), "ai_ml": ("machine learning", "ml engineer", "rag"), "data_science": ("data scientist",), "data_engineering": ("data engineer", "etl"),
         "data_analyst": ("data analyst",), "mobile": ("android", " ios "), "security": ("security",), "qa_testing": ("test automation", "qa "), "sysadmin": ("system administrator", "it specialist"), "erp_sap": ("sap ", "erp"),

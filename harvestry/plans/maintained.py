@@ -185,12 +185,14 @@ def maintain(store: Store, as_of: dt.datetime, key: str = "") -> str | None:
     leaves the states before, with their note. None if nothing is to be done.
     """
     version, note = store.version(), store.manifest()[""].get("views")
-    if note and note["of"] == version and note["as_of"] == as_of.isoformat():
+    kept = bool(note) and note["of"] in store.versions()
+    of = store.manifest(note["of"]) if kept else {}
+    if kept and note["as_of"] == as_of.isoformat() and all(of.get(t) == store.manifest().get(t) for t in ("jobs", "job_skills", "skills")):
         return None
     now = F.lit(as_of)
     full = lambda v: {t: store.read(t, v) for t in ("jobs", "job_skills", "skills")}
     found = views()
-    if not note or note["of"] not in store.versions():
+    if not kept:
         states = {k: v.state(full(version), now) for k, v in found.items()}
     else:
         was, old = F.lit(dt.datetime.fromisoformat(note["as_of"])), note["of"]
