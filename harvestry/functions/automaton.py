@@ -23,20 +23,21 @@ def folded(text: str) -> str:
 
 
 def literal(pattern: str) -> str | None:
-    """The longest run of ASCII characters that every match of a pattern holds, in lower case; None if there is none, and for patterns with alternatives at the top.
+    """The longest run of ASCII characters that every match of a pattern holds, in lower case; None if there is none, and for patterns with alternatives at the top or other groups than (?:...) without groups in them.
 
     What may lack (before ?, * and {0,), classes, groups and escapes other than of punctuation end a run.
     """
-    if "|" in re.sub(r"\\.|\(\?:[^()]*\)|\[[^\]]*\]", "", pattern):
+    rest = re.sub(r"\(\?:[^()]*\)", "", re.sub(r"\\.|\[[^\]]*\]", "", pattern))
+    if re.search(r"[|()]", rest):
         return None
-    atoms = re.findall(r"\\[bB]|\\.|\[[^\]]*\]|\([^()]*\)|.", pattern)
+    atoms = re.findall(r"\\.|\[[^\]]*\]|\((?:\\.|[^()\\])*\)|\{[^}]*\}|.", pattern)
     runs, run = [], ""
     for k, a in enumerate(atoms):
         after = atoms[k + 1] if k + 1 < len(atoms) else ""
         if a in ("\\b", "\\B"):
             continue
         char = a[1:] if re.fullmatch(r"\\[^\w\s]", a) else a if re.fullmatch(r"[A-Za-z0-9 #/_,;:!@%&=~'\"<>-]", a) else ""
-        if not char or after in ("?", "*", "{"):
+        if not char or after[:1] in ("?", "*", "{"):
             runs.append(run)
             run = ""
         else:

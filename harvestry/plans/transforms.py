@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import pay, text
-from ..functions.catalog import Catalog
+from ..functions import automaton, pay, text
+from ..functions.catalog import DEFAULT, Catalog
 from ..functions.roles import canonical_skill, role, skills, skills_native
 from ..operators import enrich, store
 from ..sources import cube
@@ -48,6 +48,23 @@ def skill_longest_match_native(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.explode(skills_native(F.col("text"), PARTS)).alias("s")).select("doc_id", "s.skill", "s.category")
 
 
+def skill_full_catalog(spark, d):
+    """All skills of the default catalog in texts that name three of them each."""
+    i, names = F.col("o_orderkey"), F.array(*[F.lit(n) for n, _, _ in DEFAULT.skills])
+    name = lambda k: F.element_at(names, (k % len(DEFAULT.skills) + 1).cast("int"))
+    t = F.concat("o_orderpriority", F.lit(" with "), name(i), F.lit(", "), F.upper(name(i * 7 + 3)), F.lit(" and/or Apache "), F.lower(name(i * 5 + 1)), F.when(i % 3 == 0, " on AWS, go programming").otherwise("; git"))
+    return _t(spark, d, "orders").select("o_orderkey", F.explode(skills(t)).alias("s")).select("o_orderkey", "s.skill", "s.category")
+
+
+#: About a thousand phrases by a rule: numbers of three digits, in groups by their remainder.
+NUMBERS = Catalog(skills=(), titles={f"g{g}": tuple(f"{n:03d}" for n in range(g, 1000, 16)) for g in range(15)}, texts={"text": ("build", "house")}, outside=("77", "4242"))
+
+
+def role_many_phrases(spark, d):
+    title = F.concat(F.lit("T_"), (F.col("c_custkey") * 7919).cast("string"))
+    return _t(spark, d, "customer").select("c_custkey", automaton.role(F.when(F.col("c_custkey") % 50 != 0, title), F.col("c_mktsegment"), NUMBERS).alias("role"))
+
+
 def skill_canonical(spark, d):
     k = F.col("p_partkey") % 5
     raw = F.when(k == 0, " TOKEN ").when(k == 1, "the Apache license v2").when(k == 2, "x").when(k == 3, "one two three four five six").otherwise(F.col("p_name"))
@@ -132,7 +149,7 @@ def relink_alias(spark, d):
 
 
 FUNCTIONS = (
-    clean_lines, normalise_string, remote_flag, role_first_match, skill_longest_match, skill_longest_match_native, skill_canonical, pln_rules, salary_mid, contract_fields, content_hash, selected_text, merge_policy, json_props,
+    clean_lines, normalise_string, remote_flag, role_first_match, skill_longest_match, skill_longest_match_native, skill_full_catalog, role_many_phrases, skill_canonical, pln_rules, salary_mid, contract_fields, content_hash, selected_text, merge_policy, json_props,
     upsert_latest, insert_ignore, bulk_update, resolve_ids, sdmx_unravel, deactivate_old, relink_alias,
 )
 
@@ -147,6 +164,22 @@ _NO = "[^\\p{L}\\p{M}\\p{N}_]"
 _JOBS = f"with jobs as ({TABLES['jobs']})"
 
 
+def _full_catalog() -> str:
+    """Every pattern's first match in every text, then from the longest on those that overlap none before."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    names = ", ".join(quoted(n) for n, _, _ in DEFAULT.skills)
+    patterns = ", ".join(f"({i}, {j}, {quoted(n)}, {quoted(k)}, {quoted(p)})" for i, (n, k, ps) in enumerate(DEFAULT.skills) for j, p in enumerate(ps))
+    many = len(DEFAULT.skills)
+    return f"""with recursive n as (select [{names}] as names), p(i, j, skill, kind, pattern) as (values {patterns}),
+      o as (select o_orderkey, o_orderpriority || ' with ' || names[o_orderkey % {many} + 1] || ', ' || upper(names[(o_orderkey * 7 + 3) % {many} + 1]) || ' and/or Apache ' || lower(names[(o_orderkey * 5 + 1) % {many} + 1])
+        || case when o_orderkey % 3 = 0 then ' on AWS, go programming' else '; git' end as t from orders, n),
+      d as (select distinct t from o), h as (select t, i, min(j) as j from d, p where regexp_matches(t, '(?i)' || pattern) group by t, i),
+      m as (select t, i, skill, kind, length(regexp_extract(t, '(?is)^(.*?)(?:' || pattern || ')', 1)) as a, length(regexp_extract(t, '(?i)' || pattern, 0)) as size from h join p using (i, j)),
+      l as (select t, list(struct_pack(a := a, b := a + size, skill := skill, kind := kind) order by size desc, i) as ms from m group by t),
+      g as (select t, ms, 1 as k, ms[1:1] as kept from l union all select t, ms, k + 1, case when len(list_filter(kept, lambda x: x.a < ms[k + 1].b and ms[k + 1].a < x.b)) = 0 then list_append(kept, ms[k + 1]) else kept end from g where k < len(ms)),
+      r as (select t, unnest(kept) as x from g where k = len(ms)) select o_orderkey, x.skill as skill, x.kind as category from o join r using (t)"""
+
+
 def oracle_sql() -> dict[str, str]:
     euro = lambda v: f"case when c = 'pl' then case when ref > 1500000 then null when ref >= 20000 then round_even({v} * 0.2342, 0) when ref < 5000 then round_even({v} * 220 * 0.2342, 0) else {v} end else {v} end"
     word = lambda x, w: f"regexp_matches({x}, '(?is)(^|{_NO})({w})({_NO}|$)')"
@@ -172,6 +205,11 @@ def oracle_sql() -> dict[str, str]:
         "remote_flag": f"""select doc_id, case when text is null or trim(regexp_replace(text, '{_W}+', ' ', 'g')) = '' then null when {word('text', 'the|der')} then true when {word('text', 'de|of')} then false end as remote from documents""",
         "skill_longest_match": found,
         "skill_longest_match_native": found,
+        "skill_full_catalog": _full_catalog(),
+        "role_many_phrases": """with c as (select c_custkey, case when c_custkey % 50 <> 0 then 't ' || cast(c_custkey * 7919 as varchar) end as t, lower(c_mktsegment) as d from customer),
+          n as (select c_custkey, min(cast(substr(t, k, 3) as integer) % 16) as g from (select c_custkey, t, unnest(range(3, length(t) - 1)) as k from c) where cast(substr(t, k, 3) as integer) % 16 < 15 group by c_custkey)
+          select c.c_custkey, case when t is null or contains(t, '77') or contains(t, '4242') then null when g is not null then 'g' || cast(g as varchar) when contains(d, 'build') or contains(d, 'house') then 'text' else 'other' end as role
+          from c left join n on n.c_custkey = c.c_custkey""",
         "skill_canonical": """select p_partkey, case p_partkey % 5 when 0 then 'Token' when 1 then 'License' when 4 then p_name end as name,
           case p_partkey % 5 when 0 then 'language' when 1 then 'tool' when 4 then 'tool' end as category from part""",
         "resolve_ids": """with p as (select p_partkey as id, case when p_partkey % 2 = 0 then upper(p_name) else p_name end as name from part), f as (select name, min(id) as id from p group by name),

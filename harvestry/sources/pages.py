@@ -149,24 +149,35 @@ def crawl(jobs: DataFrame, fetcher: Callable[[str], tuple[str | None, bool]], pa
     return jobs.join(found, "id", "left").withColumn("description_full", F.coalesce(F.nullif("description_full", F.lit("")), "found")).drop("found")
 
 
+def _done(spark: SparkSession, path: str) -> bool:
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def crawl_in_steps(jobs: DataFrame, fetcher: Callable[[str], tuple[str | None, bool]], path: str, steps: int, pause: float = 2.0) -> DataFrame:
-    """As crawl(), in slices of ids whose pages are written to path one after the other: after a crash the slices that are there aren't asked again."""
-    spark, fs = jobs.sparkSession, None
+    """As crawl(), in slices of ids whose answers are written to path one after the other.
+
+    A run asks what no answer is there for: after a crash the slices that ended aren't asked again, and of a slice
+    whose pages were throttled those are asked that were left; a page without text counts as answered.
+    """
+    spark = jobs.sparkSession
+    answers = spark.createDataFrame([], "id bigint, found string")
     for k in range(steps):
-        part = f"{path}/step={k}"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{part}/_SUCCESS")
-        fs = fs or hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            crawled(lacking(jobs).filter(F.pmod(F.xxhash64("id"), F.lit(steps)) == k), fetcher, pause).write.mode("overwrite").parquet(part)
-    found = spark.read.schema("id bigint, found string").parquet(*[f"{path}/step={k}" for k in range(steps)])
-    return jobs.join(found, "id", "left").withColumn("description_full", F.coalesce(F.nullif("description_full", F.lit("")), "found")).drop("found")
+        runs = 0
+        while _done(spark, f"{path}/step={k}/run={runs}"):
+            answers = answers.union(spark.read.schema("id bigint, found string").parquet(f"{path}/step={k}/run={runs}"))
+            runs += 1
+        left = lacking(jobs).filter(F.pmod(F.xxhash64("id"), F.lit(steps)) == k).join(answers.select("id"), "id", "left_anti")
+        if not left.isEmpty():
+            crawled(left, fetcher, pause).write.mode("overwrite").parquet(f"{path}/step={k}/run={runs}")
+            answers = answers.union(spark.read.schema("id bigint, found string").parquet(f"{path}/step={k}/run={runs}"))
+    return jobs.join(answers, "id", "left").withColumn("description_full", F.coalesce(F.nullif("description_full", F.lit("")), "found")).drop("found")
 
 
 def resume(spark: SparkSession, *stages: tuple[str, Callable[[], DataFrame]]) -> DataFrame:
     """The first (path, make) stage whose table is there, read; if none is, the last one is made, written and read."""
     for path, _ in stages:
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        if _done(spark, path):
             return spark.read.parquet(path)
     path, make = stages[-1]
     make().write.mode("overwrite").parquet(path)

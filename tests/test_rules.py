@@ -268,3 +268,20 @@ def test_reports_and_summaries(spark, tmp_path):
     assert report.growth(3, 2) == 50.0 and report.growth(3, 0) == 0.0
     store.write_summary(str(tmp_path / "s.json"), {"status": "ok"})
     assert store.read_summary(str(tmp_path / "s.json")) == {"status": "ok"} and store.read_summary(str(tmp_path / "none"))["status"] == "failed"
+
+
+def test_throttled_pages_are_asked_again(spark, tmp_path):
+    jobs_ = spark.createDataFrame([(i, f"u{i}", None) for i in range(30)], "id bigint, url string, description_full string").coalesce(1)
+    path = str(tmp_path / "c")
+    busy = pages.crawl_in_steps(jobs_, lambda u: (None, True), path, 2, 0.0)
+    assert busy.filter("description_full is not null").count() == 0
+    some = pages.crawl_in_steps(jobs_, lambda u: ("t", False) if u != "u7" else (None, u == "u7"), path, 2, 0.0)
+    assert some.filter("description_full = 't'").count() == 29
+    asked = str(tmp_path / "asked")
+
+    def last(u):
+        with open(asked, "a") as f:
+            f.write(u + "\n")
+        return "late", False
+
+    assert pages.crawl_in_steps(jobs_, last, path, 2, 0.0).filter("description_full = 'late'").count() == 1 and open(asked).read() == "u7\n"
