@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 RATE, DAYS, DAILY, YEARLY, ERROR = 0.2342, 220, 5_000, 20_000, 1_500_000
 
 
+def number(c: Column) -> Column:
+    """c, null where it is NaN, which counts as missing everywhere."""
+    return F.when(~F.isnan(c.cast("double")), c)
+
+
 def euros(country: Column, low: Column, high: Column) -> tuple[Column, Column]:
     """Both ends of a pay range in euro: for Poland by the larger end's size, unchanged elsewhere; rounded half to even."""
+    low, high = number(low), number(high)
     ref = F.greatest(low, high)  # skips nulls
 
     def end(v: Column) -> Column:
@@ -24,7 +30,7 @@ def euros(country: Column, low: Column, high: Column) -> tuple[Column, Column]:
 
 def middle(low: Column, high: Column) -> Column:
     """The range's middle, half to even; null if an end lacks."""
-    return F.bround((low.cast("double") + high.cast("double")) / 2, 0).cast("int")
+    return F.bround((number(low).cast("double") + number(high).cast("double")) / 2, 0).cast("int")
 
 
 def whole(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,8 @@ from ..functions.roles import canonical_skill
 from ..schema import ROLES
 from .store import insert_ignore, upsert_skills
 
+#: Seconds that a request for one job and one for a batch may take.
+ONE_TIMEOUT, BATCH_TIMEOUT = 15, 120
 ANSWER = "id bigint, role_category string, skills array<string>, is_tech boolean, answered boolean"
 
 
@@ -61,6 +64,17 @@ def results(reply: str | None) -> list[dict]:
     return []
 
 
+def http_post(url: str, timeout: float = BATCH_TIMEOUT) -> Callable[[dict], str]:
+    """post(request) -> the reply's text, for llm_classifier(), from a server that takes and returns JSON; OSError or ValueError where it doesn't answer in time or not so."""
+
+    def post(request: dict) -> str:
+        body = urllib.request.Request(url, json.dumps(request).encode(), {"Content-Type": "application/json"})  # noqa: S310
+        with urllib.request.urlopen(body, timeout=timeout) as r:  # noqa: S310
+            return json.loads(r.read())["response"]
+
+    return post
+
+
 def llm_classifier(post: Callable[[dict], str], model: str, roles: list[str]) -> Callable[[list[dict]], list[dict]]:
     """A classifier for classify() that asks a language model: post takes the request and returns the reply's text."""
 

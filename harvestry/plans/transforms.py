@@ -9,6 +9,7 @@ from ..functions import automaton, pay, text
 from ..functions.catalog import DEFAULT, Catalog
 from ..functions.roles import canonical_skill, role, skills, skills_native
 from ..operators import enrich, store
+from ..operators.quantiles import quantiles
 from ..sources import cube
 from .registry import model
 from .standins import AS_OF, TABLES
@@ -112,6 +113,22 @@ def upsert_latest(spark, d):
     return store.upsert_by_key(batch(True), batch(False), ["id"])
 
 
+def upsert_load(spark, d):
+    """A load of jobs by the rules of upsert_jobs and deactivate: some are there, some come back, some values are null."""
+    j = model(spark, d)["jobs"].select("id", "title", "role_category", "is_active", "posted_at")
+    seen = lambda day: F.lit(day).cast("timestamp_ntz")
+    old = j.filter("id % 3 <> 0").withColumns({"first_seen_at": F.col("posted_at"), "last_seen_at": seen("2001-01-01"), "ingested_at": seen("2001-01-01")})
+    new = j.filter("id % 4 = 0 or id % 3 = 0").select("id", F.concat(F.lit("new "), "title").alias("title"), F.when(F.col("id") % 8 != 0, F.col("role_category")).alias("role_category"), F.when(F.col("id") % 5 != 0, F.col("posted_at") + F.expr("interval 100 day")).alias("posted_at"))
+    repeated = new.union(new.filter("id % 12 = 0").withColumn("title", F.lit("later"))).withColumn("batch_pos", (F.col("title") == "later").cast("int"))
+    return store.deactivate(store.upsert_jobs(old, repeated, seen(AS_OF)), seen(AS_OF))
+
+
+def exact_quantiles(spark, d):
+    """Quantiles of prices by flag, whose groups hold a third of all rows and more, and whose values hardly repeat."""
+    at = {"p05": 0.05, "p50": 0.5, "p99": 0.99}
+    return quantiles(_t(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", at, few=2_000).select("l_returnflag", *[F.round(k, 4).alias(k) for k in at])
+
+
 def insert_ignore(spark, d):
     links = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_partkey").alias("skill_id"), "l_linenumber")
     return store.insert_ignore(links.filter("l_linenumber <= 2").select("job_id", "skill_id").distinct(), links.filter("l_linenumber > 1").select("job_id", "skill_id"), ["job_id", "skill_id"])
@@ -150,7 +167,7 @@ def relink_alias(spark, d):
 
 FUNCTIONS = (
     clean_lines, normalise_string, remote_flag, role_first_match, skill_longest_match, skill_longest_match_native, skill_full_catalog, role_many_phrases, skill_canonical, pln_rules, salary_mid, contract_fields, content_hash, selected_text, merge_policy, json_props,
-    upsert_latest, insert_ignore, bulk_update, resolve_ids, sdmx_unravel, deactivate_old, relink_alias,
+    upsert_latest, upsert_load, exact_quantiles, insert_ignore, bulk_update, resolve_ids, sdmx_unravel, deactivate_old, relink_alias,
 )
 
 
@@ -225,6 +242,13 @@ def oracle_sql() -> dict[str, str]:
           w as (select *, case when b = 'cloud' then false when not tech then true else p = 'devops' end as write from j) select id, write, case when write and tech then p when write then null else b end as role from w""",
         "json_props": "select event_id, cast(json_extract(props, '$.k') as integer) as k from events",
         "upsert_latest": "with e as (select *, row_number() over (partition by user_id order by ts >= timestamp '2024-01-15' desc, ts desc, event_id desc) as n from events) select user_id as id, event_id, event_type, value from e where n = 1",
+        "upsert_load": f"""{_JOBS}, o as (select * from jobs where id % 3 <> 0), n as (select id, 'new ' || title as title, case when id % 8 <> 0 then role_category end as role_category, case when id % 5 <> 0 then posted_at + interval 100 day end as posted_at
+            from jobs where id % 4 = 0 or id % 3 = 0),
+          a as (select coalesce(n.id, o.id) as id, case when n.id is null then o.title else n.title end as title, case when n.id is null then o.role_category else n.role_category end as role_category, case when n.id is null then o.is_active else true end as is_active,
+            case when n.id is null then o.posted_at else n.posted_at end as posted_at, case when o.id is null then timestamp '{AS_OF}' else o.posted_at end as first_seen_at, case when n.id is null then timestamp '2001-01-01' else timestamp '{AS_OF}' end as last_seen_at,
+            case when o.id is null then timestamp '{AS_OF}' else timestamp '2001-01-01' end as ingested_at from o full join n on n.id = o.id)
+          select * replace (is_active and coalesce(posted_at >= timestamp '{AS_OF}' - interval 90 day, true) as is_active) from a""",
+        "exact_quantiles": "select l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) as p05, round(quantile_cont(l_extendedprice, 0.5), 4) as p50, round(quantile_cont(l_extendedprice, 0.99), 4) as p99 from lineitem group by l_returnflag",
         "insert_ignore": "select distinct l_orderkey as job_id, l_partkey as skill_id from lineitem",
         "bulk_update": f"{_JOBS} select id, case when id % 12 = 0 then 'cloud' when id % 6 = 0 then null else role_category end as role_category from jobs",
         "sdmx_unravel": "select 'g' || cast(n_nationkey // 5 as varchar) as country_code, cast(2019 + n_nationkey % 5 as smallint) as year, cast(n_nationkey * 1.5 as double) as value from nation",

@@ -92,10 +92,11 @@ def page_text(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 def embedded(html: Column) -> Column:
-    """The first description of over 100 characters in a script that holds JSON and isn't larger than 50 000 characters."""
+    """The first description of over 100 characters in a script of at most 50 000 characters: the member of the JSON that the script is, else the first one anywhere in it, at any depth and also where the script isn't JSON, with its escapes resolved; trimmed."""
     scripts = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), lambda s: s.contains("description") & (F.length(s) <= LARGEST))
-    found = F.transform(scripts, lambda s: F.coalesce(F.get_json_object(s, "$.description"), F.nullif(F.regexp_extract(s, r'"description"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))))
-    return F.get(F.filter(found, lambda d: F.length(d) > LEAST), F.lit(0))
+    inner = lambda s: F.nullif(F.regexp_extract(s, r'"description"\s*:\s*("(?:[^"\\]|\\.)*")', 1), F.lit(""))
+    found = F.flatten(F.transform(scripts, lambda s: F.array(F.get_json_object(s, "$.description"), F.get_json_object(F.concat(F.lit('{"d":'), inner(s), F.lit("}")), "$.d"))))
+    return F.btrim(F.get(F.filter(found, lambda d: F.length(d) > LEAST), F.lit(0)), F.lit(" \t\n\r"))
 
 
 def patient(get: Callable[[str], tuple[int, str | None]], extract: Callable[[str | None], str | None] = text_of, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], tuple[str | None, bool]]:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import Merge, Store, deactivate, insert_ignore, upsert_jobs
-from ..schema import JOBS, empty
+from ..operators.store import Merge, Store, deactivate, insert_ignore, upsert_by_key, upsert_jobs
+from ..schema import CONTEXT, JOBS, empty
 
 
 def load(store: Store, spark: SparkSession, jobs: DataFrame, links: DataFrame | None = None, now=None, key: str = "") -> str | None:
@@ -33,6 +33,15 @@ def load(store: Store, spark: SparkSession, jobs: DataFrame, links: DataFrame |
     return store.publish(out, key)
 
 
+def load_context(store: Store, context: DataFrame, key: str = "") -> str | None:
+    """Rows of the context table replace those of their country, year and indicator; the table has a row for each of these, so it is written whole."""
+    if key and store.published(key):
+        return None
+    old = store.read("context")
+    rows = context.select("country_code", "year", "indicator", "value")
+    return store.publish({"context": upsert_by_key(empty(store.spark, CONTEXT) if old is None else old, rows, ["country_code", "year", "indicator"])}, key)
+
+
 def follow(spark: SparkSession, path: str, schema: str, store: Store, checkpoint: str, now=None) -> StreamingQuery:
     """Files of jobs as they arrive. A batch is published under its number, so one that runs again after it was published is left out.
 

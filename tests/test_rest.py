@@ -17,7 +17,7 @@ class Stub:
     """pages: country -> list of pages of records; broken: paths that fail so many times; asked: what was asked, in order."""
 
     def __init__(self):
-        self.pages, self.broken, self.asked, self.text, self.times = {}, Counter(), [], {}, []
+        self.pages, self.broken, self.asked, self.text, self.times, self.reply, self.slow = {}, Counter(), [], {}, [], "", 0
         stub = self
 
         class Handler(BaseHTTPRequestHandler):
@@ -44,6 +44,14 @@ class Stub:
                 self.end_headers()
                 self.wfile.write(body.encode())
 
+            def do_POST(self):  # noqa: N802
+                asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                stub.asked.append((self.path, asked))
+                time.sleep(stub.slow)
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(json.dumps({"response": stub.reply}).encode())
+
             def log_message(self, *a):
                 pass
 
@@ -154,3 +162,29 @@ def test_crawl_stream(spark, stub, tmp_path):
     assert dict(answers()) == got | {5: "text 5", 20: "text 7"} and len(answers()) == 10
     again = Counter(p for p, _ in stub.asked)
     assert all(again[p] == asked[p] for p in asked if p != "/page/5")  # nothing is asked twice
+
+
+def test_classifier_over_http(spark, stub):
+    from harvestry.operators.enrich import classify, http_post, llm_classifier
+    from harvestry.schema import ROLES
+
+    stub.reply = 'Here: {"results": [{"role_category": "cloud", "skills": ["AWS"], "is_tech": true}, {"role_category": "devops", "skills": [], "is_tech": "no"}]}'
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], "id bigint, title string, text string").coalesce(1)
+    ask = lambda timeout: {r.id: r for r in classify(rows, llm_classifier(http_post(stub.url + "/generate", timeout), "m", ROLES), 2).collect()}
+    got = ask(5)
+    assert (got[1].role_category, got[1].skills, got[2].is_tech, got[3].role_category) == ("cloud", ["AWS"], False, "cloud")
+    assert stub.asked[0][1]["model"] == "m" and stub.asked[0][1]["stream"] is False and len(stub.asked) == 2
+    stub.slow = 1
+    assert all(r.role_category is None for r in ask(0.2).values())
+
+
+def test_context_is_loaded(spark, tmp_path):
+    from harvestry.operators.versions import Store
+    from harvestry.streaming.ingest import load_context
+
+    s = Store(spark, str(tmp_path / "s"))
+    rows = lambda *v: spark.createDataFrame(v, "country_code string, year int, indicator string, value double").select("country_code", F.col("year").cast("smallint").alias("year"), "indicator", F.col("value").cast("decimal(5,2)").alias("value"))
+    load_context(s, rows(("de", 2020, "r", 1.0), ("fr", 2020, "r", 2.0)), "a")
+    load_context(s, rows(("de", 2020, "r", 3.0), ("de", 2021, "r", 4.0)), "b")
+    assert load_context(s, rows(("de", 2020, "r", 9.0)), "b") is None
+    assert sorted((r.country_code, r.year, float(r.value)) for r in s.read("context").collect()) == [("de", 2020, 3.0), ("de", 2021, 4.0), ("fr", 2020, 2.0)]
