@@ -90,7 +90,7 @@ def tool_traffic(conversations: DataFrame) -> DataFrame:
     another id (4), two calls of one id (5), no result (6), a nested argument that the tool doesn't know (7).
     """
     m = conversations.select("conv_id", (F.col("turn").cast("long") * 4).alias("turn"), "role", "text")
-    a = m.filter(F.lower(F.trim("role")) == "assistant").withColumn("v", F.pmod(F.col("conv_id") + F.floor(F.col("turn") / 4), F.lit(8)))
+    m = m.withColumn("v", F.when(F.lower(F.trim("role")) == "assistant", F.pmod(F.col("conv_id") + F.floor(F.col("turn") / 4), F.lit(8))))
     json, v = chat.json_text, F.col("v")
     right = F.concat(F.lit('{"query":'), json(F.substring(F.coalesce("text", F.lit("")), 1, 40)), F.lit(',"limit":'), F.col("turn").cast("string"), F.lit("}"))
     args = (
@@ -100,10 +100,12 @@ def tool_traffic(conversations: DataFrame) -> DataFrame:
     call_id = F.concat(F.lit("c"), F.col("turn").cast("string"))
     one = F.concat(F.lit('{"id":'), json(call_id), F.lit(',"name":"'), F.when(v == 4, "nope").otherwise("search"), F.lit('","arguments":'), args, F.lit("}"))
     text = F.concat(F.when(v == 0, '{"content":"Let me see","tool_calls":[').otherwise('{"tool_calls":['), one, F.when(v == 5, F.concat(F.lit(","), one)).otherwise(""), F.lit("]}"))
-    calls = a.select("conv_id", (F.col("turn") + 1).alias("turn"), "role", text.alias("text"))
     answer = F.concat(F.lit('{"tool_call_id":'), json(F.when(v == 4, "zz").otherwise(call_id)), F.lit(',"content":"r"}'))
-    results = a.filter(v != 6).select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit("tool").alias("role"), answer.alias("text"))
-    return m.unionByName(calls).unionByName(results)
+    said = lambda after, role, what: F.struct((F.col("turn") + after).alias("turn"), role.alias("role"), what.alias("text"))
+    own = said(0, F.col("role"), F.col("text"))
+    called, answered = said(1, F.col("role"), text), said(2, F.lit("tool"), answer)
+    rows = F.when(v.isNull(), F.array(own)).when(v == 6, F.array(own, called)).otherwise(F.array(own, called, answered))
+    return m.select("conv_id", F.explode(rows).alias("r")).select("conv_id", "r.*")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,16 +209,16 @@ c as (select *, case v when 2 then '{"limit":1}' when 3 then '{"query":5}' when
     case v when 4 then 'nope' else 'search' end as name from a),
 n as (select *, unnest(case v when 5 then [0, 1] else [0] end) as pos from c),
 o as (
-  select conv_id, turn, role, cast(null as varchar) as call_id, turn as anchor_turn, 0 as step, 'plain' as status,
+  select conv_id, turn, role, cast(null as varchar) as call_id, turn as anchor_turn, 0 as step, 0 as pos, 'plain' as status,
     '{"content":' || cast(to_json(text) as varchar) || ',"role":' || cast(to_json(role) as varchar) || '}' as message from m
   union all
-  select conv_id, turn + 1, 'assistant', null, turn + 1, 0, 'plain', '{"content":"Let me see","role":"assistant"}' from a where v = 0
+  select conv_id, turn + 1, 'assistant', null, turn + 1, 0, 0, 'plain', '{"content":"Let me see","role":"assistant"}' from a where v = 0
   union all
-  select conv_id, turn + 1, 'assistant', id, turn + 1, 1,
+  select conv_id, turn + 1, 'assistant', id, turn + 1, 1, pos,
     case when pos = 1 then 'duplicate' else case v when 2 then 'missing_argument' when 3 then 'bad_type' when 4 then 'unknown_tool' when 6 then 'no_result' when 7 then 'unknown_argument' else 'ok' end end,
     '{"arguments":' || args || ',"id":"' || id || '","name":"' || name || '","role":"assistant"}' from n
   union all
-  select conv_id, turn + 2, 'tool', case v when 4 then 'zz' else id end, turn + 2, 2, case v when 4 then 'orphan' else 'linked' end,
+  select conv_id, turn + 2, 'tool', case v when 4 then 'zz' else id end, turn + 2, 2, 0, case v when 4 then 'orphan' else 'linked' end,
     '{"content":"r","role":"tool","tool_call_id":"' || case v when 4 then 'zz' else id end || '"}' from a where v <> 6)
 select * from o
 """

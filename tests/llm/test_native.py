@@ -146,6 +146,32 @@ def test_chat_arguments_as_text_and_types(spark):
     assert empty.count() == 0
 
 
+def test_chat_forms_of_calls(spark):
+    wire = {"id": "c1", "type": "function", "function": {"name": "search", "arguments": '{"query": "x", "limit": 5.0}'}}
+    rows = [
+        (1, 0, "assistant", json.dumps({"tool_calls": [wire, dict(wire, id="c2", function=dict(wire["function"], strict=True)), dict(wire, id="c3", type="custom", note=[1])], "refusal": None, "name": "me"})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "c1", "content": [{"type": "text", "text": "r"}], "is_error": False})),
+        (1, 2, "assistant", '{"tool_calls": [{"id": "c4", "name": "search", "arguments": {"query": "a", "query": "b"}}]}'), (1, 3, "assistant", '{"tool_calls": {"id": "c5"}}'),
+        (1, 4, "assistant", json.dumps({"tool_calls": [{"id": "c6", "name": "convert", "arguments": {"amount": 5, "unit": "m"}}, {"id": "c7", "name": "odd", "arguments": {"x": 1}}, {"id": "c8", "name": "search", "arguments": '{"query": 1, "query": 2}'}]})),
+        (1, 5, "assistant", json.dumps({"tool_calls": [1]})), (1, 6, "user", json.dumps({"tool_calls": None, "content": "x"})), (None, 7, "tool", json.dumps({"tool_call_id": "c1", "content": "r"})),
+        (1, 8, "assistant", json.dumps({"tool_calls": [{"id": "c9", "name": "search", "function": {"name": "other"}}]})),
+    ]
+    tools = spark.createDataFrame([*queries.TOOLS, ("odd", "x", "date", False)], "name string, param string, type string, required boolean")
+    docs = spark.createDataFrame([(*r, "a", "b", 1) for r in rows], "conv_id long, turn long, role string, text string, call_id string, message string, kind int")
+    got = sorted(chat.link_chat(docs, tools).collect(), key=lambda r: (r.turn, r.step, r.pos))
+    assert [(r.turn, r.step, r.pos, r.call_id, r.status) for r in got] == [
+        (0, 0, 0, None, "plain"), (0, 1, 0, "c1", "ok"), (0, 1, 1, "c2", "no_result"), (0, 1, 2, "c3", "no_result"), (1, 2, 0, "c1", "linked"), (2, 0, 0, None, "plain"), (3, 0, 0, None, "plain"),
+        (4, 1, 0, "c6", "no_result"), (4, 1, 1, "c7", "bad_type"), (4, 1, 2, "c8", "bad_type"), (5, 0, 0, None, "plain"), (6, 0, 0, None, "plain"), (7, 2, 0, "c1", "orphan"), (8, 1, 0, "c9", "missing_argument"),
+    ]
+    by = {(r.turn, r.step, r.pos): json.loads(r.message) for r in got}
+    assert by[0, 0, 0] == {"content": "", "extra": {"name": "me", "refusal": None}, "role": "assistant"} and by[0, 1, 0] == {"arguments": {"limit": 5, "query": "x"}, "id": "c1", "name": "search", "role": "assistant"}
+    assert by[0, 1, 1]["extra"] == {"function": dict(wire["function"], strict=True)} and by[0, 1, 2]["extra"] == {"note": [1], "type": "custom"} and by[1, 2, 0]["extra"] == {"is_error": False}
+    assert json.loads(by[1, 2, 0]["content"]) == [{"text": "r", "type": "text"}] and by[8, 1, 0]["extra"] == {"function": {"name": "other"}} and by[4, 1, 2]["arguments"] == '{"query": 1, "query": 2}'
+    assert all(by[t, 0, 0]["content"] == rows[t][3] for t in (2, 3, 5, 6))
+    for r in got:
+        assert json.dumps(json.loads(r.message), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r.message
+
+
 def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", 1, 2, 3, 4, 5), (1, "a b c", "s", 1, 2, 3, 4, 5), (2, None, None, 0, 0, 0, 0, 0)], "doc_id long, text string, source string, size int, row int, `part` int, __row int, `a.b` int")
     assert mixing.mixed_documents(docs).columns == docs.columns and sorted(r["row"]["row"] for r in mixing.mix_sources(docs).collect()) == [0, 2, 2]
