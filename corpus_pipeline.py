@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; of rows that repeat an id one stays, rows without an id stay."""
+    """One document of each group of near duplicates, the one with the smallest id; rows that repeat an id are judged each by its own text, and one of them stays; rows without an id stay."""
     return dedup.keep_first(docs)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import all_columns, free_name, give_back, stage
+from .shared import all_columns, free_name, give_back, quoted, stage
 from .textnum import mix, pieces, shingles, words
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -297,19 +297,8 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, n_rows) for each row of docs (doc_id, text): the smallest id of its class, and the rows that share id and text.
-
-    Words are runs of letters and digits in lower case; texts with the same words are copies of each other and are
-    compared once. Null texts count as empty, texts without words are copies of each other, and those of fewer than
-    width words have one shingle. A null id stays null and counts after all others: class_id is null only where no
-    row of the class has an id. Of rows that repeat an id with different texts each is compared with its own text.
-    Ties don't occur: a class takes its smallest id. Very long texts are worked through in blocks, an empty table
-    gives an empty result, and other columns of docs play no part whatever their names.
-
-    Copies are linked; different texts by candidates(), central() and verify(), and where a bucket's members still
-    differ by left_over() and verify(); classes are connected components.
-    """
+def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """All rows of docs as (doc_id, raw, node), and their texts as (node, label, rep, raw): a text's class, and the smallest id that it has and its hash there."""
     all_rows = stage(sketch(docs, width, bands, rows), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "raw")).alias("first")
     nodes = all_rows.groupBy("node").agg(first, F.max("keys").alias("keys")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.raw").alias("raw"), "keys")
@@ -325,7 +314,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     links, pairs = links.union(stage(verify(second, sets, similarity).select("a", "b"), "verified")), pairs.union(second)
     more = stage(left_over(met, components(links), sets, similarity).join(pairs, ["a", "b"], "left_anti"), "more")
     label = components(links.union(verify(more, sets, similarity).select("a", "b")))
-    classed = nodes.select("node", "id", "rep").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return all_rows.select("doc_id", "raw", "node"), with_label(nodes.select("node", "id", "rep", "raw"), label).drop("id")
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id, n_rows) for each row of docs (doc_id, text): the smallest id of its class, and the rows that share id and text.
+
+    Words are runs of letters and digits in lower case; texts with the same words are copies of each other and are
+    compared once. Null texts count as empty, texts without words are copies of each other, and those of fewer than
+    width words have one shingle. A null id stays null and counts after all others: class_id is null only where no
+    row of the class has an id. Of rows that repeat an id with different texts each is compared with its own text.
+    Ties don't occur: a class takes its smallest id. Very long texts are worked through in blocks, an empty table
+    gives an empty result, and other columns of docs play no part whatever their names.
+
+    Copies are linked; different texts by candidates(), central() and verify(), and where a bucket's members still
+    differ by left_over() and verify(); classes are connected components.
+    """
+    all_rows, classed = classes(docs, **how)
     smallest = classed.groupBy("label").agg(F.min("rep").alias("class_id"))
     by_node = classed.join(smallest, "label").select("node", "class_id")
     alike = all_rows.groupBy("doc_id", "node").agg(F.count("*").alias("n_rows"))
@@ -334,9 +339,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each class: the one with the smallest id. Of rows that repeat an id the one with the smallest hash stays; rows without an id stay. Columns may have any names."""
-    kept, row, key = (free_name(docs, n) for n in ("__class", "__row", "__id"))
-    classes = near_duplicates(docs, **how).filter("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.min("class_id").alias(kept))
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    out = docs.join(classes, F.col("doc_id").cast("long") == F.col(key), "left").withColumn(row, F.row_number().over(order))
-    return out.filter(F.col("doc_id").isNull() | (F.col(kept) == F.col("doc_id")) & (F.col(row) == 1)).select(*all_columns(docs))
+    """docs with one row of each class of near duplicates: its text with the smallest id.
+
+    Each row is judged by its own text's class, also where its id is repeated. Of an id one row stays: where several
+    texts of one id would, the one with the smallest hash. Rows without an id stay. Only rows that stay meet in the join,
+    by id and text. Columns may have any names.
+    """
+    _, classed = classes(docs, **how)
+    key, text, row = (free_name(docs, n) for n in ("__id", "__text", "__row"))
+    first = classed.filter("rep is not null").groupBy("label").agg(F.min(F.struct("rep", "raw")).alias("first"))
+    kept = first.select(F.col("first.rep").alias(key), F.col("first.raw").alias(text))
+    here = (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text))
+    once = Window.partitionBy(key).orderBy(text)
+    found = docs.filter(F.col("doc_id").isNotNull()).join(kept, here).withColumn(row, F.row_number().over(once)).filter(F.col(quoted(row)) == 1)
+    return found.select(*all_columns(docs)).unionByName(docs.filter(F.col("doc_id").isNull()))

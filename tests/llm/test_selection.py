@@ -144,3 +144,13 @@ def test_exact(spark, table_bytes, hashes):
 def test_table_compares_contents():
     t = exact.Table(4)
     assert [t.put(h % 3, b"%d" % (h % 7), h) for h in range(21)] == [t.put(h % 3, b"%d" % (h % 7), 99) for h in range(21)]
+
+
+def test_rows_of_one_id_have_their_own_classes(spark):
+    from harvestry.llm import dedup
+
+    words = lambda seed: " ".join(random.Random(seed).choices([f"w{k}" for k in range(400)], k=120))
+    b, c = words(1), words(2)
+    kept = lambda rows: sorted((r.doc_id or -1, r.text) for r in dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string, `__id` string")).collect())
+    assert kept([(3, c, "x"), (7, b, "x"), (7, c + " y", "x")]) == sorted([(3, c), (7, b)])
+    assert kept([(7, b, "x"), (7, b, "x"), (8, b + " y", None), (None, b, None), (None, b, None)]) == sorted([(7, b), (-1, b), (-1, b)])
