@@ -83,6 +83,18 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % modulus == remainder, F.lit(False))
 
 
+_kept: dict[str, object] = {}
+
+
+def release(but: str | None = None) -> None:
+    """Drop what a worker keeps from task to task, but for one name: workers serve other stages next and count in their executor's memory."""
+    gone = [k for k in _kept if k != but]
+    for k in gone:
+        del _kept[k]
+    if gone:
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system, at the end of a task: workers stay for the next one and count in their executor's memory."""
     pa.default_memory_pool().release_unused()

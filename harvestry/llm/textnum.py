@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .shared import give_back
+from .shared import give_back, release
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _tables: dict[str, np.ndarray] = {}
@@ -110,8 +110,9 @@ def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tuple[n
     return runs[keep], doc[keep]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES, rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches of about so many bytes and rows at most (one text at least), with their texts; null is empty."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES, rows: int = 2000, keep: str | None = None) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches of about so many bytes and rows at most (one text at least), with their texts; null is empty. Of what the worker kept from earlier tasks only keep stays."""
+    release(keep)
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, size = 0, 0

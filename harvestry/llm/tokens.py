@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .shared import give_back, stage, stage_path
+from .shared import _kept, give_back, release, stage, stage_path
 from .textnum import pieces
 
 #: A block ends with the document that brings it to so many tokens.
 BLOCK_TOKENS = 1 << 19
-CACHED = 400_000
+CACHED = 300_000
 #: What the word vocabulary's file says of its splits: none of them crosses white space.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters beyond those for which Python's lower case and white space agree with the library's normaliser.
@@ -103,9 +103,6 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, parts))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """(shard, seq, doc_id, n_tokens, ids, counts): the rows of docs by ascending doc_id (null first, ties by the text's hash), dealt by ranges.
 
@@ -117,11 +114,11 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     names = ["shard", "seq", "doc_id", "n_tokens", "ids", "counts"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, Encoder(vocabulary))
+        e = _kept.get(vocabulary) or _kept.setdefault(vocabulary, Encoder(vocabulary))
         end = np.array([end_id], e.kind).tobytes()
         shard, seq = TaskContext.get().partitionId(), 0
         total = np.zeros(e.size, np.int64)
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, keep=vocabulary):
             ids = [e.encode(t) + end for t in texts]
             n = len(ids)
             total += np.bincount(np.frombuffer(b"".join(ids), e.kind), minlength=e.size)
@@ -161,6 +158,7 @@ def write_blocks(tokens: DataFrame, table: rans.Table, size: int, block_tokens:
     shared = tokens.sparkSession.sparkContext.broadcast(table)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         t = shared.value
         docs: list[tuple[int | None, bytes]] = []
         at, held = (-1, 0), 0
@@ -197,6 +195,7 @@ def block_starts(files: DataFrame) -> DataFrame:
 
 def _documents(batches: Iterator[pa.RecordBatch], table: rans.Table) -> Iterator[tuple[dict, np.ndarray, list[bytes]]]:
     """Each block of files: its row, where its documents begin, and their ids as little-endian u32."""
+    release()
     for batch in batches:
         for k in range(batch.num_rows):
             r = batch.slice(k, 1).to_pylist()[0]
