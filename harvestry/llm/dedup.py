@@ -102,7 +102,7 @@ def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     """(doc_id, raw, node, keys): hashes of the text as it is and, in 128 bits, of its words; the band keys, by weighted and by distinct shingles (none if it has no shingle)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, most=700_000):
+        for batch, texts in pieces(batches, most=400_000):
             s, doc, weight, whole = weighted(texts, width)
             n, some = len(texts), np.bincount(doc, minlength=len(texts)) > 0
             keys = [k if m else [] for k, m in zip(band_keys(signatures(s, doc, weight, n, bands * rows), bands), some, strict=True)]
@@ -127,7 +127,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(id, hashes, weights) of docs (id, text): sorted hashes as uint32 and, unless all are 1, weights as uint32; shingles that share a hash count as one."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, most=500_000):
             s, doc, weight, _ = weighted(texts, width)
             cut = np.searchsorted(doc, np.arange(len(texts) + 1))
             hashes, weights = [], []

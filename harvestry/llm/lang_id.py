@@ -129,7 +129,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model | None:
     taken = known.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, rows=300):
+        for batch, texts in pieces(batches, most=400_000, rows=150):
             x, letters = features(texts)
             rows = np.flatnonzero(letters)
             yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(rows)), pa.array([r.astype(np.float16).tobytes() for r in x[rows]], pa.binary())], ["lang", "x"])
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model | None, *keep: str, names: tuple[str,
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch, texts in pieces(batches, rows=300):
+        for batch, texts in pieces(batches, most=400_000, rows=150):
             x, letters = features(texts)
             lang, score = m.predict(x) if m else (["und"] * len(texts), np.zeros(len(texts)))
             lang = [v if n else "und" for v, n in zip(lang, letters, strict=True)]

@@ -118,7 +118,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
         end = np.array([end_id], e.kind).tobytes()
         shard, seq = TaskContext.get().partitionId(), 0
         total = np.zeros(e.size, np.int64)
-        for batch, texts in pieces(batches, keep=vocabulary):
+        for batch, texts in pieces(batches, most=500_000, keep=vocabulary):
             ids = [e.encode(t) + end for t in texts]
             n = len(ids)
             total += np.bincount(np.frombuffer(b"".join(ids), e.kind), minlength=e.size)
