@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import all_columns, free_name, stage
@@ -10,7 +10,7 @@ from .shared import all_columns, free_name, stage
 WIDTH = 5
 #: Units that follow a number; fixed values.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|s|ms|min|h|hours|minutes|seconds|days|years|usd|eur|gbp|dollars|euros|cents|percent|meters|metres|miles|feet|inches|litres|liters|grams|kilograms|°c|°f|%|€|\\$|£"
-#: Above so many windows the benchmark's side isn't broadcast but joined by shuffle.
+#: Above so many distinct windows (8 bytes each) the benchmark's hashes aren't broadcast but joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 #: Words by which windows of one occurrence may be shifted against each other: names have more or fewer words.
 DRIFT = 8
@@ -91,59 +91,77 @@ def _windows(docs: DataFrame, id_column: str, width: int, short: list[int], whol
     return w.select("id", "row", "at", slots.alias("slots"), F.explode(hashes).alias("x")).filter("x.h is not null").select("id", "row", "at", "x.*", "slots")
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+def _rarest(windows: DataFrame, name: str, share: float) -> DataFrame:
+    """(item_id, h): of each item's distinct values of name those that the fewest items share, as many as any document with share of them must hold one of."""
+    item = Window.partitionBy("item_id")
+    v = windows.filter(F.col(name).isNotNull()).groupBy("item_id", name).agg(F.max("shared").alias("shared"))
+    v = v.select("item_id", name, F.row_number().over(item.orderBy("shared", name)).alias("place"), F.count("*").over(item).alias("n"))
+    v = v.filter(F.col("place") <= F.col("n") - F.ceil(share * F.col("n")) + 1)
+    return windows.join(v, ["item_id", name], "left_semi").select("item_id", "h")
 
 
-def _mapping(hits: Column) -> Column:
-    """(n, consistency) of matched windows: the distinct slot values of the item, by type, and the share that map to a single value."""
-    slots = F.filter(hits, lambda x: x["w"].isNotNull() & x["slots"].isNotNull() & x["item_slots"].isNotNull())
+def _mapping(matches: DataFrame, *key: str) -> DataFrame:
+    """(key, n, consistency) of matched windows: the distinct slot values of the item, by type, and the share that map to a single value; no row for keys without slots."""
     starts = lambda z, mark: z["now"].startswith(mark) | z["was"].startswith(mark)
     slot = lambda z: starts(z, "<") & ~(starts(z, "<s>") & (plain(z["now"]) == plain(z["was"])))
     typed = lambda c: F.replace(c, F.lit("<s>"), F.lit("<p>"))
-    both = lambda s: F.filter(F.arrays_zip(s["slots"].alias("now"), s["item_slots"].alias("was")), slot)
-    pairs = F.array_distinct(F.transform(F.flatten(F.transform(slots, both)), lambda z: F.struct(typed(z["now"]).alias("now"), typed(z["was"]).alias("was"))))
-    was = lambda p: F.array_distinct(F.transform(p, lambda z: z["was"]))
-    same = lambda p, w: F.filter(w, lambda x: F.size(F.filter(p, lambda z: z["was"] == x)) == 1)
-    return _let(pairs, lambda p: _let(was(p), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(F.size(w) > 0, F.size(same(p, w)) / F.size(w)).otherwise(F.lit(1.0)).alias("consistency"))))
+    slots = matches.filter("w is not null and slots is not null and item_slots is not null")
+    z = slots.select(*key, F.explode(F.filter(F.arrays_zip(F.col("slots").alias("now"), F.col("item_slots").alias("was")), slot)).alias("z"))
+    z = z.select(*key, typed(F.col("z.was")).alias("was"), typed(F.col("z.now")).alias("now"))
+    one = z.groupBy(*key, "was").agg(F.min("now").alias("least"), F.max("now").alias("most"))
+    return one.groupBy(*key).agg(F.count("*").alias("n"), (F.sum((F.col("least") == F.col("most")).cast("long")) / F.count("*")).alias("consistency"))
 
 
-def _distinct(hits: Column, field: str) -> Column:
-    return F.size(F.array_distinct(F.filter(F.transform(hits, lambda x: x[field]), lambda h: h.isNotNull()))).cast("long")
-
-
-def _aligned(hits: Column, n_windows: Column, share: float) -> Column:
-    """The best consistency of an occurrence that holds share of the item's windows; 0 if there is none.
+def _aligned(matches: DataFrame, share: float) -> DataFrame:
+    """(row, item_id, aligned): the best consistency of an occurrence that holds share of the item's windows; no row if there is none.
 
     An occurrence has one shift between the document's and the item's positions, DRIFT words apart at most; of an
-    item's window its nearest match counts.
+    item's window its nearest match counts. Matches meet the shifts of their own stretch of positions and its two
+    neighbours, so the work is linear in the matches however often a text repeats an item, and an occurrence's group
+    is no larger than the item allows.
     """
-    near = lambda d: F.filter(hits, lambda x: (F.abs(x["shift"] - d) <= DRIFT) & ~F.exists(hits, lambda y: (y["item_at"] == x["item_at"]) & (F.abs(y["shift"] - d) < F.abs(x["shift"] - d))))
-    judged = lambda s: F.when(_distinct(s, "w") >= share * n_windows, _mapping(s)["consistency"]).otherwise(F.lit(0.0))
-    return F.array_max(F.transform(F.array_distinct(F.transform(hits, lambda x: x["shift"])), lambda d: _let(near(d), judged)))
+    key = ["row", "item_id", "d"]
+    m = matches.select("row", "item_id", "n_windows", "w", "item_at", "shift", "slots", "item_slots").distinct()
+    area = lambda c: F.floor(F.col(c) / (2 * DRIFT + 1))
+    shifts = m.select("row", "item_id", F.col("shift").alias("d")).distinct()
+    shifts = shifts.withColumn("area", F.explode(F.sequence(area("d") - 1, area("d") + 1)))
+    near = m.withColumn("area", area("shift")).join(shifts, ["row", "item_id", "area"]).filter(F.abs(F.col("shift") - F.col("d")) <= DRIFT).drop("area")
+    near = near.withColumn("far", F.abs(F.col("shift") - F.col("d"))).withColumn("least", F.min("far").over(Window.partitionBy(*key, "item_at"))).filter("far = least")
+    held = near.groupBy(*key, "n_windows").agg(F.size(F.collect_set("w")).alias("held")).filter(F.col("held") >= share * F.col("n_windows"))
+    judged = held.select(*key).join(_mapping(near, *key), key, "left")
+    return judged.groupBy("row", "item_id").agg(F.max(F.coalesce("consistency", F.lit(1.0))).alias("aligned"))
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, share: float) -> DataFrame:
     """find_leaks() with the row's hash."""
-    items = benchmark.select("item_id", "text")
+    items = benchmark.select("item_id", "text").filter("item_id is not null")
     sizes = items.select(F.size(canonical(F.coalesce("text", F.lit("")))).alias("n")).filter(F.col("n").between(2, width - 1)).distinct()
     short = sorted(r.n for r in sizes.collect())
     b = _windows(items, "item_id", width, short, True).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", "w", "p", F.col("slots").alias("item_slots"))
-    keys = b.groupBy("h").agg(F.collect_set(F.struct("item_id", "item_at", "w", "p", "item_slots")).alias("items"))
-    n = b.count()
-    keys = F.broadcast(keys) if n <= BROADCAST_WINDOWS else keys
-    hit = _windows(docs.select("doc_id", "text"), "doc_id", width, short).join(keys, "h").select("row", F.col("id").alias("doc_id"), "at", "slots", F.explode("items").alias("i"))
-    hit = hit.select("row", "doc_id", "i.item_id", F.struct("i.w", "i.p", "i.item_at", (F.col("at") - F.col("i.item_at")).alias("shift"), "slots", "i.item_slots").alias("hit"))
+    b = stage(b, "item_windows")
+    keys = stage(b.groupBy("h").agg(F.count_distinct("item_id").alias("shared")), "window_counts")
+    known = F.broadcast(keys.select("h")) if keys.count() <= BROADCAST_WINDOWS else keys.select("h")
+    seen = _windows(docs.select("doc_id", "text"), "doc_id", width, short).join(known, "h", "left_semi")
+    seen = stage(seen.select("row", F.col("id").alias("doc_id"), "at", "h", "slots"), "seen_windows")
+    counted = b.join(keys, "h")
+    rare = _rarest(counted, "w", share).union(_rarest(counted, "p", share)).distinct()
+    pairs = seen.join(rare, "h").select("row", "doc_id", "item_id").distinct()
+    hits = pairs.join(b, "item_id").join(seen.select("row", "at", "h", "slots"), ["row", "h"])
+    hits = stage(hits.select("row", "doc_id", "item_id", "w", "p", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots"), "matches")
     whole = b.groupBy("item_id").agg(F.count_distinct("w").alias("n_windows"), F.count_distinct("p").alias("n_plain"))
-    found = hit.groupBy("row", "doc_id", "item_id").agg(F.collect_set("hit").alias("hits")).withColumn("n_shared", _distinct(F.col("hits"), "w")).withColumn("n_same", _distinct(F.col("hits"), "p"))
-    found = found.join(F.broadcast(whole) if n <= BROADCAST_WINDOWS else whole, "item_id")
+    size = lambda c: F.size(F.collect_set(c)).cast("long")  # noqa: E731  (at most the item's windows)
+    found = hits.groupBy("row", "doc_id", "item_id").agg(size("w").alias("n_shared"), size("p").alias("n_same")).join(whole, "item_id")
     verbatim = (F.col("n_plain") > 0) & (F.col("n_same") >= share * F.col("n_plain"))
     found = found.withColumn("verbatim", verbatim).filter(F.col("verbatim") | (F.col("n_windows") > 0) & (F.col("n_shared") >= share * F.col("n_windows")))
-    found = found.withColumn("all", _mapping(F.col("hits")))
-    best = F.when(F.col("verbatim"), 1.0).when(F.col("all.consistency") >= share, F.col("all.consistency")).otherwise(F.greatest("all.consistency", _aligned(F.col("hits"), F.col("n_windows"), share)))
+    found = stage(found, "found")
+    key = ["row", "item_id"]
+    judged = found.join(_mapping(hits.join(found.select(*key), key, "left_semi"), *key), key, "left")
+    judged = stage(judged.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("consistency", F.coalesce("consistency", F.lit(1.0))), "judged")
+    open_ = judged.filter(~F.col("verbatim") & (F.col("consistency") < share)).select(*key, "n_windows")
+    judged = judged.join(_aligned(hits.join(open_, key), share), key, "left")
+    best = F.when(F.col("verbatim"), 1.0).otherwise(F.greatest("consistency", F.coalesce("aligned", F.lit(0.0))))
     of = lambda same, template: F.when(F.col("verbatim") & (F.col("n_shared") < share * F.col("n_windows")) | (F.col("n_windows") == 0), F.col(same)).otherwise(F.col(template))
-    out = found.select("row", "doc_id", "item_id", of("n_plain", "n_windows").alias("n_windows"), of("n_same", "n_shared").alias("n_shared"), F.col("all.n").alias("n_slots"), best.alias("consistency"))
+    out = judged.select("row", "doc_id", "item_id", of("n_plain", "n_windows").alias("n_windows"), of("n_same", "n_shared").alias("n_shared"), F.col("n").alias("n_slots"), best.alias("consistency"))
     out = out.withColumn("coverage", F.col("n_shared") / F.col("n_windows")).select("row", "doc_id", "item_id", "n_windows", "n_shared", "coverage", "n_slots", "consistency")
     return out.filter(F.col("consistency") >= share)
 
@@ -158,8 +176,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share:
     template's fall short). Items of two words up to ``width`` are one window of plain words. Items of one word, and
     empty or null texts, take no part; those whose windows all lack literal words are found verbatim only. Rows are judged each alone, those that share an
     id too; rows alike in id and text give one row. Empty tables give an empty result, other columns play no part.
-    Windows of documents meet the benchmark's in a hash join. The benchmark's side is broadcast only after its
-    windows have been counted, up to BROADCAST_WINDOWS; beyond, the join is shuffled. Only matches are aggregated.
+    Rows of one item_id are one item; items without an id take no part. Windows of documents meet the benchmark's by
+    their hashes alone, which are broadcast only after they have been counted, up to BROADCAST_WINDOWS. Then those of
+    an item's windows that the fewest items share, more than 1 - share of them, say which documents may hold it, so a
+    window that many items share is paired with items only where a rarer one of theirs is there too; only such pairs
+    are compared in full.
     """
     return _leaks(docs, benchmark, width, share).drop("row")
 

@@ -1,6 +1,7 @@
 """The operators without Python, on small cases."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -181,3 +182,33 @@ def test_clashing_names(spark):
     entries = spark.createDataFrame([("l", "x.org", "2024-01-01", "add")], "list string, domain string, day string, action string").withColumn("day", F.to_date("day"))
     r = urls.filter_urls(pages, entries, F.lit("2024-02-01").cast("date")).first()
     assert (r["host"], r["list"], r["n_active"], r["a.b"], r["host_"], r["n_active_"], r["blocked"]) == ("h", "l", 1, 4, "x.org", 1, True)
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(5)
+    words = [a + b for a in "bdfgklmnprst" for b in ("alo", "eri", "ona", "uke")]
+    base = [" ".join(rng.choices(words, k=rng.randint(6, 14))) for _ in range(12)]
+    common = " ".join(rng.choices(words, k=7))
+    items = base + [f"{common} {x}" for x in base] + [f"{x} {y}" for x, y in zip(base, base[1:], strict=False)]
+    pool = items + [common] + [" ".join(rng.choices(words, k=9)) for _ in range(6)]
+    texts = [" ".join(x if rng.random() < 0.7 else x[: rng.randrange(len(x))] for x in rng.choices(pool, k=rng.randint(1, 6))) for _ in range(80)]
+    windows = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if len(windows(x) & windows(t)) >= 0.8 * len(windows(x))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_leaks_in_a_long_text(spark):
+    """An item thousands of times in one text, each time with other values, beside a benchmark without rows and one of many items that share windows."""
+    item = "A train leaves Rome with Maria Rossi on board and goes 120 km in 3 hours before it stops at the old station by the river for lunch"
+    names = ["Anna Bianchi", "Carla Verdi", "Paolo Neri", "Luca Gallo"]
+    text = ". ".join(item.replace("Maria Rossi", names[k % 4]).replace("120", str(200 + k)) for k in range(2500))
+    broken = ". ".join(item.replace("on board and goes 120 km in 3 hours", f"runs {200 + k} km") for k in range(2500))
+    docs = spark.createDataFrame([(1, text), (2, broken), (2, broken), (None, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item)] + [(k, f"{item} and then {k} apples") for k in range(2, 6)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.consistency for r in decontam.find_leaks(docs, bench).collect()}
+    assert {d for d, _ in got} == {1, None} and got[1, 1] >= 0.8
+    assert decontam.find_leaks(docs, bench.filter("false")).count() == 0
+    assert decontam.decontaminate(docs, bench.filter("false")).count() == 4
