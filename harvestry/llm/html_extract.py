@@ -35,6 +35,8 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words in class, id or role that mark an element as no part of the article, fixed values; the second set holds for articles themselves too.
 HINTS = frozenset("ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login sidebar side rail widget widgets related recommended recommendations share sharing social nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer copyright pagination pager toolbar tags search skip disclaimer paywall".split())
 TALK = frozenset("comment comments commentlist disqus discussion reply replies respond responses feedback reviews teaser ad ads advert related sponsored promo".split())
+#: Hints that also name what a page is about or how it is laid out; alone in a class they are like a hint in a compound name.
+DOUBTFUL = frozenset("search side rail header notice notices alert alerts tags share sharing social skip discussion reply replies respond responses feedback reviews subscription".split())
 _TALK_HEAD = re.compile(r"(?i)^\W*(?:\d+\s+)?(?:(?:reader|user)\s+)?(?:comments?|replies|responses|leave a (?:reply|comment)|kommentare?|leserkommentare|commentaires?|comentarios?|related (?:articles|posts|stories))(?:\s*\(?\d+\)?)?\W*$")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S
@@ -45,6 +47,12 @@ BESIDE = frozenset("has with without no by".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS, LINKS_MAIN = 70, 200, 0.15, 0.30, 0.33, 0.66
+#: Below this share of known function words a text may be in another language: sentences say whether it is prose.
+FOREIGN, LOWER, WIDE = 0.05, 0.6, 3
+_ENDS = re.compile(r"[.!?…](?=[\s\"'”’»)]|$)|[。！？｡।؟۔։።]")
+_LETTER, _LATIN = re.compile(r"[^\W\d_]"), re.compile(r"[A-Za-z\u00AA-\u024F\u1E00-\u1EFF]")
+#: Ideographs, kana and hangul: a character says as much as WIDE letters.
+_DENSE = re.compile(r"[\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF]")
 GOOD, UNSURE, NOT = 1, 0, -1
 #: Points that markup adds to what a block's text says (-2 to 2): inside a named article, beside one, and in an element that is no part of it.
 PRIOR = {"article": 1, "beside": -2, "outside": -3}
@@ -84,7 +92,8 @@ def _state(tag: str, attributes: str, bad: int, main: bool) -> tuple[int, bool]:
             for parts in seen:
                 found = set(parts) & (TALK if named else HINTS | TALK)
                 if found and not BESIDE & set(parts):
-                    hint = max(hint, OUTSIDE if len(parts) == 1 or found & TALK else HINTED)
+                    certain = found - DOUBTFUL if len(parts) == 1 else found & TALK and not named
+                    hint = max(hint, OUTSIDE if certain else HINTED)
     bad = max(0 if named and bad == HINTED else bad, hint)
     return bad, main or named and not bad
 
@@ -162,16 +171,37 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _sentences(text: str, words: list[str]) -> int:
+    """What sentences say of a text without known function words: 2 for long prose, 1 for prose, -1 for neither.
+
+    Text mostly in letters that aren't Latin is prose if it holds a sentence's end; Latin text must be long, hold two
+    of them, and have mostly words that start with a small letter, as lists of names and titles do not.
+    """
+    ends = len(_ENDS.findall(text))
+    letters = len(_LETTER.findall(text))
+    if 2 * len(_LATIN.findall(text)) < letters:
+        return (2 if _size(text) > LONG else 1) if ends else -1
+    small = sum(x[:1].islower() for x in words) / len(words)
+    return 2 if len(text) > LONG and ends >= 2 and small >= LOWER else -1
+
+
+def _size(text: str) -> int:
+    """A text's length in letters, ideographs and the like counted WIDE times."""
+    return len(text) if text.isascii() else len(text) + (WIDE - 1) * len(_DENSE.findall(text))
+
+
 def _text_evidence(b: Block, inside: bool) -> int:
-    """What a block's own text says: 2 for long prose, 1 for prose, 0 for a block too short to tell, -1 for words without function words, -2 for links or a copyright line."""
+    """What a block's own text says: 2 for long prose, 1 for prose, 0 for a block too short to tell, -1 for words without function words or sentences, -2 for links or a copyright line."""
     if b.linked / len(b.text) > (LINKS_MAIN if inside else LINKS):
         return -2
     if not inside and len(b.text) < LONG and _RIGHTS.search(b.text):
         return -2
-    if len(b.text) < SHORT:
+    if _size(b.text) < SHORT:
         return 0
     w = [x.strip("\"'.,;:!?()[]%*#$&«»„“”…-–—") for x in b.text.lower().split()]
     stop = sum(x in STOP for x in w) / len(w)
+    if stop < FOREIGN:
+        return _sentences(b.text, b.text.split())
     return 2 if stop >= STOP_HIGH and len(b.text) > LONG else 1 if stop >= STOP_LOW else -1
 
 
@@ -180,20 +210,21 @@ def judge(found: list[Block], trust_names: bool = True) -> list[tuple[bool, str]
 
     Pass one adds what the text says (-2 to 2) and what the markup says: PRIOR points for an article's element, for
     one that the page marks as no part of it, for a block below a heading of reader comments, and for a block outside
-    the article that the page names. Sums of 2 and more are in, of -1 and less out. The others are ambiguous and
+    the article that the page names. Such a heading counts only after something that is in, and not for a named
+    article that follows it. Sums of 2 and more are in, of -1 and less out. The others are ambiguous and
     take, in pass two, the label of the nearest decided block; those inside a named article look at each other only.
     Where no decided neighbour exists the markup's points decide, and without any the length. If compound class names
-    alone (``page-menu``) leave no long prose at all in a page that has some, the names are not believed.
+    (``page-menu``) and doubtful ones (``side``) leave no long prose at all in a page that has some, they are not believed.
     """
     named = any(b.main and not b.bad for b in found)
     label, rule, prior = [], [], []
-    talk = False
+    talk = talk_inside = False
     for b in found:
-        if b.heading:
-            talk = bool(_TALK_HEAD.match(b.text))
         inside = named and b.main
+        if b.heading:
+            talk, talk_inside = GOOD in label and bool(_TALK_HEAD.match(b.text)), inside
         says = _text_evidence(b, inside)
-        out = b.bad == OUTSIDE or b.bad == HINTED and trust_names or talk
+        out = b.bad == OUTSIDE or b.bad == HINTED and trust_names or talk and (talk_inside or not inside)
         mark = PRIOR["outside"] if out else PRIOR["article"] if inside else PRIOR["beside"] if named else 0
         total = says + mark
         label.append(GOOD if total >= 2 else NOT if total <= -1 else UNSURE)
@@ -220,7 +251,7 @@ def judge(found: list[Block], trust_names: bool = True) -> list[tuple[bool, str]
             continue
         sides = [j for j in (near[0][k], near[1][k]) if j is not None]
         if not sides:
-            out.append((prior[k] > 0 or not prior[k] and len(found[k].text) >= SHORT, "markup" if prior[k] else "nothing"))
+            out.append((prior[k] > 0 or not prior[k] and _size(found[k].text) >= SHORT, "markup" if prior[k] else "nothing"))
         elif prior[k] > 0:
             out.append((any(label[j] == GOOD for j in sides), "neighbours"))
         else:

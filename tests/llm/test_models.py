@@ -325,3 +325,27 @@ def test_stages_of_the_pipeline(spark, tmp_path):
     none = docs.filter("false")
     for name, step in pipeline.STAGES:
         assert step(spark, none, str(tmp_path)).count() == 0, name
+
+
+def test_html_keeps_whole_articles(spark):
+    long = "This is the text of an article that has all the words of a language in it, and so it is read as one. " * 4
+    chinese = "这是一篇关于城市历史的文章。河边的老车站在一百年前建成，许多人从那里出发去远方。今天它是一座博物馆！"
+    russian = "Старый вокзал у реки построили сто лет назад, и многие люди уезжали отсюда в далёкие города. Сегодня здесь музей. " * 3
+    finnish = "Vanha asema joen rannalla rakennettiin sata vuotta sitten, ja moni lähti sieltä kaukaisiin kaupunkeihin. Nykyään siinä toimii museo, jossa käydään kesäisin. " * 2
+    menu = "<nav><a href=1>Home</a></nav><div class='footer'>About us</div>"
+    cases = [f"<div class='search'><article><p>{long}</p></article></div>", f"<div class='main side'><p>{long}</p></div>", f"<article class='reply-letter'><p>{long}</p></article>"]
+    cases += [f"<h2>Comments</h2><article><p>{long}</p></article>", f"<div><p>{russian}</p></div>", f"<div><p>{finnish}</p></div>"]
+    pages = [(k, "u", f"<body>{menu}{x}</body>", 1) for k, x in enumerate(cases)] + [(100, None, f"<div><p>{chinese}</p></div>", 2), (101, "u", None, 3), (102, "u", "", 4), (102, "u", "", 4)]
+    comments = f"<article><p>{long}</p></article><h2>3 Comments</h2><div><p>{long}</p></div><article class='comment-body'><p>{long}</p></article>"
+    listed = "<div><p>" + "Red Shoes Blue Coats Green Hats Summer Sale Winter Boots Leather Bags " * 4 + "</p></div>"
+    very_long = f"<article>{f'<p>{long}</p>' * 3000}</article>"
+    pages += [(103, "u", comments, 5), (104, "u", f"<article><p>{long}</p></article>{listed}", 6), (105, "u", very_long, 7)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text long")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df).collect())
+    texts = dict((k, t) for k, t, _ in got)
+    want = [long] * 4 + [russian, finnish]
+    assert [texts[k] for k in range(6)] == [x.strip() for x in want]
+    assert texts[100] == chinese and [g for g in got if g[0] in (101, 102)] == [(101, "", 0), (102, "", 0), (102, "", 0)]
+    assert texts[103] == texts[104] == long.strip()
+    assert texts[105] == "\n".join([long.strip()] * 3000) and all(len(t) == n for _, t, n in got)
+    assert html_extract.extract(df.filter("false")).count() == 0
