@@ -133,6 +133,20 @@ def test_urls(spark):
     assert on("2024-01-04")[1] == (True, 2, "bad.example.com") and on("2024-01-05")[1] == (True, 1, "example.com")
     assert not on("2024-01-04")[4][0] and not on("2024-01-04")[5][0]
     assert urls.filter_urls(pages, entries, F.lit("2024-01-04").cast("date")).count() == 6
+    none = urls.filter_urls(pages.limit(0), entries, F.lit("2024-01-04").cast("date")), urls.filter_urls(pages, entries.limit(0), F.lit("2024-01-04").cast("date"))
+    assert none[0].count() == 0 and none[1].filter("not blocked and n_active = 0").count() == 6
+
+
+def test_hot_urls_in_slices(spark):
+    """A listed and an unlisted URL and the null of a third of the rows each, rows alike among them: the same rows for any size of slices."""
+    some = [(k % 7, ["http://a.bad.org/", "http://good.org/", None][k % 3], {"k": k % 2}) for k in range(900)] + [(k, f"http://h{k}.bad.org/{k}", None) for k in range(50)]
+    pages = spark.createDataFrame(some, "page_id long, url string, `__pair` map<string,int>").repartition(5)
+    entries = spark.createDataFrame([("l", "bad.org", "2024-01-02", "add"), ("l", "h7.bad.org", "2024-01-02", "add")], "list string, domain string, day string, action string").withColumn("day", F.to_date("day"))
+    day = F.lit("2024-01-04").cast("date")
+    rows = lambda n: sorted(map(str, urls.filter_urls(pages, entries, day, n).collect()))
+    whole = rows(10**6)
+    assert len(whole) == 950 and sum("blocked=True" in r for r in whole) == 350 and sum("n_active=2" in r for r in whole) == 1
+    assert rows(1) == rows(17) == whole
 
 
 def test_chat_arguments_as_text_and_types(spark):
