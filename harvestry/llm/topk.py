@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK, QUERIES, BLOCK = 1024, 256, 64
-#: Vectors of a cell and queries of a group, about: what a task holds.
+#: Vectors of a cell and queries of a group, at most about so many: what a task holds.
 CELL, GROUP = 1 << 16, 1 << 16
+#: At most about so many bytes of components in a packed row, and in a cell or group; longer vectors make them smaller.
+ROW_BYTES, CELL_BYTES = 1 << 19, 1 << 25
 PACKED = "ids binary, dims int, ints binary"
 #: Up to this bound the products and their sums are exact in doubles.
 EXACT = 2.0**53
@@ -129,6 +131,11 @@ def _search(vectors: pa.Table, queries: pa.Table, k: int) -> tuple[pa.Table, int
     return pa.table([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"]), scored, total
 
 
+def fit_in(most: int, size: int, dims: int | None) -> int:
+    """How many vectors of dims components fit in size bytes: 1 at least, most at most."""
+    return min(most, max(1, size // (8 * max(1, dims or 1))))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int | None = None, groups: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller id, its own row left out.
 
@@ -137,20 +144,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, cells: int | None =
     Repeated rows each count; an empty table gives an empty result; other columns play no part.
 
     Vectors are packed in chunks of CHUNK, which lie in cells, queries in chunks of QUERIES, which lie in groups; both
-    are counted first, so that a cell holds about CELL vectors and a group about GROUP queries whatever the table's
+    are counted first, and the longest vector is measured, so that a cell holds about CELL vectors and a group about
+    GROUP queries, fewer where they would take more than CELL_BYTES (chunks: ROW_BYTES), whatever the table's
     size. Each pair of a cell and a group is one co-grouped task of bounded memory: vectors are shipped once a group
     and queries once a cell. Within a task the running kth score of one chunk prunes the blocks of the next ones; the
     best of all tasks are merged by query.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = v.filter(is_query)
-    if cells is None or groups is None:
-        n, q = v.agg(F.count("*"), F.count_if(is_query)).first()
-        cells, groups = cells or max(8, -(-n // CELL)), groups or max(1, -(-q // GROUP))
+    n, q, dims = v.agg(F.count("*"), F.count_if(is_query), F.max(F.size("embedding"))).first()
+    cells = cells or max(8, -(-n // fit_in(CELL, CELL_BYTES, dims)))
+    groups = groups or max(1, -(-q // fit_in(GROUP, CELL_BYTES, dims)))
+    chunk, asks = fit_in(CHUNK, ROW_BYTES, dims), fit_in(QUERIES, ROW_BYTES, dims)
     one_of = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    packed = v.mapInArrow(lambda b: _pack(b, CHUNK), PACKED).withColumn("cell", one_of(cells)).withColumn("part", every(groups))
-    asked = asked.mapInArrow(lambda b: _pack(b, QUERIES), PACKED).withColumn("part", one_of(groups)).withColumn("cell", every(cells))
+    packed = v.mapInArrow(lambda b: _pack(b, chunk), PACKED).withColumn("cell", one_of(cells)).withColumn("part", every(groups))
+    asked = asked.mapInArrow(lambda b: _pack(b, asks), PACKED).withColumn("part", one_of(groups)).withColumn("cell", every(cells))
     both = packed.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part"))
     found = both.applyInArrow(lambda x, y: _search(x, y, k)[0], "query_id long, vec_id long, score long")
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -155,6 +155,74 @@ def test_language(spark):
     assert lang_id.fit(df.filter("false")) is None
 
 
+def test_top_k_of_wide_vectors(spark):
+    """Vectors of which few fit in a packed row, of unequal lengths, with nulls, a repeated row and names that clash, against all products."""
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=20_000 - 50 * (i % 3)).tolist(), 1, 2) for i in range(30)] + [(30, None, 1, 2), (31, [1.0, None], 1, 2), (32, [float("nan")], 1, 2), (33, [], 1, 2), (None, [1.0], 1, 2)]
+    rows.append(rows[3])
+    assert [topk.fit_in(topk.CHUNK, topk.ROW_BYTES, d) for d in (None, 0, 64, 20_000, 10**9)] == [1024, 1024, 1024, 3, 1]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, `rank` int, `query.id` int")
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, *_ in rows if i is not None and v is not None and i not in (31, 32)]
+    want = []
+    for q in (0, 10, 20):
+        a = next(v for i, v in good if i == q)
+        best = sorted((-sum(x * y for x, y in zip(a, v, strict=False)), i) for i, v in good if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    got = topk.top_k(df, (F.col("vec_id") % 10 == 0) & (F.col("vec_id") < 30))
+    assert sorted(map(tuple, got.collect())) == want
+    assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def _kneser_ney(texts):
+    """Each word's share by distinct words before it, less modified Kneser-Ney discounts of add-one counts of counts, as a function of the backoff: plain loops over strings."""
+    before = {}
+    for t in texts:
+        for a, b in zip([None, *t.split()], t.split(), strict=False):
+            before.setdefault(b, set()).add(a)
+    follows = {w: len(x) for w, x in before.items()}
+
+    def share(word, kinds, backoff):
+        n = {k: sum(follows.get(w, 0) == k for w in kinds) + 1 for k in (1, 2, 3, 4)}
+        y = n[1] / (n[1] + 2 * n[2])
+        most = {1: 0.98, 2: 1.9, 3: 2.8}
+        cut = {k: min(max(k - (k + 1) * y * n[k + 1] / n[k], 0), most[k]) for k in most}
+        freed = sum(cut[min(f, 3)] for f in follows.values())
+        f = follows.get(word, 0)
+        return (f - (cut[min(f, 3)] if f else 0) + freed * backoff) / sum(follows.values())
+
+    return share
+
+
+def test_toxicity_against_brute_force(spark):
+    """The ratio of every word of the sample, and of one that it lacks, by dictionaries of words; the scores don't see names that clash."""
+    r = random.Random(11)
+    common, rude = [a + b for a in "bdfgklm" for b in ("alo", "eri", "ona", "uke")], ["grr", "zzt", "pfui"]
+    texts = {i: say(common[: 8 + i % 20], 12, r) + (" " + say(rude, 2, r) if i % 3 == 0 else "") for i in range(60)}
+    docs = spark.createDataFrame([(i, t, 0, 1) for i, t in texts.items()] + [(100, "never labelled words", 0, 1)], "doc_id long, text string, `toxic` int, `score` int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scale = {x.doc_id for x in labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4)) == 0).collect()}
+    learned = [[t for i, t in texts.items() if i not in scale and (i % 3 == 0) == toxic] for toxic in (False, True)]
+    n_docs = {}
+    for t in [*texts.values(), "never labelled words"]:
+        for w in set(t.split()):
+            n_docs[w] = n_docs.get(w, 0) + 1
+    once, twice = (sum(n == k for n in n_docs.values()) for k in (1, 2))
+    power = once / max(once + 2 * twice, 1)
+    tables = {w: int(n**power * 1024) / 1024 for w, n in n_docs.items()}
+    kinds = {w for ts in learned for t in ts for w in t.split()}
+    rest = max(sum(tables.values()) - sum(tables[w] for w in kinds), 0.5)
+    whole = rest + sum(max(tables[w], 0.5) for w in kinds)
+    plain, toxic = (_kneser_ney(ts) for ts in learned)
+    want = {w: np.log(toxic(w, kinds, max(tables[w], 0.5) / whole) / plain(w, kinds, max(tables[w], 0.5) / whole)) for w in kinds}
+    hashes = {w: words([w])[0][0] for w in kinds}
+    got = dict(zip(model.vocabulary.tolist(), model.ratio.tolist(), strict=False))
+    assert len(got) == len(kinds) and all(abs(got[int(hashes[w])] - want[w]) < 1e-4 for w in kinds)
+    assert abs(model.ratio[-1] - np.log(toxic("", kinds, rest / whole) / plain("", kinds, rest / whole))) < 1e-4
+    scored = toxicity.score(docs, model)
+    assert scored.columns == ["doc_id", "score"] and scored.count() == 61 and toxicity.score(docs.limit(0), model).count() == 0
+
+
 def test_toxicity(spark):
     r = random.Random(9)
     rows, labels = [], []
