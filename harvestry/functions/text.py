@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space and the four separators that strip() removes too; all breaks of a line.
-BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-BLANK = f"[{BLANKS}]+"
+_LATIN, _WIDE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0", "\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANKS = _LATIN + _WIDE
+#: The engine asks a class's wide characters one by one before its table of Latin ones; so the table goes first and a range before the wide ones, which few characters pass.
+BLANK = f"[[{_LATIN}][\u1680-\u3000&&[{_WIDE}]]]+"
 LINE = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 #: Words for and against remote work.
 REMOTE = [
@@ -43,10 +48,19 @@ def contract_time(c: Column) -> Column:
 
 
 def remote(*parts: Column, yes: list[str] = REMOTE, no: list[str] = OFFICE) -> Column:
-    """True if a word for remote work occurs, else false if one for the office does, else null."""
-    whole = F.concat_ws(" ", *[normal(p) for p in parts])
-    found = lambda words: whole.rlike("(?iU)" + "|".join(words))
-    return F.when(whole == "", F.lit(None)).when(found(yes), True).when(found(no), False)
+    """True if a word for remote work occurs, else false if one for the office does, else null.
+
+    Patterns see runs of blanks as one space. Blanks are no word's part, so whole words are sought in the text as it is, and
+    only patterns of another form in the text made normal.
+    """
+    raw, whole = F.concat_ws(" ", *parts), F.concat_ws(" ", *[normal(p) for p in parts])
+
+    def found(patterns: list[str]) -> Column:
+        words = [p for p in patterns if re.fullmatch(r"\\b\w+\\b", p)]
+        others = [p for p in patterns if p not in words]
+        return reduce(lambda a, b: a | b, [c.rlike("(?iU)" + "|".join(w)) for c, w in ((raw, words), (whole, others)) if w], F.lit(False))
+
+    return F.when(~raw.rlike(f"[^{BLANKS}]"), F.lit(None)).when(found(yes), True).when(found(no), False)
 
 
 def clean_lines(c: Column, least: int = 15) -> Column:

@@ -126,6 +126,24 @@ def test_remote_patterns(spark):
     assert [flag(t) for t in ("Remote or on-site", "100% remote", "TÉLÉTRAVAIL", "home  office")] == [True] * 4 and flag("remotely hybrid") is None
 
 
+def test_remote_words_are_sought_in_the_text_as_it_is(spark):
+    words = {"yes": [r"\bthe\b", r"\bder\b"], "no": [r"\bde\b", r"\bof\b"]}
+    c, whole = F.col("t"), F.concat_ws(" ", text.normal(F.col("t")))
+    has = lambda w: whole.rlike("(?iU)" + "|".join(w))
+    made_normal = F.when(whole == "", F.lit(None)).when(has(words["yes"]), True).when(has(words["no"]), False)
+    odd = [None, "", " \t\u2003\x1c", "the", "\x1cTHE\u3000", "the\u0301 of", "of \u0301the", "\u0301the", "the\u200bx", "the_ de", "DE\n\n\x1f OF", "othe r", "t\u2003he", "de\x85r", "thé", "der\u1680", "K\xa0of", "\ufffdthe", "x"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string").select("t", text.remote(c, **words).alias("got"), made_normal.alias("want"))
+    assert [r.t for r in df.collect() if r.got != r.want] == [] and {r.got for r in df.collect()} == {None, True, False}
+    assert "regexp_replace" not in df.select("got")._jdf.queryExecution().optimizedPlan().toString()
+    mixed = text.remote(F.col("a"), F.col("b"), yes=[r"\bwfh\b", r"\bwork\s+from\s+home\b"], no=[r"\bof\b", r"\bon[-\s]?site\b"])
+    assert [one(spark, mixed, a=a, b=b) for a, b in (("work \x1c from", "\nHOME"), (None, "on \t site"), (" ", None), ("of", "WFH"), ("work", "home"))] == [True, False, None, True, None]
+
+
+def test_blanks_are_all_replaced_and_nothing_else(spark):
+    every = "".join(chr(i) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000)
+    assert one(spark, F.regexp_replace(F.col("t"), text.BLANK, ""), t=every) == "".join(x for x in every if x not in text.BLANKS)
+
+
 def test_clean_lines_keeps_first(spark):
     lines = ["A line that is long enough", "short", "another long enough line", "a  LINE that is long enough", "Zebra line, long enough", "another long enough line "]
     assert one(spark, text.clean_lines(F.col("t")), t="\n".join(lines)) == "A line that is long enough another long enough line Zebra line, long enough"
